@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, sharding
+from . import chat, embeddings, exact, langid, lm, mixing, sharding, simhash, toxicity
+from .words import fold
 
 #: Target weights of the mixture: every fifth source counts up to five times as much.
 MIX_WEIGHTS = {f"src{i}": 1.0 + i % 5 for i in range(20)}
@@ -22,10 +23,58 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", "mix_copy", "mix_copies", "mix_order")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is all documents labelled as of good quality, the background all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = docs.select("doc_id", "text").join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return lm.cross_entropy_difference(docs, *lm.fit(good, docs))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
+def language_model(docs: DataFrame) -> dict:
+    """Learnt from the documents outside the held-out fold, sampled by a hash of their ids."""
+    return langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2), order=F.xxhash64("doc_id"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, language_model(docs)).withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chat(chat.canonical(rows.select("conv_id", "turn", "role", "text").unionByName(more)))
+    read = chat.read_back(made)
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +97,31 @@ SELECT doc_id, source, text, i::INT AS mix_copy, copies::INT AS mix_copies,
 FROM (SELECT *, unnest(generate_series(1, copies)) AS i FROM n)
 """
 
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(role) + length(text) + length(regexp_replace(text, '[^<\\]', '', 'g')) + length(regexp_replace(role, '[^<>\\]', '', 'g')) AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size + 17)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 EXACT_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
@@ -56,9 +130,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op8_shard": op8_shard, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_mix": op1_mix,
+        "op2_simhash": op2_simhash,
+        "op4_lm_score": op4_lm_score,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_language": op7_language,
+        "op8_shard": op8_shard,
+        "op9_chat": op9_chat,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute-force versions in tests/llm."""
-    return {"op1_mix": MIX_SQL, "op10_exact_dedup": EXACT_SQL}
+    return {"op1_mix": MIX_SQL, "op5_embedding_dedup": EMBEDDING_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL}
