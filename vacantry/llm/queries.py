@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, langid, lm, mixing, sharding, simhash, toxicity
+from . import chat, embeddings, exact, langid, lm, mixing, pieces, sharding, simhash, toxicity
 from .words import fold
 
 #: Target weights of the mixture: every fifth source counts up to five times as much.
@@ -27,6 +27,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def model_file() -> str:
+    """The public tokenizer's model, installed with Python on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every text, and the text decoded from each."""
+    docs = table(spark, sf_dir, "documents")
+    drawn = pieces.sample_encode(docs, model_file=model_file(), k=2, decoded=True)
+    return drawn.select(
+        "doc_id",
+        "sample",
+        F.size("pieces").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        "log_prob",
+        "perturbed",
+        "inclusion",
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is all documents labelled as of good quality, the background all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -133,6 +156,7 @@ def queries() -> dict:
     return {
         "op1_mix": op1_mix,
         "op2_simhash": op2_simhash,
+        "op3_pieces": op3_pieces,
         "op4_lm_score": op4_lm_score,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_toxicity": op6_toxicity,

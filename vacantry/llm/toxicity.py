@@ -16,11 +16,11 @@ from .words import Hashes, bucket, pairs, split_words
 @dataclass(frozen=True)
 class Config:
     bits: int = 20  # 2**bits weights
-    alpha: float = 0.2
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 12.0
+    l2: float = 0.1
+    epochs: int = 6
     rows: int = 16_000  # bound of the labelled rows learnt from
     seed: int = 42
 
