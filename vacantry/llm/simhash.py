@@ -168,12 +168,14 @@ def _leaf_links(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.nd
     return fps[linked].view(np.int64), fps[parent[linked]].view(np.int64)
 
 
-def links(distinct: DataFrame, *, distance: int = 2, trees: int = 2, leaf: int = 2048, sample: int = 32768) -> DataFrame:
+def links(distinct: DataFrame, *, distance: int = 2, trees: int = 3, leaf: int = 2048, sample: int = 32768) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints of column fp just as all pairs within `distance` do.
 
     The trees are built on the driver from at most `sample` fingerprints, an eighth of them at most, chosen by
     hash; every fingerprint is then sent to its own leaf and, as a visitor, to all leaves beyond a boundary
-    that the triangle bound leaves open. Each leaf compares its own fingerprints with all it holds and returns a
+    that the triangle bound leaves open. With three trees and a distance of 2 one of a pair's three parts is equal,
+    so each tree is asked with radius 0 and the bound leaves its own leaf only; fewer trees have a larger radius
+    and visit more leaves, a number that grows with the depth. Each leaf compares its own fingerprints with all it holds and returns a
     spanning forest of the pairs found, not the pairs. A leaf of more than TILE values is compared in tiles of
     its own values against parts of all of them.
     """
@@ -212,7 +214,7 @@ def links(distinct: DataFrame, *, distance: int = 2, trees: int = 2, leaf: int =
     return cells.groupBy("tree", "cell", "a", "b").applyInPandas(compare, "u long, v long")
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 3) -> DataFrame:
     """One row for each row of `docs`: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Fingerprints link at `distance` or fewer differing bits; links are followed through, so a component may hold
@@ -232,7 +234,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 2) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 3) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, with all their columns; null ids go where their group has another.
 
     Of rows with equal ids the same decision holds for all, and all stay or go.
