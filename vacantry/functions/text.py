@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What marks a place text as remote, in the order in which they are removed.
 REMOTE_MARKERS = ("remote", "anywhere", "work from home", "wfh", "world wide", "worldwide", "remoto")
@@ -38,13 +39,13 @@ def salary_ceiling(least: Column, most: Column) -> Column:
     return F.coalesce(most, least)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities resolved once: &amp;lt; becomes &lt;."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_unicode(text: pd.Series) -> pd.Series:
     """NFKC and full case folding, which Spark's lower() is not."""
     return text.map(lambda s: unicodedata.normalize("NFKC", s).strip().casefold(), na_action="ignore")
@@ -80,7 +81,7 @@ def slugify(name: Column) -> Column:
 
 def csv_list(text: Column) -> Column:
     """Comma-separated entries, trimmed, without empty ones, in order and with repeats."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_query(text: Column) -> Column:

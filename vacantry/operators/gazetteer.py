@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import clean_alias, feature_tier, looks_like_airport
+from ..session import checkpointed
 
 DEFAULT_MIN_POPULATION = 15000
 #: Display names and further aliases of some countries; any other shows its ISO code.
@@ -224,3 +224,11 @@ def lookup_tables(gaz: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "ambiguous": gaz["ambiguous"].select("token").distinct(),
         "prefix": gaz["prefixes"].select("code", "country"),
     }
+
+
+def prepared(gaz: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The lookup tables of a gazetteer, computed once; pass them on to all that resolves places."""
+    if "city_alias" in gaz:
+        return gaz
+    tables = {name: checkpointed(df) for name, df in gaz.items()}
+    return {name: checkpointed(df) for name, df in lookup_tables(tables).items()}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import REMOTE_MARKERS, fold_unicode
-from .gazetteer import lookup_tables
+from ..session import checkpointed
+from .gazetteer import prepared
 
 CURRENT_VERSION = "v3"
 _EDGE = " .,-"
@@ -82,7 +83,7 @@ def strip_noise(c: Column) -> tuple[Column, Column]:
 
 def segments(c: Column) -> Column:
     """Parts from small to large: of a breadcrumb, reversed, or between commas; without empty ones."""
-    parts = lambda sep: F.filter(F.transform(F.split(c, sep), _strip), lambda x: x != "")
+    parts = lambda sep: F.filter(F.transform(F.split(c, sep), lambda x: _strip(x)), lambda x: x != "")
     return F.when(c.contains(" > "), F.reverse(parts(" > "))).otherwise(parts(","))
 
 
@@ -102,7 +103,7 @@ def prefix_country(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame
 
 def country_first_dash(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     """Adds dashed: the parts between dashes from the first that is a country's name (over two letters) on, reversed."""
-    parts = F.filter(F.transform(F.split("rest", " - "), _strip), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("rest", " - "), lambda x: _strip(x)), lambda x: x != "")
     out = attempts.withColumn("__parts", F.when(F.col("rest").contains(" - "), parts))
     each = out.where("__parts is not null").select("aid", F.posexplode("__parts").alias("pos", "alias")).where(F.length("alias") > 2)
     first = each.join(look["country"], "alias", "left_semi").groupBy("aid").agg(F.min("pos").alias("__pos"))
@@ -162,7 +163,7 @@ def resolve_segments(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFra
     out = out.join(scoped, ["__country", "__last"], "left")
     out = out.withColumn("__region", F.when(F.col("__tc").isNull(), F.col("__tr")).otherwise(F.col("__sr")))
     out = out.join(look["city_alias"].select(F.col("alias").alias("__head"), F.lit(True).alias("__is")), "__head", "left")
-    pieces = out.where("__is is null").where(F.col("__head").contains("|")).select("aid", F.posexplode(F.transform(F.split("__head", r"\|"), _strip)).alias("pos", "alias"))
+    pieces = out.where("__is is null").where(F.col("__head").contains("|")).select("aid", F.posexplode(F.transform(F.split("__head", r"\|"), lambda x: _strip(x))).alias("pos", "alias"))
     named = pieces.join(look["city_alias"], "alias", "left_semi").groupBy("aid").agg(F.min_by("alias", "pos").alias("__piece"))
     out = out.join(named, "aid", "left").withColumn("__city", F.coalesce("__piece", "__head"))
     in_country = look["narrow_country"].select(F.col("alias").alias("__city"), F.col("country").alias("__country"), F.col("city").alias("__in_country"))
@@ -176,7 +177,7 @@ def resolve_segments(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFra
 def resolve_once(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     """(aid, text) to (aid, result): one attempt at each text."""
     out = attempts.withColumn("cleaned", clean_place(F.col("text"))).withColumn("place", strip_area(first_place(F.col("cleaned"))))
-    out = country_first_dash(prefix_country(out, look), look)
+    out = country_first_dash(checkpointed(prefix_country(out, look)), look)
     text, removed = strip_noise(F.col("__bare"))
     out = out.withColumn("__bare", strip_remote(F.col("rest"))).withColumns({"__text": text, "noisy": removed & F.col("dashed").isNull()}).drop("__bare")
     out = out.withColumn("found", F.coalesce("dashed", segments(F.col("__text"))))
@@ -185,7 +186,7 @@ def resolve_once(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     out = resolve_bare(out.withColumn("nothing", F.col("dashed").isNull() & (F.col("__text") == "")).drop("__text"), look)
     again = F.when(~F.col("bare")["resolved"], trailing_code(F.col("token")))
     out = out.withColumn("parts", F.when(F.size("found") > 1, F.col("found")).otherwise(again))
-    out = resolve_segments(out, look)
+    out = resolve_segments(checkpointed(out.drop("text", "place", "rest", "dashed")), look)
     unresolved = _place(None, None, None, False)
     result = (
         F.when(F.col("cleaned") == "", unresolved)
@@ -206,14 +207,14 @@ def attempts(distinct: DataFrame) -> DataFrame:
 
 
 def resolve_distinct(distinct: DataFrame, gaz: dict[str, DataFrame]) -> DataFrame:
-    """(raw) to (raw, place). A later attempt never overrides an earlier success; a piece with a place goes before one without."""
+    """(raw) to (raw, place), computed once. `gaz` is a gazetteer or its prepared tables. A later attempt never overrides an earlier success; a piece with a place goes before one without."""
     tried = attempts(distinct).withColumn("aid", F.struct("raw", "kind", "pos"))
-    done = resolve_once(tried.select("aid", "text"), lookup_tables(gaz))
+    done = resolve_once(checkpointed(tried.select("aid", "text")), prepared(gaz))
     r = F.col("result")
     nowhere = r["city"].isNull() & r["region"].isNull() & r["country"].isNull()
     rank = F.when(~r["resolved"], 9).when(F.col("aid.kind") == 0, 0).when(F.col("aid.kind") == 1, F.when(nowhere, 2).otherwise(1)).otherwise(3)
     best = done.select(F.col("aid.raw").alias("raw"), rank.alias("rank"), F.col("aid.kind").alias("kind"), F.col("aid.pos").alias("pos"), "result")
-    return best.groupBy("raw").agg(F.min_by("result", F.struct("rank", "kind", "pos")).alias("place"))
+    return checkpointed(best.groupBy("raw").agg(F.min_by("result", F.struct("rank", "kind", "pos")).alias("place")))
 
 
 def resolve_locations(df: DataFrame, gaz: dict[str, DataFrame], *, col: str = "location", version: str = CURRENT_VERSION) -> DataFrame:

@@ -28,7 +28,7 @@ def upsert(current: DataFrame, batch: DataFrame, sources: DataFrame, now: Column
     created ones are flagged.
     """
     sources = sources.select("source_ats", "board_token", "employer").distinct()
-    new = last_of_batch(batch, ordinal).join(sources, ["source_ats", "board_token"]).withColumn("content_hash", content_hash())
+    new = last_of_batch(batch.drop("employer"), ordinal).join(sources, ["source_ats", "board_token"]).withColumn("content_hash", content_hash())
     new = new.select(*KEY, F.struct(*[c for c in CONTENT], "employer").alias("b"))
     read = sources.select("source_ats", "employer").distinct().withColumn("read", F.lit(True))
     old = current.join(read, ["source_ats", "employer"], "left").withColumn("read", F.coalesce("read", F.lit(False)))
