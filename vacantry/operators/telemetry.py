@@ -12,7 +12,7 @@ LATENESS = "10 minutes"
 
 def watermarked(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Events up to LATENESS late count, later ones are dropped; batches are whole as they are."""
-    return df.withWatermark(ts, LATENESS) if df.isStreaming else df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATENESS) if df.isStreaming else df
 
 
 def rate(df: DataFrame, by: list[str], *, ts: str = "ts", win: str = "5 minutes", slide: str = "1 minute", seconds: int = 300) -> DataFrame:
