@@ -121,6 +121,14 @@ def test_sweep_is_idempotent_and_guarded(spark, look):
     assert diff == {2: "regressed", 3: "changed"}
 
 
+def test_sweep_of_profiles(spark, look):
+    kind = "array<struct<raw:string,city:string,region:string,country:string,resolved:boolean>>"
+    rows = [(1, ["Chicago"], [], "v1"), (2, ["Chicago"], [], "v3"), (3, [], None, None)]
+    df = spark.createDataFrame(rows, f"user_id long, target_locations array<string>, target_locations_normalized {kind}, target_locations_alias_version string")
+    got = {r["user_id"]: ([t["city"] for t in r["target_locations_normalized"]], r["target_locations_alias_version"]) for r in location.sweep_profiles(df, look, "v3").collect()}
+    assert got == {1: (["Chicago"], "v3"), 2: ([], "v3"), 3: ([], "v3")}
+
+
 def test_reference_files(spark, tmp_path):
     row = lambda name, pop, code="PPL": "\t".join(["1", name, name, f"{name}ville", "0", "0", "P", code, "US", "", "GA", "", "", "", pop, "", "5", "America/New_York", "2020-01-01"])
     (tmp_path / "cities.txt").write_text("\n".join([row("A", "15000"), row("B", "14999"), row("C", "bad"), row("Ü", "20000"), "short\trow"]) + "\n")

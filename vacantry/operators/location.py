@@ -269,6 +269,21 @@ def sweep(df: DataFrame, gaz: dict[str, DataFrame], version: str, *, key: list[s
     return out.withColumns({n: F.when(use, F.col("__new")[n]).otherwise(F.col(n)) for n in names}).drop("__seen", "__new")
 
 
+def sweep_profiles(profiles: DataFrame, gaz: dict[str, DataFrame], version: str, *, key: str = "user_id", latest: DataFrame | None = None) -> DataFrame:
+    """The same for profiles: stale ones get their targets normalised again; `latest` keeps those that moved on meanwhile."""
+    stale = profiles.where(~F.col("target_locations_alias_version").eqNullSafe(F.lit(version)))
+    new = normalize_targets(stale, gaz, key=key).withColumnRenamed("target_locations_normalized", "__new")
+    new = new.join(stale.select(key, F.col("target_locations_alias_version").alias("__seen"), F.lit(True).alias("__stale")), key)
+    out = (profiles if latest is None else latest).join(new, key, "left")
+    use = F.coalesce(F.col("__stale"), F.lit(False)) & F.col("target_locations_alias_version").eqNullSafe(F.col("__seen"))
+    return out.withColumns(
+        {
+            "target_locations_normalized": F.when(use, F.col("__new")).otherwise(F.col("target_locations_normalized")),
+            "target_locations_alias_version": F.when(use, F.lit(version)).otherwise(F.col("target_locations_alias_version")),
+        }
+    ).drop("__new", "__seen", "__stale")
+
+
 def diff_postings(df: DataFrame, gaz: dict[str, DataFrame], *, key: str = "id") -> DataFrame:
     """What resolving again would change for the worse or otherwise, of rows that were resolved; rows that newly resolve are not reported."""
     old = df.where("location_resolved").select(key, "location", F.struct("location_city", "location_region", "location_country").alias("old"))
