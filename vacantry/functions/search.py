@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,21 +128,26 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")
 
 
+def query_terms(query: str, stemmed: bool = True) -> list[str]:
+    """The distinct terms of a query, without stop words, as stems or as they are."""
+    said = {w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS}
+    return sorted({stem_word(w) for w in said} if stemmed else said)
+
+
 def search(df: DataFrame, query: str, *, stemmed: bool = True, id_col: str = "posting_id") -> DataFrame:
     """Rows whose title and description hold every term of the query; a query of stop words only matches nothing. Filters, never ranks.
 
     With stemming each distinct token of the table is stemmed once, and the rows are found by the tokens that have a
     stem of the query; without it the terms must be words of the text.
     """
-    spark = df.sparkSession
-    terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term"))
-    terms = terms.select((stem(F.col("term")) if stemmed else F.col("term")).alias("term")).distinct()
+    terms = query_terms(query, stemmed)
+    if not terms:
+        return df.limit(0)
     each = df.select(id_col, F.explode(tokens(F.concat_ws("\n", "title", "description"))).alias("token"))
     if stemmed:
-        vocabulary = each.select("token").distinct().withColumn("term", stem(F.col("token")))
-        hits = each.join(vocabulary.join(terms, "term"), "token").select(id_col, "term").distinct()
+        vocabulary = each.select("token").distinct().withColumn("term", stem(F.col("token"))).where(F.col("term").isin(terms))
+        hits = each.join(vocabulary, "token").select(id_col, "term").distinct()
     else:
-        hits = each.withColumnRenamed("token", "term").join(terms, "term").select(id_col, "term")
-    wanted = terms.agg(F.count(F.lit(1)).alias("wanted"))
-    full = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(wanted)).where("n = wanted").select(id_col)
+        hits = each.withColumnRenamed("token", "term").where(F.col("term").isin(terms))
+    full = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(id_col)
     return df.join(full, id_col, "left_semi")
