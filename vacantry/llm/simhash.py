@@ -93,7 +93,7 @@ class Tree:
 def build_tree(sample: np.ndarray, mask: int, radius: int, leaf: int) -> Tree:
     """Split the sample at vantage points from within it until a leaf has at most `leaf` values or nothing parts them."""
     vantage, limit, kids, leaves = [], [], [], 0
-    todo = [(np.unique(sample & np.uint64(mask)) if not len(sample) else sample, -1, 0)]
+    todo = [(sample, -1, 0)]
     while todo:
         values, parent, side = todo.pop()
         split = _split(values, mask, radius) if len(values) > leaf else None
