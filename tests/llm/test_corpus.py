@@ -1,0 +1,585 @@
+"""Every corpus operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vacantry.llm import chat, common, embeddings, exact, langid, lm, mixing, pieces, queries, sharding, simhash, toxicity, words
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in each column, empty and long texts, ties, repeated rows and ids."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [
+        (1, "Alpha beta gamma delta", "en", "a", 1),
+        (2, "Alpha  beta\tgamma delta", "en", "a", 1),
+        (2, "Alpha  beta\tgamma delta", "en", "a", 1),
+        (3, None, None, None, None),
+        (4, "", "en", "a", 0),
+        (None, "alpha beta gamma delta", "en", "b", 1),
+        (5, " \n ", "de", "b", 3),
+        (6, long, "de", "b", None),
+        (7, long + " x", None, None, None),
+        (8, "!!! ### 123", "en", "a", 1),
+        (9, "x", "fr", "c", 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clash(df):
+    """`df` with further columns whose names the operators use themselves."""
+    names = ["fp", "id", "row", "digest", "n", "component_id", "__text", "label", "__id", "mix_copy", "size", "shard", "t", "u", "v", "cell", "kept"]
+    return df.withColumns({n: F.lit("x") for n in names if n not in df.columns})
+
+
+# --- connected components ---
+
+
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=20))
+@settings(max_examples=5, deadline=None)
+def test_components(spark, links):
+    df = spark.createDataFrame(links or [(0, 0)], "u long, v long")
+    got = {r["node"]: r["component"] for r in common.connected_components(df).collect()}
+    parent = {n: n for e in links for n in e}
+    for _ in parent:
+        for a, b in links:
+            m = min(parent[a], parent[b])
+            parent[a] = parent[b] = m
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    assert got == {n: parent[n] for n in linked}
+
+
+# --- 1 mixing ---
+
+
+def test_poisson_inverts():
+    for rate in (0.3, 2.0, 40.0, 900.0):
+        first, steps = mixing.poisson_cdf(rate)
+        pmf = np.diff([0.0, *steps])
+        mean = sum((first + k) * p for k, p in enumerate(pmf)) if first == 0 else first + sum(k * p for k, p in enumerate(pmf))
+        assert abs(mean - rate) < 1e-6 * max(1, rate) + 1e-3 and steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9
+
+
+def test_mix_meets_weights(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("source"))
+    got = mixing.mix(docs, {"small": 3.0, "big": 1.0}).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in got}
+    assert abs(n["small"] / sum(n.values()) - 0.75) < 0.02 and abs(sum(n.values()) - 40_000) < 1200
+
+
+def test_mix_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = sorted((r["doc_id"], r["mix_copy"]) for r in mixing.mix(docs, queries.MIX_WEIGHTS, other=1.0).collect())
+    rows = docs.collect()
+    chars = collections.Counter()
+    for r in rows:
+        chars[r["source"]] += len(r["text"])
+    whole = sum(queries.MIX_WEIGHTS[s] for s in chars)
+    want = []
+    for r in rows:
+        rate = queries.MIX_WEIGHTS[r["source"]] / whole * sum(chars.values()) / chars[r["source"]]
+        u = int(hashlib.md5(f"42:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p, total = 0, math.exp(-rate), math.exp(-rate)
+        while total <= u:
+            k += 1
+            p = p * rate / k
+            total += p
+        want += [(r["doc_id"], i + 1) for i in range(k)]
+    assert got == sorted(want)
+
+
+def test_mix_order_is_global(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("a").alias("source"))
+    at = [r["mix_order"] for r in mixing.mix(docs, {"a": 1.0}).collect()]
+    assert at == sorted(at) and len(set(at)) == len(at)
+
+
+def test_mix_odd(spark, odd, empty):
+    got = mixing.mix(clash(odd), {"a": 1.0, "b": 2.0, "unused": 5.0}, other=0.0).collect()
+    assert {r["source"] for r in got} <= {"a", "b"}
+    assert mixing.mix(empty, {"a": 1.0}).collect() == []
+    with pytest.raises(ValueError):
+        mixing.mix(odd, {"a": -1.0})
+
+
+# --- 2 near duplicates ---
+
+
+def brute_groups(rows, distance=2):
+    fps = np.array([simhash.fingerprint(t) for _, t in rows], np.uint64)
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if bin(int(fps[i]) ^ int(fps[j])).count("1") <= distance:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    least = collections.defaultdict(lambda: None)
+    for i, (d, _) in enumerate(rows):
+        k = find(i)
+        if d is not None and (least[k] is None or d < least[k]):
+            least[k] = d
+    return sorted(((d, f"{int(f):016x}", least[find(i)]) for i, ((d, _), f) in enumerate(zip(rows, fps, strict=True))), key=str)
+
+
+def test_fingerprint_definition():
+    text = "The  quick brown fox jumps\nOVER the lazy dog"
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+
+
+def test_near_groups_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = sorted((tuple(r) for r in simhash.near_groups(docs).collect()), key=str)
+    assert got == brute_groups([tuple(r) for r in docs.collect()])
+
+
+def test_near_groups_odd(spark, odd, empty):
+    got = sorted((tuple(r) for r in simhash.near_groups(clash(odd)).collect()), key=str)
+    assert got == brute_groups([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert simhash.near_groups(empty).collect() == []
+    kept = simhash.drop_near_copies(clash(odd))
+    assert set(kept.columns) == set(clash(odd).columns)
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in got if c is not None}
+
+
+@pytest.mark.parametrize("trees", [1, 2, 3])
+@pytest.mark.parametrize("distance", [2, 5])
+def test_trees_find_all_links(spark, trees, distance, monkeypatch):
+    """Whatever the number of trees, the links found connect what all pairs connect; also where leaves are tiled."""
+    rng = random.Random(trees)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    fps = base + [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(1, distance + 1))) for b in base for _ in range(2)]
+    fps = sorted(set(x & (2**64 - 1) for x in fps))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    monkeypatch.setattr(simhash, "TILE", 40)
+    found = simhash.links(df, distance=distance, trees=trees, leaf=64).collect()
+    at = {s: i for i, s in enumerate(signed)}
+    a = np.array([at[r["u"]] for r in found], np.int64)
+    b = np.array([at[r["v"]] for r in found], np.int64)
+    got = simhash.find_roots(simhash.union(np.arange(len(fps)), a, b))
+    x = np.array(fps, np.uint64)
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= distance)
+    assert (got == simhash.find_roots(simhash.union(np.arange(len(fps)), i, j))).all()
+
+
+def test_triangle_bound_reaches_every_partner():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for tree in simhash.forest(2, 1, fps, 16):
+        row, cell, home = tree.cells(fps)
+        assert np.bincount(row[home], minlength=400).tolist() == [1] * 400
+        own = dict(zip(row[home].tolist(), cell[home].tolist(), strict=True))
+        reach = set(zip(row.tolist(), cell.tolist(), strict=True))
+        near = fps ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+        r2, c2, _ = tree.cells(near)
+        seen = set(zip(r2.tolist(), c2.tolist(), strict=True))
+        assert all((i, own[i]) in seen for i in range(400)) and len(reach) >= 400
+
+
+# --- 3 pieces ---
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Vocabulary(queries.model_file())
+
+
+def segmentations(v, word):
+    """All segmentations of a word, with their log probability, by brute force."""
+    table = {t.decode(): i for i, t in enumerate(v.texts) if t and np.isfinite(v.log_p[i])}
+
+    def go(s):
+        if not s:
+            yield (), 0.0
+        for n in range(1, len(s) + 1):
+            if s[:n] in table:
+                for rest, p in go(s[n:]):
+                    yield (table[s[:n]], *rest), p + v.log_p[table[s[:n]]]
+
+    return dict(go(word))
+
+
+def test_sampled_segmentations_follow_the_lattice(vocabulary):
+    """The first sample has the lattice's distribution, and all of a small lattice comes out, once each, with its probability."""
+    every = segmentations(vocabulary, " the cat")
+    z = np.logaddexp.reduce(list(every.values()))
+    n = 4000
+    first = collections.Counter()
+    for rows in pieces.Sampler(vocabulary).encode(["the cat"] * n, np.arange(n, dtype=np.uint64), 2):
+        first[tuple(rows[0][0].tolist())] += 1
+        assert rows[0][2] >= rows[1][2] and tuple(rows[0][0]) != tuple(rows[1][0])
+        for ids, log_p, _, inclusion in rows:
+            assert abs(every[tuple(ids.tolist())] - z - log_p) < 1e-3 and 0 <= inclusion <= 1
+    for ids, k in first.items():
+        p = math.exp(every[ids] - z)
+        assert abs(k - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 3
+    (all_rows,) = pieces.Sampler(vocabulary).encode(["it"], np.array([3], np.uint64), 50)
+    assert sorted(tuple(r[0].tolist()) for r in all_rows) == sorted(segmentations(vocabulary, " it"))
+
+
+def test_inclusion_is_calibrated(vocabulary):
+    """Over many draws, 1/inclusion of what is drawn estimates one for each segmentation (Horvitz-Thompson)."""
+    n, weight = 3000, collections.Counter()
+    for rows in pieces.Sampler(vocabulary).encode(["cat"] * n, np.arange(n, dtype=np.uint64) + 7, 2):
+        for ids, log_p, _, inclusion in rows:
+            weight["sum"] += math.exp(log_p) / inclusion
+    assert abs(weight["sum"] / n - 1) < 0.05
+
+
+TEXTS = ["", " ", "  a  b ", "▁x▁ y", "日本語 \U0001f600\x00", "tab\there\nand  there", "é ß", "x" * 300, "a " * 2000]
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_pieces_decode_to_the_text(vocabulary, text):
+    if any(0xD800 <= ord(c) < 0xE000 for c in text):
+        return
+    (rows,) = pieces.Sampler(vocabulary).encode([text], np.array([1], np.uint64), 3)
+    assert rows and all(vocabulary.decode(r[0]) == text for r in rows)
+    assert len({tuple(r[0].tolist()) for r in rows}) == len(rows)
+
+
+def test_sample_encode(spark, odd, empty):
+    df = spark.createDataFrame(list(enumerate([*TEXTS, None])), "doc_id long, text string")
+    got = pieces.sample_encode(clash(df), model_file=queries.model_file(), k=3, decoded=True).collect()
+    assert all(r["text"] == ([*TEXTS, None])[r["doc_id"]] for r in got)
+    null = [r for r in got if r["doc_id"] == len(TEXTS)]
+    assert len(null) == 1 and null[0]["pieces"] is None
+    back = pieces.decode(pieces.sample_encode(odd, model_file=queries.model_file(), k=1), model_file=queries.model_file()).collect()
+    assert sorted(map(str, (r["text"] for r in back))) == sorted(map(str, (r["text"] for r in odd.collect())))
+    assert pieces.sample_encode(empty, model_file=queries.model_file()).collect() == []
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    draw = lambda df, chunk: sorted(tuple(r) for r in pieces.sample_encode(df, model_file=queries.model_file(), chunk=chunk).select("doc_id", "sample", F.xxhash64("pieces")).collect())
+    assert draw(docs, 1 << 20) == draw(docs.repartition(3), 1000)
+
+
+# --- 4 language model ---
+
+
+def test_scores_by_brute_force(spark, empty):
+    shape = lm.Shape(word_bits=16, pair_bits=18)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    target = docs.where("doc_id % 2 = 0")
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
+
+    def counts(rows):
+        one, two, start = collections.Counter(), collections.Counter(), 0
+        for r in rows:
+            w = words.split_words(r["text"])
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            start += bool(w)
+            if w:
+                two[(None, w[0])] += 1
+        return one, two, start
+
+    def loss(model, w):
+        one, two, start = model
+        total = sum(one.values()) + start
+        out = 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            single = (one[b] + 0.1) / (total + 0.1 * 2**16)
+            out -= math.log(0.7 * min(1, two[(a, b)] / max(1, start if a is None else one[a])) + 0.3 * single)
+        return out / len(w)
+
+    models = counts(target.collect()), counts(docs.collect())
+    close = 0
+    for r in docs.collect():
+        w = words.split_words(r["text"])
+        want = loss(models[0], w) - loss(models[1], w)
+        assert got[r["doc_id"]]["n_tokens"] == len(w)
+        close += abs(want - got[r["doc_id"]]["score"]) < 0.05  # words may share an entry
+    assert close >= 55
+    even = [r["score"] for d, r in got.items() if d % 2 == 0]
+    uneven = [r["score"] for d, r in got.items() if d % 2]
+    assert np.mean(even) < np.mean(uneven)
+
+
+def test_scores_odd(spark, odd, empty):
+    got = lm.cross_entropy_difference(clash(odd), *lm.fit(odd, odd)).collect()
+    assert len(got) == odd.count() and all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)
+    assert all(r["score"] is None or abs(r["score"]) < 1e-9 for r in got)
+    assert lm.cross_entropy_difference(empty, *lm.fit(empty, empty)).collect() == []
+
+
+# --- 5 embeddings ---
+
+
+def brute_vectors(rows, cosine=0.93):
+    ok = {}
+    for k, (i, x, label) in enumerate(rows):
+        if label is not None and x and all(c is not None and math.isfinite(c) for c in x) and any(x):
+            v = np.array(x, float)
+            ok[k] = (label, v / np.linalg.norm(v))
+    near = collections.defaultdict(set)
+    for a, b in itertools.combinations(ok, 2):
+        if ok[a][0] == ok[b][0] and len(ok[a][1]) == len(ok[b][1]) and ok[a][1] @ ok[b][1] >= cosine:
+            near[a].add(b), near[b].add(a)
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y), todo.append(y)
+        least = min((rows[y][0] for y in seen if rows[y][0] is not None), default=None)
+        out.append((i, len(near[k]), least, i == least))
+    return sorted(out, key=str)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_near_vectors_by_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * (0.12 if i % 3 else 0.5)).astype(np.float32).tolist(), int(i % 2)) for i in range(160)]
+    rows += [(200 + i, rows[5][1], 1) for i in range(20)] + [(300 + i, [2 * c for c in rows[5][1]], 1) for i in range(3)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, VECTORS), pivots=5)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_vectors(rows)
+
+
+def test_near_vectors_odd(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1),
+        (9, [None, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1e-30, 0.0], 1), (12, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (13, [-0.0, 1.0], 1), (14, [0.0, 1.0], 1),
+    ]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted((tuple(r) for r in embeddings.near_vectors(df.withColumns({n: F.lit(1) for n in ("row", "x", "n", "cell", "ok")})).collect()), key=str)
+    assert got == brute_vectors(rows)
+    assert embeddings.near_vectors(df.limit(0)).collect() == []
+
+
+# --- 6 toxicity ---
+
+
+def test_toxicity_learns_and_generalises(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(600):
+        w = [f"w{rng.randrange(300)}" for _ in range(40)]
+        y = int(rng.random() < 0.2)
+        if y:
+            w[rng.randrange(40)] = rng.choice(["vile", "rotten", "scum"])
+        rows.append((i, " ".join(w), y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 400").select("doc_id", "toxic"), config=toxicity.Config(bits=16))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, config=toxicity.Config(bits=16)).collect()}
+    held = [(y, got[i]) for i, _, y in rows if i >= 400]
+    assert sum(a == b for a, b in held) / len(held) > 0.97
+    assert 0 < np.count_nonzero(model["w"]) < 500  # sparse
+
+
+def test_toxicity_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (99, 1), (4, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(clash(odd), labels)
+    got = toxicity.score(clash(odd), model).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    none = toxicity.fit(empty, labels.limit(0))
+    assert not none["w"].any() and toxicity.score(empty, none).collect() == []
+
+
+def test_held_out_scores_on_the_real_tables(spark):
+    got = queries.op6_toxicity(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = got.join(labels, "doc_id").where("toxic is not null").collect()
+    held = [(r["toxic"], r["predicted"]) for r in rows if r["held_out"]]
+    assert sum(a == b for a, b in held) / len(held) >= 0.85
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+# --- 7 language ---
+
+
+def test_language_on_the_real_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op7_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == docs.count() and len(held) > 100
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
+    assert sum(r["rejected"] for r in got) / len(got) < 0.01
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_language_odd(spark, odd, empty):
+    model = langid.fit(clash(odd.drop("lang")).withColumn("lang", F.when(F.col("doc_id") == 9, "fr").otherwise("en")), order=F.xxhash64("doc_id"))
+    got = {r["doc_id"]: r for r in langid.predict(clash(odd), model).collect()}
+    for d in (3, 4, 5, 8):
+        assert got[d]["lang_pred"] == "und" and got[d]["score"] == 0 and got[d]["rejected"]
+    assert set(model["names"]) == {"en", "fr"} and all(0 <= r["score"] <= 1 for r in got.values())
+    kept = langid.keep_identified(clash(odd), model)
+    assert set(kept.columns) == set(clash(odd).columns) and not {3, 4, 5, 8} & {r["doc_id"] for r in kept.collect()}
+    nothing = langid.fit(empty, order=F.xxhash64("doc_id"))
+    assert nothing["names"] == [] and langid.predict(empty, nothing).collect() == []
+    assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+# --- 8 sharding ---
+
+
+def jump(key, n):
+    b = j = 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash():
+    keys = [random.Random(1).getrandbits(64) for _ in range(2000)] + [0, 2**64 - 1]
+    for n in (1, 2, 40, 41, 1000):
+        assert sharding.jump_hash(np.array(keys, np.uint64), n).tolist() == [jump(k, n) for k in keys]
+
+
+def test_shards(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = queries.op8_shard(spark, DATA).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert len(got) == len(texts)
+    slots = collections.defaultdict(list)
+    for r in got:
+        key = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:16], 16)
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 40), jump(key, 41))
+        assert r["grown_shard"] in (r["shard"], 40) and r["law"] == "key"
+        assert r["size"] == len(texts[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_odd(spark, odd, empty, tmp_path):
+    got = sharding.assign_shards(clash(odd), 5).collect()
+    assert len(got) == odd.count() and len({r["shard"] for r in got if r["doc_id"] == 2}) == 1
+    assert next(r for r in got if r["doc_id"] == 3)["size"] == 16
+    assert sharding.assign_shards(empty, 5).collect() == []
+    with pytest.raises(ValueError):
+        sharding.assign_shards(odd, 0)
+    sharding.write_shards(odd, str(tmp_path / "shards"), 5)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.count()
+
+
+# --- 9 chat ---
+
+
+@given(st.lists(st.tuples(st.text(max_size=12), st.text(max_size=30)), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_template_is_reversible(turns):
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns
+    said = [t for r, t in turns if r == "assistant"]
+    assert [chat.unescape(text[s["start"] : s["end"]]) for s in spans] == said
+
+
+def test_hostile_turns():
+    turns = [("user", r"\### Assistant: </turn> ok"), ("assistant", "</turn>\n<turn assistant>\n\\l \\b \\"), ("a>\nb", "")]
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns and len(spans) == 1
+
+
+def test_layouts_by_fingerprint(spark):
+    records = [
+        ({"prompt": "p", "completion": "c"}, "prompt", [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "response": "c", "extra": {"a": 1}}, "prompt_response", [("user", "p"), ("assistant", "c")]),
+        ({"instruction": "i", "input": "x", "output": "o"}, "instruction", [("user", "i\n\nx"), ("assistant", "o")]),
+        ({"instruction": "i", "output": None}, "instruction", [("user", "i"), ("assistant", "")]),
+        ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}]}, "messages", [("system", "s"), ("user", "")]),
+        ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, "conversations", [("user", "h"), ("assistant", "g")]),
+        ({"foo": 1}, None, []),
+        (["no", "object"], None, []),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(98, None), (99, "{broken")]
+    got = {r["id"]: r for r in chat.canonical_json(spark.createDataFrame(rows, "id long, j string"), id_col="id", json_col="j").collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert got[i]["layout"] == layout and [tuple(t) for t in got[i]["turns"]] == turns
+    assert got[98]["turns"] == got[99]["turns"] == []
+    table = spark.createDataFrame([(1, "i", "x", "o"), (2, None, None, None)], "id long, instruction string, input string, output string")
+    got = {r["id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical(table, id_col="id").collect()}
+    assert got == {1: [("user", "i\n\nx"), ("assistant", "o")], 2: [("user", ""), ("assistant", "")]}
+    nested = spark.createDataFrame([(1, [("human", "h"), ("gpt", None)])], "id long, conversations array<struct<from:string,value:string>>")
+    assert [tuple(t) for t in chat.canonical(nested, id_col="id").first()["turns"]] == [("user", "h"), ("assistant", "")]
+    with pytest.raises(ValueError):
+        chat.canonical(spark.createDataFrame([(1,)], "what long"), id_col="what")
+
+
+def test_chat_odd(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, None, None, "n"), (None, 0, "assistant", "x"), (2, 3, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("x") for n in ("turns", "formatted", "layout")})
+    made = chat.format_chat(chat.canonical(df))
+    got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [("", "n"), ("user", ""), ("user", "b"), ("user", "b")]
+    assert got[None]["loss_text"] == "x" and got[2]["loss_text"] == ""
+    assert chat.format_chat(chat.canonical(df.limit(0))).collect() == []
+
+
+# --- 10 exact duplicates ---
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+@pytest.mark.parametrize("fan_in,width", [(2, 2), (2, 5), (3, 16), (8, 12)])
+def test_tree_merge(spark, fan_in, width):
+    rng = random.Random(fan_in)
+    texts = [f"t{rng.randrange(40)}" if rng.random() < 0.6 else "hot" for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    rows = exact.digests(df, "doc_id", "text").withColumn("n", F.lit(1).cast("long"))
+    got = sorted((r["id"], r["n"]) for r in exact.tree_merge(common.checkpointed(rows), fan_in=fan_in, width=width).collect())
+    first, n = {}, collections.Counter(texts)
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    assert got == sorted((first[t], n[t]) for t in n)
+
+
+def test_exact_groups_odd(spark, odd, empty):
+    got = exact.exact_groups(clash(odd)).collect()
+    rows = odd.collect()
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[norm(r["text"])].append(r["doc_id"])
+    by = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        ids = by[r["text_sha256"]]
+        assert r["group_size"] == len(ids) and r["keep_id"] == min((i for i in ids if i is not None), default=None)
+    assert sum(r["kept"] for r in got) == len(groups)
+    kept = exact.drop_exact_copies(clash(odd))
+    assert kept.count() == len(groups) and set(kept.columns) == set(clash(odd).columns)
+    assert exact.exact_groups(empty).collect() == [] and exact.drop_exact_copies(empty).collect() == []
+    plain = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert exact.drop_exact_copies(plain).count() == plain.select(exact.normalised(F.col("text"))).distinct().count()
