@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniform_of(key: int) -> float:
+    """The same for one key."""
+    full = (1 << 64) - 1
+    z = key * int(_GOLD) & full
+    z = (z ^ (z >> 30)) * int(_M1) & full
+    z = (z ^ (z >> 27)) * int(_M2) & full
+    return (((z ^ (z >> 31)) >> 11) + 0.5) * 2.0**-53
+
+
 def truncated_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """Gumbel variates at `location`, given that they are at most `bound`."""
     with np.errstate(over="ignore"):
@@ -62,14 +72,15 @@ class Vocabulary:
         self.log_p -= np.log(np.exp(self.log_p[ordinary]).sum() + 256 * np.exp(self.log_byte))
         self.log_byte -= np.log(np.exp(-sharpness * np.log(ranks[: len(ordinary)])).sum() + 256 * np.exp(self.log_byte))
         self.longest = max(map(len, pieces))
+        #: For each length the hashes of all beginnings of pieces, in order, and the piece that a beginning is, or -1.
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
         for size in range(1, self.longest + 1):
-            some = [(p, i) for p, i in pieces.items() if len(p) == size]
-            h = np.zeros(len(some), np.uint64)
+            begun = sorted({p[:size] for p in pieces if len(p) >= size})
+            h = np.zeros(len(begun), np.uint64)
             for k in range(size):
-                h = h * _BASE + np.array([ord(p[k]) for p, _ in some], np.uint64)
+                h = h * _BASE + np.array([ord(p[k]) for p in begun], np.uint64)
             order = np.argsort(h)
-            self.by_length.append((h[order], np.array([i for _, i in some], np.int64)[order]))
+            self.by_length.append((h[order], np.array([pieces.get(p, -1) for p in begun], np.int64)[order]))
         self.lengths = np.array([len(t) for t in self.texts])
         self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -105,16 +116,27 @@ class Lattices:
     rises from i to i + 1, so that one sorted search draws an edge.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 120_000):
+    #: What is held of words, nodes and edges: a word's first node; where a node's edges end; and of each edge the rest.
+    KINDS = {"first": np.int64, "edge_end": np.int64, "reach": np.float64, "log_q": np.float32, "span": np.int32, "piece": np.int32}
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         self.v, self.limit = vocabulary, limit
+        self.room = {name: np.zeros(1 << 16, kind) for name, kind in self.KINDS.items()}
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)  # a word's first node
-        self.edge_end = np.zeros(0, np.int64)  # of each node; of a word's last node, where it begins
-        self.reach, self.log_q = np.zeros(0), np.zeros(0, np.float32)
-        self.span, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.but_one: dict[tuple, float] = {}
+        for name in self.KINDS:
+            setattr(self, name, self.room[name][:0])
+
+    def _append(self, name: str, more: np.ndarray) -> None:
+        n, room = len(getattr(self, name)), self.room[name]
+        if n + len(more) > len(room):
+            self.room[name] = np.zeros(max(2 * len(room), n + len(more)), room.dtype)
+            self.room[name][:n] = room[:n]
+        self.room[name][n : n + len(more)] = more
+        setattr(self, name, self.room[name][: n + len(more)])
 
     def words(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """For each text the numbers of its words, a word being a space run and what follows it."""
@@ -140,21 +162,17 @@ class Lattices:
         return [np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)) for parts in split], [len(p) for p in split]
 
     def _build(self, new: list[str], at_once: int = 1 << 16) -> None:
-        parts = [[self.first], [self.edge_end], [self.reach], [self.log_q], [self.span], [self.piece]]
-        nodes, edges = len(self.edge_end), len(self.reach)
         size, some = 0, []
         for k, w in enumerate(new):
             some.append(w)
             size += len(w) + 2
             if size >= at_once or k == len(new) - 1:
                 first, ends, reach, log_q, span, piece = self._lattice(some)
-                for w2, f in zip(some, range(len(self.known), len(self.known) + len(some)), strict=True):
-                    self.known[w2] = f
-                for out, x in zip(parts, (first + nodes, ends + edges, reach + nodes, log_q, span, piece), strict=True):
-                    out.append(x)
-                nodes, edges, size, some = nodes + len(ends), edges + len(reach), 0, []
-        if new:
-            self.first, self.edge_end, self.reach, self.log_q, self.span, self.piece = (np.concatenate(x) for x in parts)
+                self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+                nodes, edges = len(self.edge_end), len(self.reach)
+                for name, x in zip(self.KINDS, (first + nodes, ends + edges, reach + nodes, log_q, span, piece), strict=True):
+                    self._append(name, x)
+                size, some = 0, []
 
     def _lattice(self, words: list[str]):
         v = self.v
@@ -163,8 +181,7 @@ class Lattices:
         ends = np.cumsum(sizes) - 1
         first, n = ends - sizes + 1, len(chars)
         left = np.repeat(ends, sizes) - np.arange(n)  # characters from here to the word's end
-        log_e, ids = np.full((n, v.longest), -np.inf), np.zeros((n, v.longest), np.int32)
-        h, at = np.zeros(n, np.uint64), np.arange(n)
+        found, h, at = [], np.zeros(n, np.uint64), np.arange(n)
         for size in range(1, v.longest + 1):
             at = at[left[at] >= size]
             if not len(at):
@@ -172,23 +189,26 @@ class Lattices:
             with np.errstate(over="ignore"):
                 h[at] = h[at] * _BASE + chars[at + size - 1]
             hashes, which = v.by_length[size - 1]
-            if len(hashes):
-                k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                hit = hashes[k] == h[at]
-                log_e[at[hit], size - 1] = v.log_p[which[k[hit]]]
-                ids[at[hit], size - 1] = which[k[hit]]
+            k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+            begun = hashes[k] == h[at]
+            at, k = at[begun], which[k[begun]]  # what begins no piece begins no longer one
+            found.append((at[k >= 0], k[k >= 0]))
+        widest = max([1, *(i + 1 for i, (a, _) in enumerate(found) if len(a))])
+        log_e, ids = np.full((n, widest), -np.inf), np.zeros((n, widest), np.int32)
+        for size, (a, k) in enumerate(found[:widest]):
+            log_e[a, size], ids[a, size] = v.log_p[k], k
         lone = np.flatnonzero((left > 0) & np.isinf(log_e[:, 0]))
         c = chars[lone]
         log_e[lone, 0] = v.log_byte * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
         ids[lone, 0] = -1 - c.astype(np.int64)
-        beta = np.full(n + v.longest, -np.inf)
+        beta = np.full(n + widest, -np.inf)
         beta[ends] = 0
         order = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(left.max() + 2))
-        steps = np.arange(1, v.longest + 1)
+        steps = np.arange(1, widest + 1)
         for d in range(1, int(left.max()) + 1):
             at = order[cuts[d] : cuts[d + 1]]
-            wide = min(d, v.longest)
+            wide = min(d, widest)
             x = log_e[at, :wide] + beta[at[:, None] + steps[:wide]]
             m = x.max(axis=1)
             beta[at] = m + np.log(np.exp(x - m[:, None]).sum(axis=1))
@@ -205,7 +225,7 @@ class Lattices:
 
     def sample(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draw a segmentation of each word: (pieces of all, number of each, log probability of each)."""
-        order = np.argsort(words, kind="stable")  # equal words are drawn side by side, for the search's sake
+        order = np.argsort(words)  # equal words are drawn side by side, for the search's sake
         node = self.first[words[order]]
         live, log_p, count = order, np.zeros(len(words)), np.zeros(len(words), np.int64)
         steps, t = [], 0
@@ -224,44 +244,64 @@ class Lattices:
             out[starts[at] + t] = pieces
         return out, count, np.minimum(log_p, 0.0)
 
-    def edges(self, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def edges(self, node: int) -> list[tuple[float, int, int]]:
         """(probability, nodes on, piece) of each edge of a node."""
         a, b = int(self.edge_end[node - 1]) if node else 0, int(self.edge_end[node])
-        return np.exp(self.log_q[a:b].astype(np.float64)), self.span[a:b], self.piece[a:b]
-
-    def probability(self, word: int, pieces: tuple) -> float:
-        node, p = int(self.first[word]), 1.0
-        for piece in pieces:
-            q, span, ids = self.edges(node)
-            k = int(np.flatnonzero(ids == piece)[0])
-            p, node = p * q[k], node + int(span[k])
-        return p
-
-    def sample_other(self, word: int, without: list[tuple], key: np.uint64) -> tuple[tuple, float] | None:
-        """A segmentation that is none of `without`, drawn from the rest in proportion; and its probability among all."""
-        node, p, out, rest, t = int(self.first[word]), 1.0, [], list(without), 0
-        while True:
-            q, span, ids = self.edges(node)
-            if not len(q):
-                return (tuple(out), p) if out and not any(r == () for r in rest) else None
-            mass = q.copy()
-            for r in rest:
-                k = int(np.flatnonzero(ids == r[0])[0])
-                tail, at = q[k], node + int(span[k])
-                for piece in r[1:]:
-                    q2, s2, i2 = self.edges(at)
-                    j = int(np.flatnonzero(i2 == piece)[0])
-                    tail, at = tail * q2[j], at + int(s2[j])
-                mass[k] -= tail
-            mass = np.where(mass > 1e-12 * q, np.maximum(mass, 0), 0)
-            if not mass.sum() > 0:
-                return None
-            with np.errstate(over="ignore"):
-                u = uniform(np.array([key + np.uint64(t) * _M2]))[0]
-            k = int(min(np.searchsorted(np.cumsum(mass) / mass.sum(), u, side="right"), np.flatnonzero(mass)[-1]))
-            rest = [r[1:] for r in rest if r[0] == ids[k]]
-            out.append(int(ids[k]))
-            p, node, t = p * q[k], node + int(span[k]), t + 1
+        return [(math.exp(q), s, p) for q, s, p in zip(self.log_q[a:b].tolist(), self.span[a:b].tolist(), self.piece[a:b].tolist(), strict=True)]
+
+    def _left_over(self, word: int, without: list[tuple]) -> tuple[list, list[float]]:
+        """The paths of `without` as a tree of [edges, {piece: child}], and below each of its nodes what they leave of the probability.
+
+        That is a sum of what branches off, so it is exact however little is left.
+        """
+        tree, todo = [], [(int(self.first[word]), without, 0, None)]
+        while todo:
+            node, rest, depth, parent = todo.pop()
+            edges = self.edges(node)
+            if parent is not None:
+                tree[parent[0]][1][parent[1]] = len(tree)
+            at = len(tree)
+            tree.append((edges, {}))
+            if edges:
+                for q, span, piece in edges:
+                    own = [r for r in rest if r[depth] == piece]
+                    if own:
+                        todo.append((node + span, own, depth + 1, (at, piece)))
+        left = [0.0] * len(tree)
+        for at in range(len(tree) - 1, -1, -1):
+            edges, kids = tree[at]
+            left[at] = sum(q * (left[kids[piece]] if piece in kids else 1.0) for q, _, piece in edges)
+        return tree, left
+
+    def remaining(self, word: int, without: list[tuple]) -> float:
+        """The probability of all segmentations of a word but those in `without`."""
+        return self._left_over(word, without)[1][0]
+
+    def remaining_but(self, word: int, pieces: tuple) -> float:
+        """`remaining` without one segmentation, remembered."""
+        key = (word, pieces)
+        if key not in self.but_one:
+            self.but_one[key] = self.remaining(word, [pieces])
+        return self.but_one[key]
+
+    def sample_other(self, word: int, without: list[tuple], key: int) -> tuple[tuple, float] | None:
+        """A segmentation that is none of `without`, drawn from the rest in proportion, and its probability; null if there is none."""
+        tree, left = self._left_over(word, without)
+        if not left[0] > 0:
+            return None
+        node, p, out, t, at = int(self.first[word]), 1.0, [], 0, 0
+        while edges := tree[at][0] if at is not None else self.edges(node):
+            kids = tree[at][1] if at is not None else {}
+            mass = [q * (left[kids[piece]] if piece in kids else 1.0) for q, _, piece in edges]
+            u, k = uniform_of(key + t * 0x94D049BB133111EB) * sum(mass), 0
+            last = max(j for j, m in enumerate(mass) if m > 0)
+            while k < last and u >= mass[k]:
+                u -= mass[k]
+                k += 1
+            q, span, piece = edges[k]
+            out.append(piece)
+            p, node, t, at = p * q, node + span, t + 1, kids.get(piece)
+        return tuple(out), p
 
 
 class Sampler:
@@ -322,19 +362,33 @@ class Sampler:
             begin = len(head_log)  # what differs before is not in this set
             if without is not None:
                 heapq.heappush(heaps[i], without)
-            if begin < len(log_ps):
-                before = np.concatenate([[0.0], np.cumsum(log_ps)])[begin:-1]
-                with np.errstate(divide="ignore", over="ignore"):
-                    mass = before + np.log(np.where(log_ps[begin:] > -1e-12, 0.0, -np.expm1(log_ps[begin:])))
-                    u = uniform(keys[i] * _M1 + np.uint64(r + 1) * _GOLD + np.arange(begin, len(log_ps), dtype=np.uint64) * _M2)
-                    values = truncated_gumbel(mass, g, u)
-                for j in np.argsort(-values, kind="stable")[: k - r] if len(values) <= 64 else self._largest(values, k - r):
-                    if values[j] > -np.inf:
-                        heapq.heappush(heaps[i], (-float(values[j]), r, len(done[i]) - 1, begin + int(j), None))
-
-    @staticmethod
-    def _largest(values: np.ndarray, n: int) -> np.ndarray:
-        return np.argpartition(-values, min(n, len(values) - 1))[:n]
+            self._part(i, words[i], keys[i], begin, log_ps, all_counts, all_pieces, g, r, k - r, len(done[i]) - 1, heaps[i])
+
+    def _part(self, i, words, key, begin, log_ps, counts, pieces, g, r: int, most: int, s: int, heap) -> None:
+        """Push the `most` best of the sets that agree with a sample up to some word, from `begin` on, and differ there.
+
+        A variate exceeds its location by less than 38, as its uniform number has 53 bits, and locations fall along
+        the text. So only words are looked at whose location is not that far below the best values found.
+        """
+        before = np.concatenate([[0.0], np.cumsum(log_ps)])[begin:-1]
+        at, until, ends, best = 0, min(64, len(before)), None, []
+        while at < until:
+            part = slice(begin + at, begin + until)
+            rest = -np.expm1(log_ps[part])
+            near = np.flatnonzero(rest < 1e-9)  # so little that it may be rounding
+            if len(near):
+                ends = np.cumsum(counts) if ends is None else ends
+                spots = [begin + at + int(j) for j in near]
+                rest[near] = [self.lattices.remaining_but(int(words[x]), tuple(pieces[ends[x] - counts[x] : ends[x]].tolist())) for x in spots]
+            with np.errstate(divide="ignore", over="ignore"):
+                u = uniform(key * _M1 + np.uint64(r + 1) * _GOLD + np.arange(part.start, part.stop, dtype=np.uint64) * _M2)
+                values = truncated_gumbel(before[at:until] + np.log(rest), g, u)
+            best += [(-float(values[j]), r, s, part.start + int(j), None) for j in np.argsort(-values, kind="stable")[:most] if values[j] > -np.inf]
+            best = sorted(best, key=lambda x: x[:4])[:most]
+            bound = -best[-1][0] - 38 if len(best) == most else -np.inf
+            at, until = until, min(len(before), max(until, int(np.searchsorted(-before, -bound, side="right"))), 4 * until)
+        for x in best:
+            heapq.heappush(heap, x)
 
     def _open(self, words, key, heap, done, r: int):
         """The best set's own best member: the prefix, a word that differs, and the set that is left at that word."""
@@ -344,8 +398,7 @@ class Sampler:
             ends = np.cumsum(counts)
             start = int(ends[w] - counts[w])
             without = without or [tuple(pieces[start : int(ends[w])].tolist())]
-            with np.errstate(over="ignore"):
-                own = key * _M2 + np.uint64(w) * _GOLD + np.uint64(r + 1) * _M1
+            own = int(key) * int(_M2) + w * int(_GOLD) + (r + 1) * int(_M1)
             other = self.lattices.sample_other(int(words[w]), without, own)
             if other is None:
                 continue
@@ -354,11 +407,10 @@ class Sampler:
             head_log = np.concatenate([log_ps[:w], [min(0.0, float(np.log(max(p, 1e-300))))]])
             head_counts = np.concatenate([counts[:w], [len(said)]])
             more = [*without, said]
-            mass = 1.0 - sum(self.lattices.probability(int(words[w]), x) for x in more)
+            mass = self.lattices.remaining(int(words[w]), more)
             left = None
-            if mass > 1e-9:
-                with np.errstate(over="ignore"):
-                    u = uniform(np.array([own + np.uint64(7)]))
+            if mass > 0:
+                u = np.array([uniform_of(own + 7)])
                 v = truncated_gumbel(np.array([float(log_ps[:w].sum()) + np.log(mass)]), -value, u)[0]
                 left = (-float(v), r + 1, s, w, more)
             return left, w, head, head_log, head_counts, -value
@@ -366,7 +418,7 @@ class Sampler:
 
 
 def sample_encode(
-    docs: DataFrame, *, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, sharpness: float = 1.0, decoded: bool = False, chunk: int = 1 << 19
+    docs: DataFrame, *, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, sharpness: float = 1.0, decoded: bool = False, chunk: int = 1 << 20
 ) -> DataFrame:
     """(id, sample, pieces, log_prob, perturbed, inclusion) for up to k distinct segmentations of each whole text.
 
