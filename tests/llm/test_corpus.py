@@ -290,39 +290,36 @@ def test_samples_do_not_depend_on_partitions(spark):
 
 
 def test_scores_by_brute_force(spark, empty):
-    shape = lm.Shape(word_bits=16, pair_bits=18)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    """Counts and losses by plain dictionaries over the entries of words and word pairs."""
+    shape = lm.Shape()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 80")
     target = docs.where("doc_id % 2 = 0")
     got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
 
+    def entries(text):
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words.split_words(text)], np.uint64)
+        return list(zip(*(x.tolist() for x in shape.entries(h)), strict=True))
+
     def counts(rows):
-        one, two, start = collections.Counter(), collections.Counter(), 0
+        out = collections.Counter()
         for r in rows:
-            w = words.split_words(r["text"])
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
-            start += bool(w)
-            if w:
-                two[(None, w[0])] += 1
-        return one, two, start
-
-    def loss(model, w):
-        one, two, start = model
-        total = sum(one.values()) + start
-        out = 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            single = (one[b] + 0.1) / (total + 0.1 * 2**16)
-            out -= math.log(0.7 * min(1, two[(a, b)] / max(1, start if a is None else one[a])) + 0.3 * single)
-        return out / len(w)
+            for k, (word, context, pair) in enumerate(entries(r["text"])):
+                out[word] += 1
+                out[pair] += 1
+                out[context] += k == 0
+        return out
+
+    def loss(n, tokens):
+        total = sum(k for e, k in n.items() if e < 2**shape.word_bits)
+        single = lambda w: (n[w] + 0.1) / (total + 0.1 * 2**shape.word_bits)
+        return -sum(math.log(0.7 * min(1, n[p] / max(1, n[c])) + 0.3 * single(w)) for w, c, p in tokens) / len(tokens)
 
     models = counts(target.collect()), counts(docs.collect())
-    close = 0
     for r in docs.collect():
-        w = words.split_words(r["text"])
-        want = loss(models[0], w) - loss(models[1], w)
-        assert got[r["doc_id"]]["n_tokens"] == len(w)
-        close += abs(want - got[r["doc_id"]]["score"]) < 0.05  # words may share an entry
-    assert close >= 55
+        tokens, row = entries(r["text"]), got[r["doc_id"]]
+        assert row["n_tokens"] == len(tokens)
+        assert abs(loss(models[0], tokens) - row["target_loss"]) < 1e-3 and abs(loss(models[1], tokens) - row["background_loss"]) < 1e-3
+        assert abs(row["target_loss"] - row["background_loss"] - row["score"]) < 1e-9
     even = [r["score"] for d, r in got.items() if d % 2 == 0]
     uneven = [r["score"] for d, r in got.items() if d % 2]
     assert np.mean(even) < np.mean(uneven)
@@ -391,16 +388,16 @@ def test_near_vectors_odd(spark):
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(1)
     rows = []
-    for i in range(600):
+    for i in range(1500):
         w = [f"w{rng.randrange(300)}" for _ in range(40)]
         y = int(rng.random() < 0.2)
         if y:
             w[rng.randrange(40)] = rng.choice(["vile", "rotten", "scum"])
         rows.append((i, " ".join(w), y))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 400").select("doc_id", "toxic"), config=toxicity.Config(bits=16))
+    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 1200").select("doc_id", "toxic"), config=toxicity.Config(bits=16))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, config=toxicity.Config(bits=16)).collect()}
-    held = [(y, got[i]) for i, _, y in rows if i >= 400]
+    held = [(y, got[i]) for i, _, y in rows if i >= 1200]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     assert 0 < np.count_nonzero(model["w"]) < 500  # sparse
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components
@@ -38,7 +38,7 @@ def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
-def usable(vector: str, label: str) -> F.Column:
+def usable(vector: str, label: str) -> Column:
     """Not null, not empty, not all zero, all components finite, and a label."""
     x = F.col(vector)
     return F.coalesce(
@@ -135,14 +135,14 @@ def near_vectors(
     tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(TILE))).cast("int")
     sized = placed.join(sizes.select("label", "k", "cell", tiles("homes").alias("h"), tiles("visits").alias("v"), "visits"), ["label", "k", "cell"])
     sized = sized.withColumn("own", F.pmod(F.xxhash64("row"), F.when(F.col("home"), F.col("h")).otherwise(F.col("v"))).cast("int"))
-    span = lambda a, b: F.when(F.lit(a) < b, F.sequence(F.lit(a), b - 1)).otherwise(F.array().cast("array<int>")) if isinstance(a, int) else F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    named = lambda kind, xs, side: F.transform(xs, lambda y: F.struct(F.lit(kind).alias("kind"), *(F.col("own").alias("a"), y.alias("b")) if side == "left" else (y.alias("a"), F.col("own").alias("b")), F.lit(side).alias("side")))
+    own, homes = F.col("own"), F.sequence(F.lit(0), F.col("h") - 1)
+    visits = F.when(F.col("visits") > 0, F.sequence(F.lit(0), F.col("v") - 1)).otherwise(F.array().cast("array<int>"))
     at_home = F.concat(
-        named("homes", span(F.col("own"), F.col("h")), "left"),
-        named("homes", span(0, F.col("own")), "right"),
-        F.when(F.col("visits") > 0, named("visits", span(0, F.col("v")), "left")).otherwise(F.array()),
+        _in_tiles("homes", "left", own, F.filter(homes, lambda y: y >= F.col("own"))),
+        _in_tiles("homes", "right", own, F.filter(homes, lambda y: y < F.col("own"))),
+        _in_tiles("visits", "left", own, visits),
     )
-    dealt = sized.withColumn("to", F.explode(F.when(F.col("home"), at_home).otherwise(named("visits", span(0, F.col("h")), "right"))))
+    dealt = sized.withColumn("to", F.explode(F.when(F.col("home"), at_home).otherwise(_in_tiles("visits", "right", own, homes))))
     dealt = dealt.select("label", "k", "cell", "to.*", "row", "n", "x")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +161,16 @@ def near_vectors(
     return out.select(F.col("id").alias(id_col), "n_links", F.col("smallest").alias("component_id"), F.col("id").eqNullSafe(F.col("smallest")).alias("kept"))
 
 
+def _in_tiles(kind: str, side: str, own: Column, others: Column) -> Column:
+    """The tiles (kind, a, b) that a vector of part `own` is in, on one side, with each of the parts on the other."""
+    return F.transform(
+        others,
+        lambda y: F.struct(
+            F.lit(kind).alias("kind"), (own if side == "left" else y).alias("a"), (y if side == "left" else own).alias("b"), F.lit(side).alias("side")
+        ),
+    )
+
+
 def _tile(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one tile: of each vector how many rows it links to, and a root for those linked.
 

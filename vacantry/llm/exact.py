@@ -118,10 +118,11 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     no other.
     """
     rows = checkpointed(digests(docs, id_col, text_col))
-    kept = _grouped(rows, fan_in).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    kept = _grouped(rows, fan_in).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__kept"))
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
     if repeated.isEmpty():
         return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
-    tagged = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    match = tagged.join(kept.withColumnRenamed("__digest", "__kept"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return match.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    digest = next(n for n in ("__digest" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    tagged = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
+    match = tagged.join(kept, tagged[id_col].eqNullSafe(kept["__id"]) & (tagged[digest] == kept["__kept"]), "left_semi")
+    return match.dropDuplicates([id_col, digest]).drop(digest)
