@@ -325,6 +325,34 @@ def test_scores_by_brute_force(spark, empty):
     assert np.mean(even) < np.mean(uneven)
 
 
+@pytest.mark.parametrize("bits", [4, 17])
+def test_each_word_and_bigram_has_its_own_count(spark, bits):
+    """By dictionaries over the words themselves: however few entries a table would have, none is shared."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    texts = {r["doc_id"]: [None, *words.split_words(r["text"])] for r in docs.collect()}
+    target = docs.where("doc_id % 3 = 0")
+    models = []
+    for of in ([t for d, t in texts.items() if d % 3 == 0], list(texts.values())):
+        of = [t for t in of if len(t) > 1]
+        models.append((collections.Counter(w for t in of for w in t), collections.Counter(p for t in of for p in itertools.pairwise(t))))
+    size = max(2**bits, len(models[1][0]))
+
+    def loss(single, double, text):
+        p = lambda a, b: 0.7 * double[a, b] / max(1, single[a]) + 0.3 * (single[b] + 0.1) / (single.total() + 0.1 * size)
+        return -sum(math.log(p(a, b)) for a, b in itertools.pairwise(text)) / (len(text) - 1)
+
+    shape = lm.Shape(word_bits=bits)
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        assert got[d]["n_tokens"] == len(text) - 1
+        if len(text) > 1:
+            t, b = (loss(*m, text) for m in models)
+            assert abs(got[d]["target_loss"] - t) < 1e-6 and abs(got[d]["background_loss"] - b) < 1e-6
+    marked = {r["doc_id"]: r["score"] for r in lm.difference_from_marked(docs, target, shape=shape).collect()}
+    assert marked == pytest.approx({d: r["score"] for d, r in got.items()}, abs=1e-9)
+
+
 def test_scores_odd(spark, odd, empty):
     got = lm.cross_entropy_difference(clash(odd), *lm.fit(odd, odd)).collect()
     assert len(got) == odd.count() and all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)

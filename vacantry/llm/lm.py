@@ -2,92 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Hashes, bucket, pairs, split_words
+from .common import checkpointed, shuffle_partitions
+from .words import Hashes, pairs, split_words
 
 START = np.uint64(0x51ED270B)
+#: What a row is for: counted in the target or the background, scored, or only the id of a row of the target.
+TARGET, BACKGROUND, SCORED, MARK = 1, 2, 4, 8
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What both models share: 2**word_bits vocabulary entries, 2**pair_bits bigram entries and the smoothing.
+    """What both models share: the smoothing, over a vocabulary of 2**word_bits words or of all in the corpus, if they are more.
 
-    Every word of the corpus has an entry, by hash, so no word is unknown and the models' size is fixed.
+    Every word and every bigram has an entry of its own, a hash of 62 bits or more, so the models grow with the corpus.
     """
 
     word_bits: int = 17
-    pair_bits: int = 20
     weight: float = 0.7  # of the bigram estimate; the rest is for the unigram estimate
     added: float = 0.1  # to each unigram count
 
-    def entries(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, context, bigram) entry of each token; bigram entries come after the vocabulary's."""
-        before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
-        spread = lambda h: bucket(h * np.uint64(0x9E3779B97F4A7C15), self.word_bits)
-        return spread(hashes), spread(before), (1 << self.word_bits) + bucket(pairs(before, hashes, 1), self.pair_bits)
-
-    @property
-    def size(self) -> int:
-        return (1 << self.word_bits) + (1 << self.pair_bits)
-
-
-def ngram_counts(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
-    """(entry, n): how often each entry occurs in all of `docs`; each task adds up its own partition first.
-
-    The context START is counted in its vocabulary entry once for each text that has words.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(shape.size, np.int64), Hashes()
-        for b in batches:
-            for t in b.column(0):
-                hashes = known.of(split_words(t.as_py()))
-                if len(hashes):
-                    word, context, pair = shape.entries(hashes)
-                    np.add.at(counts, word, 1)
-                    np.add.at(counts, pair, 1)
-                    counts[context[0]] += 1
-        found = np.flatnonzero(counts)
-        for at in range(0, len(found), 1 << 16):
-            part = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["entry", "n"])
-
-    each = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "entry int, n long")
-    return each.groupBy("entry").agg(F.sum("n").alias("n"))
+    def entries(self, hashes: np.ndarray, first: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, context, bigram) entry of each token; words are negative. Texts begin at 0 and at `first`."""
+        before = np.roll(hashes, 1)
+        before[:1] = START
+        before[np.asarray(first, np.int64)] = START
+        word = lambda h: (h | np.uint64(1 << 63)).view(np.int64)
+        return word(hashes), word(before), (pairs(before, hashes, 1) >> np.uint64(2) | np.uint64(1 << 62)).view(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
-    shape: Shape
-    counts: np.ndarray
+    """The texts (column `t`) whose words and bigrams are counted where documents are scored."""
 
-    def log_prob(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        s, c, total = self.shape, self.counts, self.counts[: 1 << self.shape.word_bits].sum()
-        single = (c[word] + s.added) / (total + s.added * (1 << s.word_bits))
-        double = np.minimum(1.0, c[pair] / np.maximum(c[context], 1))
-        return np.log(s.weight * double + (1 - s.weight) * single)
+    shape: Shape
+    texts: DataFrame
 
 
 def fit(target: DataFrame, background: DataFrame, *, text_col: str = "text", shape: Shape = Shape()) -> tuple[Model, Model]:  # noqa: B008
-    """The two models, counted over all rows of both tables.
-
-    At most shape.size rows of three numbers, whatever the input, come to the driver.
-    """
-    t, b = (ngram_counts(df, text_col, shape).withColumnRenamed("n", name) for df, name in ((target, "t"), (background, "b")))
-    found = b.join(t, "entry", "full").select("entry", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("b", F.lit(0)).alias("b")).toArrow()
-    out = []
-    for name in ("t", "b"):
-        counts = np.zeros(shape.size, np.float64)
-        counts[found["entry"].to_numpy()] = found[name].to_numpy()
-        out.append(Model(shape, counts.astype(np.float32)))
-    return tuple(out)
+    """The two models, of all rows of both tables."""
+    return tuple(Model(shape, df.select(F.col(text_col).cast("string").alias("t"))) for df in (target, background))
 
 
 def cross_entropy_difference(docs: DataFrame, target: Model, background: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,23 +58,136 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model,
     like the target. A null text or one without words has no tokens, and null losses and score. Ids are passed
     through, nulls and repeats too; extra columns are ignored.
     """
-    models = docs.sparkSession.sparkContext.broadcast((target, background))
+    rows = _rows(docs, SCORED, F.col(id_col), F.col(text_col))
+    none = F.lit(None).cast(docs.schema[id_col].dataType)
+    for model, use in ((target, TARGET), (background, BACKGROUND)):
+        rows = rows.unionAll(_rows(model.texts, use, none, F.col("t")))
+    return _scored(rows, target.shape, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for b in batches:
-            n, losses = [], ([], [])
-            for t in b.column(1):
-                hashes = known.of(split_words(t.as_py()))
-                n.append(len(hashes))
-                at = models.value[0].shape.entries(hashes)
-                for out, model in zip(losses, models.value, strict=True):
-                    out.append(-float(model.log_prob(*at).mean(dtype=np.float64)) if len(hashes) else None)
-            diff = [None if x is None else x - y for x, y in zip(*losses, strict=True)]
-            arrays = [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (*losses, diff))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def difference_from_marked(docs: DataFrame, marked: DataFrame, *, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """The same with `docs` as background and, as target, the rows whose id `marked` has in its column `id_col`."""
+    rows = _rows(docs, BACKGROUND | SCORED, F.col(id_col), F.col(text_col))
+    ids = marked.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
+    return _scored(rows.unionAll(_rows(ids, MARK, F.col("id"), F.lit(None))), shape, id_col)
+
+
+def _rows(df: DataFrame, use: int, of: Column, text: Column) -> DataFrame:
+    return df.select(of.alias("id"), text.cast("string").alias("text"), F.lit(use).alias("use"))
+
+
+def _slots(spark: SparkSession) -> list[int]:
+    """Numbers that a shuffle by them deals to one partition each, about as many as it has partitions."""
+    n = shuffle_partitions(spark)
+    number = F.col("id").cast("int")
+    found = spark.range(40 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("slot"))
+    return sorted(r["slot"] for r in found.collect())
+
+
+def _scored(rows: DataFrame, shape: Shape, id_col: str) -> DataFrame:
+    """Rows are dealt to groups. A group asks, for each of its entries once, the bucket of that entry, telling its
+    own counts; a bucket adds up what all groups tell and answers each in its order. What a group asks depends only
+    on which rows it has, so it is found again when the answers come. Groups and buckets grow in number with the
+    shuffle's partitions; only totals come to the driver.
+    """
+    slots = _slots(rows.sparkSession)
+    spread = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))  # an id that is null counts for nothing
+    at = F.pmod(spread, F.lit(len(slots)))
+    rows = rows.withColumn("group", F.element_at(F.array(*map(F.lit, slots)), (at + 1).cast("int")))
+
+    def ask(table: pa.Table) -> pa.Table:
+        use = table["use"].to_numpy()
+        marked = set(table["id"].filter(pa.array(use == MARK)).to_pylist())
+        table, use = table.filter(pa.array(use != MARK)), use[use != MARK]
+        seen = _Entries(table["text"], shape)
+        told = use & TARGET != 0
+        if marked:
+            told |= np.fromiter((x in marked for x in table["id"].to_pylist()), bool, len(use))
+        counts = [seen.counts(x) for x in (told, use & BACKGROUND != 0)]
+        out = [(slots[k], table["group"][0].as_py(), _packed(np.diff(seen.keys[i], prepend=0)), *(_packed(c[i]) for c in counts)) for k, i in seen.buckets(len(slots))] if len(use) else []
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, ASKED.types, strict=True)], schema=ASKED)
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(_unpacked(x.as_py())) for x in table["keys"]]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        ends = np.cumsum([len(x) for x in asked])[:-1]
+        sums = [np.bincount(at, np.concatenate([_unpacked(x.as_py()) for x in table[n]]), len(keys)).astype(np.int64) for n in ("t", "b")]
+        back = [[_packed(x) for x in np.split(s[at], ends)] for s in sums]
+        words = keys < 0
+        known = [int((words & (sums[0] + sums[1] > 0)).sum()), *(int(s[words].sum()) for s in sums)]
+        rest = [[x] + [0] * (len(asked) - 1) for x in known]
+        return pa.table([table["group"], table["bucket"], *map(pa.array, back), *(pa.array(x, pa.int64()) for x in rest)], names=["group", "bucket", "t", "b", "words", "n_t", "n_b"])
+
+    asked = rows.groupBy("group").applyInArrow(ask, "bucket int, group int, keys binary, t binary, b binary")
+    answers = checkpointed(asked.groupBy("bucket").applyInArrow(answer, "group int, bucket int, t binary, b binary, words long, n_t long, n_b long"))
+    words, *totals = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n_t"), F.sum("n_b")).first())
+    smoothed = shape.added * max(1 << shape.word_bits, words)
+
+    def losses(table: pa.Table, found: pa.Table) -> pa.Table:
+        seen = _Entries(table["text"], shape)
+        place = dict(seen.buckets(len(slots)))
+        number = {s: k for k, s in enumerate(slots)}
+        out = []
+        for name, total in zip(("t", "b"), totals, strict=True):
+            c = np.zeros(len(seen.keys))
+            for bucket, x in zip(found["bucket"].to_pylist(), found[name], strict=True):
+                c[place[number[bucket]]] = _unpacked(x.as_py())
+            single = (c[seen.word] + shape.added) / (total + smoothed)
+            double = c[seen.pair] / np.maximum(c[seen.context], 1)
+            log_prob = np.log(shape.weight * double + (1 - shape.weight) * single)
+            out.append(-np.bincount(seen.text, log_prob, len(seen.sizes)) / np.maximum(seen.sizes, 1))
+        wanted = table["use"].to_numpy() & SCORED != 0
+        none = (seen.sizes == 0)[wanted]
+        values = [pa.array(x[wanted], mask=none) for x in (*out, out[0] - out[1])]
+        return pa.table([table["id"].filter(pa.array(wanted)), pa.array(seen.sizes[wanted]), *values], names=names)
+
+    kind = rows.schema["id"].dataType.simpleString()
     names = [id_col, "n_tokens", "target_loss", "background_loss", "score"]
     schema = f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    left = rows.where(F.col("use") != MARK).groupBy("group")
+    return left.cogroup(answers.select("group", "bucket", "t", "b").groupBy("group")).applyInArrow(losses, schema)
+
+
+ASKED = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())])
+
+
+class _Entries:
+    """The different entries of some texts in order (`keys`), and for each token its text and where its entries are in `keys`."""
+
+    def __init__(self, texts: pa.ChunkedArray, shape: Shape):
+        known = Hashes()
+        each = [known.of(split_words(t.as_py())) for t in texts]
+        self.sizes = np.array([len(x) for x in each], np.int64)
+        self.text = np.repeat(np.arange(len(each)), self.sizes)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *each])
+        first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        word, context, pair = shape.entries(hashes, first)
+        self.keys, at = np.unique(np.concatenate([word, context[:1], pair]), return_inverse=True)
+        n = len(word)
+        self.word, start, self.pair = at[:n], at[n : n + len(context[:1])], at[n + len(context[:1]) :]
+        self.context = np.roll(self.word, 1)
+        self.context[first] = start
+        self.start = start
+
+    def counts(self, wanted: np.ndarray) -> np.ndarray:
+        """How often each entry occurs in the wanted texts; START once for each text that has words."""
+        on = wanted[self.text]
+        out = np.bincount(self.word[on], minlength=len(self.keys)) + np.bincount(self.pair[on], minlength=len(self.keys))
+        out[self.start] += np.count_nonzero(wanted & (self.sizes > 0))
+        return out.astype(np.int64)
+
+    def buckets(self, n: int) -> list[tuple[int, np.ndarray]]:
+        """(bucket, places in `keys`) of each bucket that has some."""
+        part = (self.keys.view(np.uint64) & np.uint64((1 << 62) - 1)) >> np.uint64(30)
+        of = (part * np.uint64(n)) >> np.uint64(32)  # by ranges, so that the numbers between a bucket's entries are small
+        places = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of.astype(np.int64), minlength=n))[:-1])
+        return [(k, x) for k, x in enumerate(places) if len(x)]
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers with their bytes by significance, as most are small."""
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view(np.int64).ravel()

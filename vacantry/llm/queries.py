@@ -53,9 +53,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is all documents labelled as of good quality, the background all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    wanted = labels.where("quality = 1").select("doc_id").hint("merge")  # labels grow with the documents
-    good = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    return lm.cross_entropy_difference(docs, *lm.fit(good, docs))
+    return lm.difference_from_marked(docs, labels.where("quality = 1"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
