@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantry.functions import search, text
 from vacantry.operators import discovery, matching, retrieval, rules, telemetry, upsert
+from vacantry.plans import queries as plans
 from vacantry.schemas import POSTING
 from vacantry.sources import feeds, files
 from vacantry.streaming import pipeline
@@ -44,6 +45,22 @@ def test_feeds(spark):
         feeds.unify_feeds({"other": flat})
 
 
+def test_boards_come_in_pages(spark, monkeypatch):
+    """A payload holds no more records than its page may have, whatever its board has; the rows are the same."""
+    data = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(str, plans.s_feeds(spark, data).collect()))
+    failed = lambda: sorted(map(tuple, plans.s_bad_boards(spark, data).collect()))
+    whole = rows(), failed()
+    monkeypatch.setattr(plans, "PAGE_IDS", 20, raising=False)
+    assert (rows(), failed()) == whole and all(whole)
+    made = plans._payloads(spark, data)
+    sizes = [r["n"] for r in made["lever"].select(F.expr("json_array_length(payload)").alias("n")).collect()]
+    assert max(sizes) <= 5 and sum(sizes) == 50
+    assert made["lever"].count() > made["lever"].select("board_token").distinct().count()
+    at = [tuple(r) for r in feeds.feed_b(made["lever"]).select("board_token", "ordinal").collect()]
+    assert len(at) == 50 == len(set(at))
+
+
 def test_one_bad_record_fails_its_board(spark):
     rows = [("good", json.dumps([{"id": "1", "text": "T"}])), ("bad", json.dumps([{"id": "1", "text": "T"}, {"id": "", "text": "T"}])), ("broken", "{"), ("none", "[]")]
     good, failed = feeds.split_bad(feeds.unify_feeds({"lever": spark.createDataFrame(rows, "board_token string, payload string")}))

@@ -38,11 +38,15 @@ def _normalised(df: DataFrame, ats: str, *, job_id: Column, title: Column, body:
 
 
 def _jobs(boards: DataFrame, jobs: Column) -> DataFrame:
-    """One row for each record; a payload that does not parse leaves one record without fields."""
+    """One row for each record; a payload that does not parse leaves one record without fields.
+
+    A board may have several payloads, its pages; then `first` is what a page's ordinals start from.
+    """
+    first = F.col("first") if "first" in boards.columns else F.lit(0)
     broken = F.when(jobs.isNull(), F.array(F.lit(None).cast("int")))
-    parsed = boards.select("board_token", jobs.alias("__jobs"), broken.alias("__broken"))
-    good = parsed.where("__jobs is not null").select("board_token", F.posexplode("__jobs").alias("ordinal", "j"))
-    none = parsed.where("__jobs is null").select("board_token", F.lit(0).alias("ordinal"))
+    parsed = boards.select("board_token", first.alias("__first"), jobs.alias("__jobs"), broken.alias("__broken"))
+    good = parsed.where("__jobs is not null").select("board_token", "__first", F.posexplode("__jobs").alias("__at", "j")).select("board_token", (F.col("__first") + F.col("__at")).alias("ordinal"), "j")
+    none = parsed.where("__jobs is null").select("board_token", F.col("__first").alias("ordinal"))
     return good.unionByName(none, allowMissingColumns=True)
 
 
