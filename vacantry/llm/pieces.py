@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -13,17 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = np.uint64(0x100000001B3)
 
 
-def uniform(key: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) from each 64-bit key (splitmix64's finalizer)."""
+#: Bits of the fraction by which an edge is drawn; the rest of 64 are for the node's number.
+DRAW_BITS = 40
+
+
+def mixed(key: np.ndarray) -> np.ndarray:
+    """64 bits from each 64-bit key (splitmix64's finalizer)."""
     with np.errstate(over="ignore"):
         z = key * _GOLD
         z = (z ^ (z >> np.uint64(30))) * _M1
         z = (z ^ (z >> np.uint64(27))) * _M2
-        z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return z ^ (z >> np.uint64(31))
+
+
+def uniform(key: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) from each 64-bit key."""
+    return ((mixed(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def uniform_of(key: int) -> float:
@@ -35,7 +43,7 @@ def uniform_of(key: int) -> float:
     return (((z ^ (z >> 31)) >> 11) + 0.5) * 2.0**-53
 
 
-def truncated_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def truncated_gumbel(location: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variates at `location`, given that they are at most `bound`."""
     with np.errstate(over="ignore"):
         return location - np.log(np.exp(location - bound) - np.log(u))
@@ -71,22 +79,36 @@ class Vocabulary:
         self.log_byte = -sharpness * float(np.log(len(ordinary) + 1))
         self.log_p -= np.log(np.exp(self.log_p[ordinary]).sum() + 256 * np.exp(self.log_byte))
         self.log_byte -= np.log(np.exp(-sharpness * np.log(ranks[: len(ordinary)])).sum() + 256 * np.exp(self.log_byte))
-        self.longest = max(map(len, pieces))
-        #: For each length the hashes of all beginnings of pieces, in order, and the piece that a beginning is, or -1.
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in range(1, self.longest + 1):
-            begun = sorted({p[:size] for p in pieces if len(p) >= size})
-            h = np.zeros(len(begun), np.uint64)
-            for k in range(size):
-                h = h * _BASE + np.array([ord(p[k]) for p in begun], np.uint64)
-            order = np.argsort(h)
-            self.by_length.append((h[order], np.array([pieces.get(p, -1) for p in begun], np.int64)[order]))
+        self._grow(pieces)
         self.lengths = np.array([len(t) for t in self.texts])
         self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def _grow(self, pieces: dict[str, int]) -> None:
+        """A trie of all beginnings of pieces: node 0 is none, `first` has the node of a first character, `step` those further on.
+
+        `ends` is the piece that a node is, or -1; `row` its row of `step`, `kind` a character's column (0: in no piece but first).
+        """
+        begun = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        node = {b: i + 1 for i, b in enumerate(begun)}
+        later = {c: i + 1 for i, c in enumerate(sorted({c for p in pieces for c in p[1:]}))}
+        inner = {b: i + 1 for i, b in enumerate(sorted({b[:-1] for b in begun if len(b) > 1}))}
+        self.first, self.kind = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.uint16)
+        self.step = np.zeros((len(inner) + 1, len(later) + 1), np.int32)
+        self.row = np.array([0, *(inner.get(b, 0) for b in begun)], np.int32)
+        self.ends = np.array([-1, *(pieces.get(b, -1) for b in begun)], np.int32)
+        for c, k in later.items():
+            self.kind[ord(c)] = k
+        for b, n in node.items():
+            if len(b) == 1:
+                self.first[ord(b)] = n
+            else:
+                self.step[inner[b[:-1]], later[b[-1]]] = n
+
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """Replace -1 - c by the byte pieces of character c."""
+        if not len(ids) or ids.min() >= 0:
+            return ids
         ids = np.where((ids < 0) & (ids >= -128), self.byte_id[np.clip(-1 - ids, 0, 127)], ids)
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
@@ -100,36 +122,91 @@ class Vocabulary:
             out[ends[k] - len(s) : ends[k]] = s
         return out
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[ids]
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+        """The texts of many lists of piece ids that encode texts, as one array."""
+        said = self.bytes_of(ids)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])[np.cumsum(sizes)]
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        marks = begins[ends > begins]  # each text's first byte is the mark
+        kept = np.delete(said, marks)
+        offsets = np.concatenate([[0], ends - np.cumsum(ends > begins)]).astype(np.int64)
+        valid = pa.array(~null).buffers()[1]
+        return pa.Array.from_buffers(pa.large_string(), len(sizes), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.string())
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; its first space is the mark that encoding puts before a text."""
-        if not len(ids):
-            return ""
-        sizes = self.lengths[ids]
-        at = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return self.flat[at].tobytes().decode("utf-8", "replace")[1:]
+        return self.bytes_of(ids).tobytes().decode("utf-8", "replace")[1:] if len(ids) else ""
+
+
+#: Characters of a word that one lattice holds; a longer word is taken in blocks, whose edges no piece crosses.
+BLOCK = 1024
+
+
+def split(text: str) -> list:
+    """The words of a text, a word being a space run and what follows it, without its last space; later blocks of a long word are 1-tuples."""
+    parts = text.split(" ") if text else []
+    if "" in parts:
+        merged, spaces = [], 0
+        for p in parts[:-1]:
+            if p:
+                merged.append(" " * spaces + p)
+                spaces = 0
+            else:
+                spaces += 1
+        parts = [*merged, " " * spaces + parts[-1]]
+    if len(text) > BLOCK and max(map(len, parts)) > BLOCK:
+        blocks = []
+        for p in parts:
+            blocks.append(p[:BLOCK])
+            blocks += [(p[i : i + BLOCK],) for i in range(BLOCK, len(p), BLOCK)]
+        return blocks
+    return parts
+
+
+class _Numbers(dict):
+    """word -> its number; a word not seen before gets the next one and waits in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Lattices:
     """Segmentation lattices of words, built for many words at once, with each edge's probability given its start.
 
     Node numbers of a word follow one another; edge e leads `span[e]` nodes on. `reach` of the edges of node i
-    rises from i to i + 1, so that one sorted search draws an edge.
+    rises from i to i + 1, in whole steps of 2**-DRAW_BITS, so that one sorted search draws an edge, and draws the
+    same one whatever node number a word has got. `limit` bounds the edges that `make_room` leaves.
     """
 
     #: What is held of words, nodes and edges: a word's first node; where a node's edges end; and of each edge the rest.
-    KINDS = {"first": np.int64, "edge_end": np.int64, "reach": np.float64, "log_q": np.float32, "span": np.int32, "piece": np.int32}
+    KINDS = {"first": np.int64, "edge_end": np.int64, "reach": np.uint64, "log_q": np.float64, "span": np.int32, "piece": np.int32}
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 6_000_000):
         self.v, self.limit = vocabulary, limit
         self.room = {name: np.zeros(1 << 16, kind) for name, kind in self.KINDS.items()}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.but_one: dict[tuple, float] = {}
         for name in self.KINDS:
             setattr(self, name, self.room[name][:0])
 
+    def make_room(self) -> None:
+        """Forget all words if their lattices have grown too large; numbers given before are void then."""
+        if len(self.reach) > self.limit:
+            self._clear()
+
     def _append(self, name: str, more: np.ndarray) -> None:
         n, room = len(getattr(self, name)), self.room[name]
         if n + len(more) > len(room):
@@ -138,90 +215,84 @@ class Lattices:
         self.room[name][n : n + len(more)] = more
         setattr(self, name, self.room[name][: n + len(more)])
 
-    def words(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """For each text the numbers of its words, a word being a space run and what follows it."""
-        split, new = [], {}
-        if len(self.known) > self.limit:
-            self._clear()
-        for t in texts:
-            parts = t.split(" ") if t else []
-            if "" in parts[1:] or parts[:1] == [""]:
-                merged, spaces = [], 0
-                for p in parts[:-1]:
-                    if p:
-                        merged.append(" " * spaces + p)
-                        spaces = 0
-                    else:
-                        spaces += 1
-                parts = [*merged, " " * spaces + parts[-1]]
-            split.append(parts)
-            for p in parts:
-                if p not in self.known:
-                    new[p] = None
-        self._build(list(new))
-        return [np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)) for parts in split], [len(p) for p in split]
-
-    def _build(self, new: list[str], at_once: int = 1 << 16) -> None:
+    def numbers(self, texts: list[list]) -> list[np.ndarray]:
+        """For each list of words (of `split`) their numbers."""
+        out = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in texts]
+        self._build(self.known.new)
+        self.known.new = []
+        return out
+
+    def _build(self, new: list, at_once: int = 1 << 17) -> None:
         size, some = 0, []
         for k, w in enumerate(new):
-            some.append(w)
-            size += len(w) + 2
+            some.append(w[0] if w.__class__ is tuple else " " + w)
+            size += len(some[-1]) + 1
             if size >= at_once or k == len(new) - 1:
                 first, ends, reach, log_q, span, piece = self._lattice(some)
-                self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
                 nodes, edges = len(self.edge_end), len(self.reach)
-                for name, x in zip(self.KINDS, (first + nodes, ends + edges, reach + nodes, log_q, span, piece), strict=True):
+                for name, x in zip(self.KINDS, (first + nodes, ends + edges, reach + np.uint64(nodes << DRAW_BITS), log_q, span, piece), strict=True):
                     self._append(name, x)
                 size, some = 0, []
 
     def _lattice(self, words: list[str]):
         v = self.v
-        chars = np.frombuffer((" " + "\0 ".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)  # \0 marks a word's last node
-        sizes = np.array([len(w) + 2 for w in words])
+        chars = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)  # \0 stands at a word's last node
+        sizes = np.array([len(w) + 1 for w in words])
         ends = np.cumsum(sizes) - 1
         first, n = ends - sizes + 1, len(chars)
         left = np.repeat(ends, sizes) - np.arange(n)  # characters from here to the word's end
-        found, h, at = [], np.zeros(n, np.uint64), np.arange(n)
-        for size in range(1, v.longest + 1):
-            at = at[left[at] >= size]
+        kind, counts = v.kind[chars], (left > 0).astype(np.int64)  # each node but the last has an edge of one character
+        at = np.flatnonzero(left)
+        node = v.first[chars[at]]
+        found, size = [], 1
+        one = v.ends[node]
+        alone = one < 0
+        c = chars[at[alone]].astype(np.int64)
+        log_one, id_one = v.log_p[one], one.copy()
+        log_one[alone] = v.log_byte * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
+        id_one[alone] = -1 - c
+        found.append((at, np.zeros(len(at), np.int64), log_one, id_one))
+        while True:
+            on = (node > 0) & (left[at] > size)
+            at = at[on]
+            node = v.step[v.row[node[on]], kind[at + size]]
             if not len(at):
                 break
-            with np.errstate(over="ignore"):
-                h[at] = h[at] * _BASE + chars[at + size - 1]
-            hashes, which = v.by_length[size - 1]
-            k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            begun = hashes[k] == h[at]
-            at, k = at[begun], which[k[begun]]  # what begins no piece begins no longer one
-            found.append((at[k >= 0], k[k >= 0]))
-        widest = max([1, *(i + 1 for i, (a, _) in enumerate(found) if len(a))])
-        log_e, ids = np.full((n, widest), -np.inf), np.zeros((n, widest), np.int32)
-        for size, (a, k) in enumerate(found[:widest]):
-            log_e[a, size], ids[a, size] = v.log_p[k], k
-        lone = np.flatnonzero((left > 0) & np.isinf(log_e[:, 0]))
-        c = chars[lone]
-        log_e[lone, 0] = v.log_byte * (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
-        ids[lone, 0] = -1 - c.astype(np.int64)
-        beta = np.full(n + widest, -np.inf)
-        beta[ends] = 0
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(left.max() + 2))
-        steps = np.arange(1, widest + 1)
-        for d in range(1, int(left.max()) + 1):
-            at = order[cuts[d] : cuts[d + 1]]
-            wide = min(d, widest)
-            x = log_e[at, :wide] + beta[at[:, None] + steps[:wide]]
-            m = x.max(axis=1)
-            beta[at] = m + np.log(np.exp(x - m[:, None]).sum(axis=1))
-        inner, size = np.nonzero(~np.isinf(log_e))
-        log_q = log_e[inner, size] + beta[inner + size + 1] - beta[inner]
-        counts = np.bincount(inner, minlength=n)
+            size += 1
+            p = v.ends[node]
+            whole = p >= 0
+            a, p = at[whole], p[whole]
+            found.append((a, counts[a], v.log_p[p], p))
+            counts[a] += 1
         edge_end = np.cumsum(counts)
-        q = np.exp(log_q)
-        run = np.cumsum(q)
-        base = np.concatenate([[0.0], run])[edge_end - counts]
-        reach = run - base[inner]
-        reach[edge_end[counts > 0] - 1] = 1.0
-        return first, edge_end, np.minimum(reach, 1.0) + inner, log_q.astype(np.float32), (size + 1).astype(np.int32), ids[inner, size]
+        begin, m = edge_end - counts, int(counts.sum())
+        log_e, piece, span = np.zeros(m), np.zeros(m, np.int32), np.zeros(m, np.int32)
+        for k, (a, rank, lp, p) in enumerate(found):
+            e = begin[a] + rank
+            log_e[e], piece[e], span[e] = lp, p, k + 1
+        node = np.repeat(np.arange(n), counts)
+        ahead = node + span
+        beta = np.zeros(n)
+        far = left.astype(np.int16) if len(left) and left.max() < 1 << 15 else left
+        nodes = np.argsort(far, kind="stable")
+        cuts = np.searchsorted(far[nodes], np.arange(int(far.max()) + 2))
+        edges = np.argsort(far[node], kind="stable")  # nodes by their distance from the end, and their edges with them
+        e_cuts = np.searchsorted(far[node][edges], np.arange(int(far.max()) + 2))
+        for d in range(1, int(far.max()) + 1):
+            here, e = nodes[cuts[d] : cuts[d + 1]], edges[e_cuts[d] : e_cuts[d + 1]]
+            k = counts[here]
+            starts = np.cumsum(k) - k
+            x = log_e[e] + beta[ahead[e]]
+            top = np.maximum.reduceat(x, starts)
+            beta[here] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, k)), starts))
+        log_q = log_e + beta[ahead] - beta[node]
+        q, reach = np.exp(log_q), np.zeros(m)
+        for k in range(int(counts.max())):
+            e = begin[counts > k] + k
+            reach[e] = q[e] + (reach[e - 1] if k else 0.0)
+        reach = np.minimum((reach * float(1 << DRAW_BITS)).astype(np.uint64), np.uint64(1 << DRAW_BITS))
+        reach[edge_end[counts > 0] - 1] = 1 << DRAW_BITS
+        return first, edge_end, reach + (node.astype(np.uint64) << np.uint64(DRAW_BITS)), log_q, span, piece
 
     def sample(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draw a segmentation of each word: (pieces of all, number of each, log probability of each)."""
@@ -230,9 +301,11 @@ class Lattices:
         live, log_p, count = order, np.zeros(len(words)), np.zeros(len(words), np.int64)
         steps, t = [], 0
         while len(live):
+            e = self.edge_end[node] - 1
+            several = np.flatnonzero(e > self.edge_end[node - 1] * (node > 0))
             with np.errstate(over="ignore"):
-                u = uniform(keys[live] + np.uint64(t) * _M1)
-            e = np.minimum(np.searchsorted(self.reach, node + u, side="right"), self.edge_end[node] - 1)
+                u = mixed(keys[live[several]] + np.uint64(t) * _M1) >> np.uint64(64 - DRAW_BITS)
+            e[several] = np.searchsorted(self.reach, (node[several].astype(np.uint64) << np.uint64(DRAW_BITS)) + u, side="right")
             log_p[live] += self.log_q[e]
             count[live] += 1
             steps.append((live, self.piece[e]))
@@ -312,17 +385,28 @@ class Sampler:
     part of; that is an exact bound, so the sets are opened in the order of the values emitted.
     """
 
+    #: Characters of one text beyond which its words are looked up in slices, lattices being held for a slice only.
+    GIANT = 1 << 22
+    #: Words of each set that are looked at first, for all texts together.
+    AHEAD = 192
+
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.lattices = vocabulary, Lattices(vocabulary)
 
     def encode(self, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k of (pieces, log probability, perturbed value, inclusion), by falling perturbed value."""
-        words, _ = self.lattices.words(texts)
+        if len(texts) > 1 and any(len(t) > self.GIANT for t in texts):
+            return [self.encode([t], seeds[i : i + 1], k)[0] for i, t in enumerate(texts)]
+        self.lattices.make_room()
+        words = [split(t) for t in texts]
+        if not any(len(t) > self.GIANT for t in texts):
+            words = self.lattices.numbers(words)
         with np.errstate(over="ignore"):
             keys = [seeds[i] * _GOLD for i in range(len(texts))]
         done: list[list] = [[] for _ in texts]
         heaps: list[list] = [[] for _ in texts]
-        todo = [(i, None, 0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), float(-np.log(-np.log(uniform(np.array([keys[i]]))[0])))) for i in range(len(texts))]
+        none = np.zeros(0, np.int64)
+        todo = [(i, None, 0, none, np.zeros(0), none, float(-np.log(-np.log(uniform(np.array([keys[i]]))[0])))) for i in range(len(texts))]
         for r in range(k):
             self._emit(words, keys, todo, done, heaps, r, k)
             todo = []
@@ -338,10 +422,28 @@ class Sampler:
             rows = []
             for pieces, _, log_ps, g, *_ in done[i]:
                 total = float(log_ps.sum())
-                rows.append((self.v.spell(pieces), total, g, 1.0 if bound == -np.inf else float(-np.expm1(-np.exp(total - bound)))))
+                rows.append((self.v.spell(pieces), total, g, 1.0 if bound == -np.inf else float(-math.expm1(-math.exp(total - bound)))))
             out.append(rows)
         return out
 
+    def _sample(self, parts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Draw all words of some texts: as numbers, or, of a giant text, as words, slice by slice."""
+        if all(isinstance(p, np.ndarray) for p in parts):
+            return self.lattices.sample(np.concatenate(parts), keys)
+        (words,) = parts
+        ends = np.cumsum([len(w[0]) if w.__class__ is tuple else len(w) for w in words])
+        cuts = [*np.searchsorted(ends, np.arange(self.GIANT // 4, ends[-1] if len(ends) else 0, self.GIANT // 4)), len(words)]
+        out, at = [], 0
+        for end in cuts:
+            self.lattices.make_room()
+            (numbers,) = self.lattices.numbers([words[at:end]])
+            out.append(self.lattices.sample(numbers, keys[at:end]))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _number(self, words, at: int) -> int:
+        return int(words[at]) if isinstance(words, np.ndarray) else int(self.lattices.numbers([[words[at]]])[0][0])
+
     def _emit(self, words, keys, todo, done, heaps, r: int, k: int) -> None:
         """Complete each opened set's best member by drawing the words after its prefix, and part what remains of the set."""
         if not todo:
@@ -349,8 +451,9 @@ class Sampler:
         parts = [words[i][len(log_ps) :] for i, _, _, _, log_ps, _, _ in todo]
         with np.errstate(over="ignore"):
             stream = [keys[i] + np.uint64(r + 1) * _M2 + np.arange(len(log_ps), len(words[i]), dtype=np.uint64) * _GOLD for i, _, _, _, log_ps, _, _ in todo]
-        pieces, counts, log_p = self.lattices.sample(np.concatenate(parts), np.concatenate(stream))
+        pieces, counts, log_p = self._sample(parts, np.concatenate(stream))
         w_at, p_at = 0, 0
+        sets = []
         for (i, without, w, head, head_log, head_counts, g), part in zip(todo, parts, strict=True):
             own = counts[w_at : w_at + len(part)]
             n = int(own.sum())
@@ -359,36 +462,66 @@ class Sampler:
             all_counts = np.concatenate([head_counts, own])
             w_at, p_at = w_at + len(part), p_at + n
             done[i].append((all_pieces, all_counts, log_ps, g))
-            begin = len(head_log)  # what differs before is not in this set
             if without is not None:
                 heapq.heappush(heaps[i], without)
-            self._part(i, words[i], keys[i], begin, log_ps, all_counts, all_pieces, g, r, k - r, len(done[i]) - 1, heaps[i])
+            sets.append((i, len(head_log), log_ps, all_counts, all_pieces, g, len(done[i]) - 1))  # what differs before is not in this set
+        self._part(words, keys, sets, r, k - r, heaps)
 
-    def _part(self, i, words, key, begin, log_ps, counts, pieces, g, r: int, most: int, s: int, heap) -> None:
-        """Push the `most` best of the sets that agree with a sample up to some word, from `begin` on, and differ there.
+    def _part(self, words, keys, sets: list, r: int, most: int, heaps) -> None:
+        """Push the `most` best of the sets that agree with a sample up to some word, from the first free one on, and differ there.
 
         A variate exceeds its location by less than 38, as its uniform number has 53 bits, and locations fall along
-        the text. So only words are looked at whose location is not that far below the best values found.
+        the text. So only words are looked at whose location is not that far below the best values found: AHEAD
+        words of all texts at once, and more of those texts that need more.
         """
+        wide = min(self.AHEAD, max(len(log_ps) - begin for _, begin, log_ps, *_ in sets))
+        if wide <= 0:
+            return
+        log_p = np.zeros((len(sets), wide))
+        base, g, begins = np.zeros((len(sets), 1)), np.zeros((len(sets), 1)), np.zeros((len(sets), 1), np.uint64)
+        own = np.array([keys[i] for i, *_ in sets], np.uint64)[:, None]
+        for n, (_, begin, log_ps, _, _, bound, _) in enumerate(sets):
+            x = log_ps[begin : begin + wide]
+            log_p[n, : len(x)] = x
+            base[n], g[n], begins[n] = log_ps[:begin].sum(), bound, begin
+        before = base + np.cumsum(log_p, axis=1) - log_p
+        values = self._values(words, sets, log_p, before, own, begins, g, r)
+        order = np.argsort(-values, axis=1, kind="stable")[:, :most]
+        for n, (i, begin, log_ps, _, _, _, s) in enumerate(sets):
+            best = [(-float(values[n, j]), r, s, begin + int(j), None) for j in order[n] if values[n, j] > -np.inf]
+            if len(log_ps) - begin > wide:
+                best = self._further(words, keys[i], sets[n], r, most, best, wide)
+            for x in best:
+                heapq.heappush(heaps[i], x)
+
+    def _further(self, words, key, one: tuple, r: int, most: int, best: list, at: int) -> list:
+        """The same of one text from its word `at` on, in growing steps, until the rest lies too low."""
+        _, begin, log_ps, _, _, g, s = one
         before = np.concatenate([[0.0], np.cumsum(log_ps)])[begin:-1]
-        at, until, ends, best = 0, min(64, len(before)), None, []
-        while at < until:
-            part = slice(begin + at, begin + until)
-            rest = -np.expm1(log_ps[part])
-            near = np.flatnonzero(rest < 1e-9)  # so little that it may be rounding
-            if len(near):
-                ends = np.cumsum(counts) if ends is None else ends
-                spots = [begin + at + int(j) for j in near]
-                rest[near] = [self.lattices.remaining_but(int(words[x]), tuple(pieces[ends[x] - counts[x] : ends[x]].tolist())) for x in spots]
-            with np.errstate(divide="ignore", over="ignore"):
-                u = uniform(key * _M1 + np.uint64(r + 1) * _GOLD + np.arange(part.start, part.stop, dtype=np.uint64) * _M2)
-                values = truncated_gumbel(before[at:until] + np.log(rest), g, u)
-            best += [(-float(values[j]), r, s, part.start + int(j), None) for j in np.argsort(-values, kind="stable")[:most] if values[j] > -np.inf]
-            best = sorted(best, key=lambda x: x[:4])[:most]
+        while True:
             bound = -best[-1][0] - 38 if len(best) == most else -np.inf
-            at, until = until, min(len(before), max(until, int(np.searchsorted(-before, -bound, side="right"))), 4 * until)
-        for x in best:
-            heapq.heappush(heap, x)
+            until = min(len(before), int(np.searchsorted(-before, -bound, side="right")), 4 * at)
+            if until <= at:
+                return best
+            part = slice(at, until)
+            values = self._values(words, [one], log_ps[None, begin + at : begin + until], before[None, part], np.array([[key]], np.uint64), np.array([[begin + at]], np.uint64), np.array([[g]]), r)[0]
+            best += [(-float(values[j]), r, s, begin + at + int(j), None) for j in np.argsort(-values, kind="stable")[:most] if values[j] > -np.inf]
+            best = sorted(best, key=lambda x: x[:4])[:most]
+            at = until
+
+    def _values(self, words, sets: list, log_p, before, own, begins, g, r: int) -> np.ndarray:
+        """Truncated Gumbel values of the sets that differ at each word; a row for each text, from its word `begins` on."""
+        rest = -np.expm1(log_p)
+        there = np.arange(log_p.shape[1]) < np.array([len(x[2]) for x in sets])[:, None] - begins.astype(np.int64)
+        for n, j in zip(*np.nonzero((rest < 1e-9) & there), strict=True):  # so little that it may be rounding
+            i, _, _, counts, pieces, _, _ = sets[n]
+            x = int(begins[n, 0]) + int(j)
+            end = int(counts[: x + 1].sum())
+            rest[n, j] = self.lattices.remaining_but(self._number(words[i], x), tuple(pieces[end - counts[x] : end].tolist()))
+        with np.errstate(divide="ignore", over="ignore"):
+            at = begins + np.arange(log_p.shape[1], dtype=np.uint64)
+            u = uniform(own * _M1 + np.uint64(r + 1) * _GOLD + at * _M2)
+            return truncated_gumbel(before + np.log(rest), g, u)
 
     def _open(self, words, key, heap, done, r: int):
         """The best set's own best member: the prefix, a word that differs, and the set that is left at that word."""
@@ -399,7 +532,8 @@ class Sampler:
             start = int(ends[w] - counts[w])
             without = without or [tuple(pieces[start : int(ends[w])].tolist())]
             own = int(key) * int(_M2) + w * int(_GOLD) + (r + 1) * int(_M1)
-            other = self.lattices.sample_other(int(words[w]), without, own)
+            number = self._number(words, w)
+            other = self.lattices.sample_other(number, without, own)
             if other is None:
                 continue
             said, p = other
@@ -407,7 +541,7 @@ class Sampler:
             head_log = np.concatenate([log_ps[:w], [min(0.0, float(np.log(max(p, 1e-300))))]])
             head_counts = np.concatenate([counts[:w], [len(said)]])
             more = [*without, said]
-            mass = self.lattices.remaining(int(words[w]), more)
+            mass = self.lattices.remaining(number, more)
             left = None
             if mass > 0:
                 u = np.array([uniform_of(own + 7)])
@@ -417,24 +551,32 @@ class Sampler:
         return None
 
 
+@functools.lru_cache(maxsize=2)
+def sampler_of(model_file: str, sharpness: float) -> "Sampler":
+    """The sampler of a model, once in a worker process, so that its tasks share the lattices of frequent words."""
+    return Sampler(Vocabulary(model_file, sharpness))
+
+
 def sample_encode(
-    docs: DataFrame, *, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, sharpness: float = 1.0, decoded: bool = False, chunk: int = 1 << 20
+    docs: DataFrame, *, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, sharpness: float = 1.0, copy_col: str | None = None, decoded: bool = False, chunk: int = 1 << 20
 ) -> DataFrame:
     """(id, sample, pieces, log_prob, perturbed, inclusion) for up to k distinct segmentations of each whole text.
 
     Segmentations are drawn without replacement from the model's lattice (see Vocabulary and Sampler), by falling
     perturbed log probability; `inclusion` is a segmentation's probability of being among those drawn, given the
-    value that the next one would have had. The draw depends on (seed, id, text), not on how rows are dealt.
+    value that the next one would have had. The draw depends on (seed, id, text), not on how rows are dealt; rows
+    with equal ids and texts draw the same, unless `copy_col` names a column that tells them apart.
     Texts are not normalised: pieces decode to the very text. A text with fewer than k segmentations has fewer
     rows, an empty text one of no pieces; a null text has one row of null pieces. Ids are passed through, nulls
     and repeats too; extra columns are ignored. `decoded` adds the column text, decoded from the pieces.
-    model_file must be readable on all executors. About `chunk` characters are worked on at a time.
+    A word of more than BLOCK characters is segmented in blocks of that many. model_file must be readable on all
+    executors. About `chunk` characters are worked on at a time, or one longer text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, sample int, pieces array<int>, log_prob double, perturbed double, inclusion double" + ", text string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Vocabulary(model_file, sharpness))
+        sampler = sampler_of(model_file, sharpness)
         for b in batches:
             texts, at = b.column(1).to_pylist(), 0
             seeds = b.column(2).to_numpy().view(np.uint64)
@@ -447,17 +589,18 @@ def sample_encode(
                 rows = [(at + i, j, *s) for i, samples in enumerate(found) for j, s in enumerate(samples)]
                 null = [texts[r[0]] is None for r in rows]
                 sizes = np.array([0, *(len(r[2]) for r in rows)])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32(), mask=np.array([*null, False])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)))
+                ids = np.concatenate([r[2] for r in rows])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32(), mask=np.array([*null, False])), pa.array(ids.astype(np.int32)))
                 out = [b.column(0).take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), lists]
                 out += [pa.array([None if x else r[c] for r, x in zip(rows, null, strict=True)], pa.float64()) for c in (3, 4, 5)]
                 if decoded:
-                    out.append(pa.array([None if x else sampler.v.decode(r[2]) for r, x in zip(rows, null, strict=True)], pa.string()))
+                    out.append(sampler.v.decode_all(ids, sizes[1:], np.array(null)))
                 yield pa.RecordBatch.from_arrays(out, names)
                 at = end
 
     names = [id_col, "sample", "pieces", "log_prob", "perturbed", "inclusion"] + ["text"] * decoded
     text = F.col(text_col).cast("string")
-    key = F.xxhash64(F.lit(seed), F.col(id_col), text)
+    key = F.xxhash64(F.lit(seed), F.col(id_col), text, *([F.col(copy_col)] if copy_col else []))
     return docs.select(F.col(id_col), text.alias("__text"), key.alias("__key")).mapInArrow(run, schema)
 
 
