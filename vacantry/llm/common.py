@@ -3,25 +3,65 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute `df` once into the shared checkpoint folder, so that its rows survive a lost executor.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where none is set (tests) a
-    temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the session names in spark.checkpoint.dir; only a local session has a temporary one without it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute `df` once into the shared checkpoint folder, so that its rows survive a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, of which later reads take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove_table(df: DataFrame) -> None:
+    """Delete the files of a table that `stored` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or that with as many _ as no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, parts: int = 1024) -> DataFrame:
+    """Each of `rows` with its group's row; `groups` has one for each key, and in `n` the number of its rows.
+
+    Groups of more than 1/parts of all rows are fewer than `parts`: they are broadcast, so that no frequent key is
+    dealt to one task; all others are joined by shuffle. `groups` is read several times, so it should be computed.
+    """
+    whole = groups.agg(F.sum(n)).first()[0] or 0
+    frequent = F.col(n) > max(16, whole // parts)
+    often = F.broadcast(groups.where(frequent))
+    rare = rows.join(often.select(*keys), keys, "left_anti").join(groups.where(~frequent), keys)
+    return rows.join(often, keys).unionByName(rare)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, free_name, join_groups, shuffle_partitions, stored
 
 KEY = ["digest", "length", "check"]
 RUN = "digest string, length long, check long, id long, row long, n long"
@@ -21,15 +21,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, digest, length, check) of each row: SHA-256, bytes and an independent hash of the normalised text."""
+def digests(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
+    """(id, digest, length, check, row) of each row: SHA-256, bytes and an independent hash of the normalised text, and its number."""
     text = normalised(F.col(text_col))
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.sha2(text, 256).alias("digest"),
         F.octet_length(text).cast("long").alias("length"),
         F.xxhash64(text).alias("check"),
-    ).withColumn("row", F.monotonically_increasing_id())
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
+    )
 
 
 def _merged(run: pa.Table) -> pa.Table:
@@ -104,25 +105,23 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _grouped(rows: DataFrame, fan_in: int) -> DataFrame:
+def _merged_groups(rows: DataFrame, fan_in: int) -> DataFrame:
     merged = tree_merge(rows.withColumn("n", F.lit(1).cast("long")), fan_in=fan_in)
-    merged = merged.select(*KEY, F.col("id").alias("keep_id"), F.col("row").alias("__row"), F.col("n").alias("group_size"))
-    return rows.join(merged, KEY).withColumn("kept", F.col("row") == F.col("__row"))
+    return merged.select(*KEY, F.col("id").alias("keep_id"), F.col("row").alias("__row"), F.col("n").alias("group_size"))
+
+
+def _grouped(rows: DataFrame, fan_in: int) -> DataFrame:
+    return join_groups(rows, checkpointed(_merged_groups(rows, fan_in)), KEY, "group_size").withColumn("kept", F.col("row") == F.col("__row"))
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """The rows of `docs` that stay, one for each group of equal texts, with all their columns.
 
-    Ids are expected to name rows; where an id is repeated with equal texts, one of its rows stays, and where
-    it is repeated with different texts, each is judged on its own text. A null id stays where its group has
-    no other.
+    It is the one with the smallest id, null ids last, and of equal ids the first as stored: rows are decided on
+    one by one, also where ids are repeated or null. An empty table gives an empty result.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
-    kept = _grouped(rows, fan_in).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__kept"))
-    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
-    if repeated.isEmpty():
-        return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
-    digest = next(n for n in ("__digest" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    tagged = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
-    match = tagged.join(kept, tagged[id_col].eqNullSafe(kept["__id"]) & (tagged[digest] == kept["__kept"]), "left_semi")
-    return match.dropDuplicates([id_col, digest]).drop(digest)
+    row = free_name(docs, "__row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = checkpointed(digests(numbered, id_col, text_col, F.col(row)))
+    kept = _merged_groups(rows, fan_in).select(F.col("__row").alias("__kept"))
+    return numbered.join(kept, numbered[row] == kept["__kept"], "left_semi").drop(row)

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, free_name, join_groups, stored
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 BITS = 64
-#: Fingerprints of one leaf that are compared in one task, at most; larger leaves are compared in tiles.
-TILE = 8192
+#: Fingerprints at home in one leaf that are compared in one task, at most, with WIDER times as many of all it holds; larger leaves are compared in tiles.
+TILE, WIDER = 8192, 8
 
 
 def fingerprint(text: str | None) -> int:
@@ -45,13 +45,17 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of each row; fp is the fingerprint's 64 bits as a signed long."""
+    return _with_fingerprint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), "t", "fp").drop("t")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+def _with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """`docs` and a column `name`, the fingerprint of the whole text."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    return docs.withColumn(name, of(F.col(text_col).cast("string")))
 
 
 @dataclass(frozen=True)
@@ -168,16 +172,17 @@ def _leaf_links(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.nd
     return fps[linked].view(np.int64), fps[parent[linked]].view(np.int64)
 
 
-def links(distinct: DataFrame, *, distance: int = 2, trees: int = 3, leaf: int = 2048, sample: int = 32768) -> DataFrame:
+def links(distinct: DataFrame, *, distance: int = 2, trees: int = 1, leaf: int = 2048, sample: int = 32768) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints of column fp just as all pairs within `distance` do.
 
     The trees are built on the driver from at most `sample` fingerprints, an eighth of them at most, chosen by
-    hash; every fingerprint is then sent to its own leaf and, as a visitor, to all leaves beyond a boundary
-    that the triangle bound leaves open. With three trees and a distance of 2 one of a pair's three parts is equal,
-    so each tree is asked with radius 0 and the bound leaves its own leaf only; fewer trees have a larger radius
-    and visit more leaves, a number that grows with the depth. Each leaf compares its own fingerprints with all it holds and returns a
-    spanning forest of the pairs found, not the pairs. A leaf of more than TILE values is compared in tiles of
-    its own values against parts of all of them.
+    hash. One tree over all bits is asked with radius `distance`: every fingerprint goes to its own leaf and, as a
+    visitor, to those leaves beyond a boundary that the triangle bound leaves open, a number that grows with about
+    the square root of the number of leaves. Two that are near each other would visit each other's leaf, so only
+    the leaves after one's own are visited. More trees have a part of the bits each and a smaller radius, as of two
+    near values' parts one differs by no more than its share. Each leaf compares its own fingerprints with all it
+    holds and returns a spanning forest of the pairs found, not the pairs. A leaf of more than TILE values at
+    home, or WIDER times as many in all, is compared in tiles.
     """
     spark = distinct.sparkSession
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(8)) == 0).orderBy(F.xxhash64("fp")).limit(sample)
@@ -191,54 +196,64 @@ def links(distinct: DataFrame, *, distance: int = 2, trees: int = 3, leaf: int =
             fps = b.column(0).to_numpy().view(np.uint64)
             for k, tree in enumerate(grown.value):
                 row, cell, home = tree.cells(fps)
+                own = np.zeros(len(fps), np.int64)
+                own[row[home]] = cell[home]
+                on = cell >= own[row]
+                row, cell, home = row[on], cell[on], home[on]
                 out = [pa.array(np.full(len(row), k, np.int32)), pa.array(cell.astype(np.int32)), pa.array(fps[row].view(np.int64)), pa.array(home)]
                 yield pa.RecordBatch.from_arrays(out, ["tree", "cell", "fp", "home"])
 
     placed = checkpointed(distinct.select("fp").mapInArrow(place, "tree int, cell int, fp long, home boolean"))
     # at most one row for each leaf of the trees, whose number the sample bounds
-    large = placed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    parts = F.coalesce(F.ceil(F.col("n") / F.lit(TILE)), F.lit(1)).cast("int")
-    tiled = placed.join(F.broadcast(large), ["tree", "cell"], "left").withColumn("parts", parts)
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tiled = tiled.withColumn("own", own)
-    row_side = tiled.where("home").withColumn("a", F.col("own")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    col_side = tiled.withColumn("b", F.col("own")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    row_side = row_side.where("a <> b").withColumn("home", F.lit(True))
-    col_side = col_side.withColumn("home", F.col("home") & (F.col("a") == F.col("b")))
+    sizes = placed.groupBy("tree", "cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count(F.lit(1)).alias("n"))
+    many = lambda c, most: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(most))).cast("int")
+    sizes = sizes.select("tree", "cell", many("homes", TILE).alias("h"), many("n", WIDER * TILE).alias("w"))
+    part = lambda of: F.pmod(F.xxhash64("fp"), F.col(of)).cast("int")
+    tiled = placed.join(F.broadcast(sizes), ["tree", "cell"]).withColumns({"own_h": part("h"), "own_w": part("w")})
+    tile = lambda a, b, home: F.struct(a.alias("a"), b.alias("b"), home.alias("home"))
+    held = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda a: tile(a, F.col("own_w"), F.col("home") & (a == F.col("own_h"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda b: F.col("home") & (b != F.col("own_w")))
+    asks = F.transform(others, lambda b: tile(F.col("own_h"), b, F.lit(True)))
+    cells = tiled.select("tree", "cell", "fp", F.explode(F.concat(held, asks)).alias("to")).select("tree", "cell", "fp", "to.*")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         u, v = _leaf_links(group["fp"].to_numpy(np.int64), group["home"].to_numpy(bool), distance)
         return pd.DataFrame({"u": u, "v": v})
 
-    cells = col_side.select("tree", "cell", "a", "b", "fp", "home").unionAll(row_side.select("tree", "cell", "a", "b", "fp", "home"))
     return cells.groupBy("tree", "cell", "a", "b").applyInPandas(compare, "u long, v long")
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 1) -> DataFrame:
     """One row for each row of `docs`: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Fingerprints link at `distance` or fewer differing bits; links are followed through, so a component may hold
     texts further apart. Equal texts have equal fingerprints and are compared once. Null and empty texts have the
-    fingerprint zero, which links like any other. Null ids count for no component's smallest id, and rows of
-    repeated ids all stay. Extra columns are ignored; an empty table gives an empty result.
+    fingerprint zero, which links like any other. Null ids count for no component's smallest id. Extra columns are
+    ignored; an empty table gives an empty result.
     """
-    rows = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    rows = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("row", F.lit(0).cast("long")))
+    grouped = join_groups(rows.drop("row"), _components(rows, distance, trees), ["fp"], "n")
+    return grouped.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def _components(rows: DataFrame, distance: int, trees: int) -> DataFrame:
+    """(fp, n, first) of (id, row, fp) rows: how many rows have a fingerprint, and the first (no_id, id, row) of its component, a null id last."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    distinct = checkpointed(rows.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")))
     parts = connected_components(links(distinct, distance=distance, trees=trees))
     named = distinct.join(parts, distinct["fp"] == parts["node"])
-    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
     linked = named.join(smallest, "component").select("fp", "smallest")
-    of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return rows.join(of, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return checkpointed(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("smallest", "first").alias("first")))
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns; null ids go where their group has another.
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, trees: int = 1) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, null ids last, and of equal ids the first as stored.
 
-    Of rows with equal ids the same decision holds for all, and all stay or go.
+    Rows are decided on one by one, so every component keeps exactly one row even where ids are repeated or null.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, distance=distance, trees=trees)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    row, fp = free_name(docs, "__row"), free_name(docs, "__fp")
+    numbered = stored(_with_fingerprint(docs, text_col, fp).withColumn(row, F.monotonically_increasing_id()))
+    rows = numbered.select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    kept = _components(rows, distance, trees).select(F.col("first.row").alias("__kept")).distinct()
+    return numbered.join(kept, numbered[row] == kept["__kept"], "left_semi").drop(row, fp)
