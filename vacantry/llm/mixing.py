@@ -7,25 +7,24 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_of, shuffle_partitions
+from .common import fraction_of, free_name, shuffle_partitions
 
 OTHER = "\x00other"
+#: The largest rate that one number inverts; a larger one is the sum of as many equal smaller ones as it takes.
+RATE = 64.0
+#: Copies that one row makes at once.
+BLOCK = 4096
 
 
-def poisson_cdf(rate: float) -> tuple[int, list[float]]:
-    """(first, steps): the number of counts is `first` plus the number of steps that a uniform number reaches.
+def poisson_cdf(rate: float) -> list[float]:
+    """Probabilities of at most 0, 1, 2, ...: the count is the number of these that a uniform number reaches. For rates up to RATE.
 
-    steps[i] is the probability of at most first+i. Below the smallest and above the largest listed count lies
-    less than 2**-53 of the distribution.
+    Above the largest listed count lies less than 2**-53 of the distribution.
     """
     if rate <= 0:
-        return 0, []
-    if rate < 500:
-        first, p = 0, math.exp(-rate)
-    else:
-        first = int(rate - 12 * math.sqrt(rate))
-        p = math.exp(first * math.log(rate) - rate - math.lgamma(first + 1))
-    k, total, steps = first, p, [p]
+        return []
+    k, p = 0, math.exp(-rate)
+    total, steps = p, [p]
     while k < rate + 12 * math.sqrt(rate) + 40:
         k += 1
         p = p * rate / k
@@ -33,7 +32,7 @@ def poisson_cdf(rate: float) -> tuple[int, list[float]]:
         if total == steps[-1]:
             break
         steps.append(total)
-    return first, steps
+    return steps
 
 
 def mix(
@@ -52,8 +51,8 @@ def mix(
     A source with weight w (of the sum of the weights of the sources that are there) and S characters gets the
     mean repetition rate w * total / S; `total` is the number of characters wanted, by default as many as there
     are. Each row draws its number of copies by inverting the Poisson distribution of that rate at a uniform
-    number hashed from (seed, id), is exploded by it, and all copies are dealt to partitions and sorted by a
-    hash of (seed, id, copy). Sources that `weights` does not name, and null ones, share the weight `other`.
+    number hashed from (seed, id) (a rate above RATE as the sum of several draws), is exploded by it, and all
+    copies are dealt to partitions and sorted by a hash of (seed, id, copy). Sources that `weights` does not name, and null ones, share the weight `other`.
 
     Returns the columns of `docs` and mix_copy (1, 2, ...), mix_copies, mix_order (in [0, 1), the place in the
     global order); columns of `docs` with these names are replaced. A null id draws like any one id; rows with
@@ -71,19 +70,29 @@ def mix(
     shares = {g: weights.get(g, other) for g in sizes}
     whole, wanted = sum(shares[g] for g in sorted(shares)), sum(sizes.values()) if total is None else total
     copies = F.lit(0)
-    u = fraction_of(F.lit(seed), docs[id_col])
     for g in sorted(sizes):
-        first, steps = poisson_cdf(shares[g] / whole * wanted / sizes[g] if whole else 0.0)
-        if steps:
+        rate = shares[g] / whole * wanted / sizes[g] if whole else 0.0
+        parts = max(1, math.ceil(rate / RATE))
+        if steps := poisson_cdf(rate / parts):
             ladder = F.array(*[F.lit(x) for x in steps])
-            copies = F.when(group == F.lit(g), F.lit(first) + F.size(F.filter(ladder, lambda x: x <= F.col("__mix_u")))).otherwise(copies)
-    n = shuffle_partitions(docs.sparkSession)
-    out = docs.withColumn("__mix_u", u).withColumn("mix_copies", copies).where("mix_copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    out = out.withColumn("mix_order", fraction_of(F.lit(seed), F.col(id_col), F.col("mix_copy"))).drop("__mix_u")
+            copies = F.when(group == F.lit(g), _drawn(ladder, parts, seed, docs[id_col])).otherwise(copies)
+    n, block = shuffle_partitions(docs.sparkSession), free_name(docs, "__block")
+    out = docs.withColumn("mix_copies", copies).where("mix_copies > 0")
+    out = out.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_copies") - 1) / BLOCK).cast("int"))))
+    ends = F.least(F.col("mix_copies"), (F.col(block) + 1) * BLOCK)
+    out = out.withColumn("mix_copy", F.explode(F.sequence(F.col(block) * BLOCK + 1, ends))).drop(block)
+    out = out.withColumn("mix_order", fraction_of(F.lit(seed), F.col(id_col), F.col("mix_copy")))
     dealt = out.repartitionById(n, F.floor(F.col("mix_order") * n).cast("int"))
     return dealt.sortWithinPartitions("mix_order")
 
 
+def _drawn(ladder: Column, parts: int, seed: int, of: Column) -> Column:
+    """The number of steps reached by a uniform number of the row, or, added up, by one of each of its parts."""
+    reached = lambda u: F.size(F.filter(ladder, lambda x: x <= u))
+    if parts == 1:
+        return reached(fraction_of(F.lit(seed), of))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(parts)), F.lit(0), lambda sum, k: sum + reached(fraction_of(F.lit(seed), of, F.lit("part"), k)))
+
+
 def _group(source: Column, weights: dict[str, float]) -> Column:
     return F.when(source.cast("string").isin(*weights), source.cast("string")).otherwise(F.lit(OTHER))
