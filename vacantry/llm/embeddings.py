@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, join_groups
 from .simhash import union
 
 #: Vectors of one side of a comparison in one task, at most.
@@ -60,49 +60,53 @@ def _tables(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> tupl
 def _pair_cells(distinct: DataFrame, radius: float, pivots: int, sample: int) -> DataFrame:
     """Each vector at home in the cell of its nearest pivot, and as a visitor in the later cells that may hold a partner.
 
-    A partner y at home with pivot j has d(x, p_j) <= d(x, p_i) + 2 r, as p_j is its nearest, and
-    d(x, p_j) <= R_j + r, where R_j is the largest distance of a vector at home there.
+    A label (and length) with more than TILE vectors has pivots of its own, one for each TILE of them, `pivots` at
+    most; of such labels the sample // pivots largest, so that there are no more than `sample` pivots in all. The
+    others are one cell each. A partner y at home with pivot j has d(x, p_j) <= d(x, p_i) + 2 r, as p_j is its
+    nearest, and d(x, p_j) <= R_j + r, where R_j is the largest distance of a vector at home there.
     """
     spark = distinct.sparkSession
-    some = distinct.orderBy(F.xxhash64("row")).limit(sample).select("x").collect()
-    by_length: dict[int, list] = {}
-    for r in some:
-        by_length.setdefault(len(r["x"]), []).append(r["x"])
-    chosen = spark.sparkContext.broadcast({k: choose_pivots(unit(v), pivots) for k, v in by_length.items()})
-
-    def distances(xs: list) -> list[np.ndarray]:
-        """For each vector its distances to the pivots of its length; one cell, at distance 0, where there are none."""
-        out: list = [None] * len(xs)
-        lengths = np.array([len(x) for x in xs])
-        for k in np.unique(lengths):
-            at = np.flatnonzero(lengths == k)
-            p = chosen.value.get(int(k))
-            d = np.zeros((len(at), 1)) if p is None else np.sqrt(np.maximum(0, 2 - 2 * unit([xs[i] for i in at]) @ p.T))
-            for i, row in zip(at, d, strict=True):
-                out[i] = row
+    sized = distinct.groupBy("label", F.size("x").alias("k")).agg(F.count(F.lit(1)).alias("in_label")).where(F.col("in_label") > TILE)
+    large = checkpointed(sized.orderBy(F.desc("in_label"), F.xxhash64("label", "k")).limit(max(1, sample // pivots)).withColumn("g", F.monotonically_increasing_id()))
+    marked = distinct.withColumn("k", F.size("x")).join(F.broadcast(large), ["label", "k"], "left")
+    each = sample // max(1, large.count())
+    some = marked.where("g is not null").where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(float(each << 20)) / F.col("in_label"))
+    drawn: dict[int, list] = {}
+    for r in some.select("g", "x", "in_label", F.xxhash64("row").alias("o")).orderBy("o").limit(2 * sample).collect():
+        drawn.setdefault(r["g"], []).append((r["x"], r["in_label"]))
+    chosen = spark.sparkContext.broadcast({g: choose_pivots(unit([x for x, _ in v]), min(pivots, -(-v[0][1] // TILE))) for g, v in drawn.items()})
+
+    def distances(xs: list, gs: list) -> list[np.ndarray]:
+        """For each vector its distances to the pivots of its label; one cell, at distance 0, where there are none."""
+        out: list = [np.zeros(1)] * len(xs)
+        of = np.array([-1 if g is None else g for g in gs], np.int64)
+        for g in np.unique(of):
+            if (p := chosen.value.get(int(g))) is not None:
+                at = np.flatnonzero(of == g)
+                for i, row in zip(at, np.sqrt(np.maximum(0, 2 - 2 * unit([xs[i] for i in at]) @ p.T)), strict=True):
+                    out[i] = row
         return out
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = b.column(0).to_numpy(zero_copy_only=False)
-            ds = distances(list(xs))
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in xs], pa.int32()), pa.array([int(d.argmin()) for d in ds], pa.int32()), pa.array([float(d.min()) for d in ds])], ["k", "cell", "d"])
+            ds = distances(list(b.column(0).to_numpy(zero_copy_only=False)), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([int(d.argmin()) for d in ds], pa.int32()), pa.array([float(d.min()) for d in ds])], ["g", "cell", "d"])
 
-    reach = distinct.select("x").mapInArrow(nearest, "k int, cell int, d double").groupBy("k", "cell").agg(F.max("d").alias("d"))
-    radii = spark.sparkContext.broadcast({(r["k"], r["cell"]): r["d"] for r in reach.collect()})
+    reach = marked.where("g is not null").select("x", "g").mapInArrow(nearest, "g long, cell int, d double").groupBy("g", "cell").agg(F.max("d").alias("d"))
+    radii = spark.sparkContext.broadcast({(r["g"], r["cell"]): r["d"] for r in reach.collect()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = b.column(1).to_numpy(zero_copy_only=False)
+            gs = b.column(2).to_pylist()
             row, cell, home = [], [], []
-            for i, d in enumerate(distances(list(xs))):
+            for i, d in enumerate(distances(list(b.column(1).to_numpy(zero_copy_only=False)), gs)):
                 own = int(d.argmin())
                 for j in range(own, len(d)):
-                    if j == own or d[j] <= d[own] + 2 * radius + SLACK and d[j] <= radii.value.get((len(xs[i]), j), -math.inf) + radius + SLACK:
+                    if j == own or d[j] <= d[own] + 2 * radius + SLACK and d[j] <= radii.value.get((gs[i], j), -math.inf) + radius + SLACK:
                         row.append(i), cell.append(j), home.append(j == own)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], ["row", "cell", "home"])
 
-    return distinct.select("row", "x").mapInArrow(place, "row long, cell int, home boolean")
+    return marked.select("row", "x", "g").mapInArrow(place, "row long, cell int, home boolean")
 
 
 def near_vectors(
@@ -125,8 +129,9 @@ def near_vectors(
     row of a null id is kept only if it has no link to a row with an id. Extra columns are ignored; an empty table
     gives an empty result.
 
-    Pivots are chosen from at most `sample` vectors, `pivots` for each length. Each label's cell is compared in
-    tiles of at most TILE vectors a side; a tile returns numbers of links and a spanning forest, never its pairs.
+    Large labels have pivots of their own (see _pair_cells), chosen from about `sample` vectors in all. Each label's
+    cell is compared in tiles of at most TILE vectors a side; a tile returns numbers of links and a spanning forest,
+    never its pairs.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     rows, distinct = _tables(df, id_col, vector_col, label_col)
@@ -154,8 +159,8 @@ def near_vectors(
     groups = distinct.join(links, distinct["row"] == links["u"], "left").drop("u")
     groups = checkpointed(groups.join(parts, groups["row"] == parts["u"], "left").select("label", "x", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "row").alias("component")))
     smallest = groups.groupBy("component").agg(F.min("id").alias("smallest"))
-    groups = groups.join(smallest, "component").select(F.col("label").alias("l"), F.col("x").alias("y"), (F.col("links") + F.col("n") - 1).alias("n_links"), "smallest")
-    linked = rows.where("ok").join(groups, (F.col("label") == F.col("l")) & (F.col("x") == F.col("y")))
+    groups = checkpointed(groups.join(smallest, "component").select("label", "x", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "smallest"))
+    linked = join_groups(rows.where("ok"), groups, ["label", "x"], "n")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("smallest"))
     out = linked.select("id", "n_links", "smallest").unionAll(alone)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("smallest").alias("component_id"), F.col("id").eqNullSafe(F.col("smallest")).alias("kept"))
