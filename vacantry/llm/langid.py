@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,11 @@ from pyspark.sql import functions as F
 from .words import split_words
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of a letter category; digits, fractions and numerals in circles are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class Config:
     rate: float = 0.5
     per_language: int = 1500  # bound of the labelled rows learnt from, on average
     languages: int = 200  # bound of the languages learnt, the most frequent
+    chars: int = 48_000_000  # bound of the characters learnt from: whole texts until there are so many
     held: float = 0.2  # of those rows, for calibration
     lost: float = 0.001  # of the calibration rows that may score below the threshold
     highest: float = 0.4  # of the threshold: a text half in each of two languages stays
@@ -39,7 +43,7 @@ def subwords(word: bytes, config: Config) -> np.ndarray:
     chars = ["<", *word.decode("utf-8", "replace"), ">"]
     grams = ["".join(chars[i : i + n]) for n in range(1, config.longest + 1) for i in range(len(chars) - n + 1)]
     hashes = [xxhash.xxh64_intdigest(g) >> (64 - config.bits) for g in [*grams, "=" + "".join(chars)]]
-    return np.array(hashes, np.int64)
+    return np.array(hashes, np.int32)
 
 
 def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +58,25 @@ def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray
     return at, n / n.sum()
 
 
-def train(rows: list[tuple[int, str, str]], config: Config) -> dict:
-    """Stochastic gradient descent over (order, label, text) rows; each text is learnt whole and by a short window of it."""
-    rows = sorted((o, label, words) for o, label, t in rows if (words := split_words(t, digits=False)))
-    names = sorted({label for _, label, _ in rows})
+def train(rows: Iterable[tuple[str, str]], config: Config) -> dict:
+    """Stochastic gradient descent over (label, text) rows; each text is learnt whole and by a short window of it.
+
+    The rows come in the order of a hash; only their features are held, and rows beyond config.chars are left.
+    """
     rng = np.random.default_rng(config.seed)
-    known, learn, held = {}, [], []
-    for _, label, words in rows:
+    known, learn, held, chars = {}, [], [], 0
+    for label, text in rows:
+        chars += len(text)
+        if chars > config.chars:
+            break
+        if not (words := split_words(text, digits=False)):
+            continue
         at = int(rng.integers(len(words)))
         short = words[at : at + int(rng.integers(1, 21))]
-        (held if rng.random() < config.held else learn).extend((_vector(w, known, config), names.index(label)) for w in (words, short))
+        (held if rng.random() < config.held else learn).extend((_vector(w, known, config), label) for w in (words, short))
+    names = sorted({label for _, label in learn + held})
+    number = {label: k for k, label in enumerate(names)}
+    learn, held = ([(x, number[label]) for x, label in part] for part in (learn, held))
     e = rng.normal(0, 0.1, (1 << config.bits, config.dim))
     w, b = np.zeros((config.dim, len(names))), np.zeros(len(names))
     steps, done = max(1, config.epochs * len(learn)), 0
@@ -102,8 +115,9 @@ def _calibrate(logits: np.ndarray, truth: np.ndarray, config: Config) -> tuple[f
 def fit(docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", order: Column, config: Config = Config()) -> dict:  # noqa: B008
     """Learn from a bounded sample of the labelled rows of `docs`: about config.per_language rows of each label.
 
-    The sample is chosen by `order`, a hash column, without a shuffle of texts, and one task learns from it. Rows
-    with a null label or text are left out. Without rows the model knows no language and predicts `und`.
+    The sample is chosen by `order`, a hash column, without a shuffle of texts; one task learns from it in that
+    order, from config.chars characters at most. Rows with a null label or text, and texts without words, are left
+    out. Without rows, as of an empty table, the model knows no language and predicts `und`.
     """
     labelled = docs.select(F.col(label_col).cast("string").alias("label"), order.cast("long").alias("o"), F.col(text_col).cast("string").alias("t"))
     labelled = labelled.where("label is not null and t is not null and o is not null")
@@ -114,8 +128,7 @@ def fit(docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", ord
     some = labelled.where(F.pmod(F.col("o"), F.lit(1 << 20)) < share * (1 << 20))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in (b.column(1), b.column(0), b.column(2))), strict=True)]
-        m = train(rows, config)
+        m = train((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), config)
         yield pa.RecordBatch.from_pydict(
             {
                 "names": pa.array([m["names"]], pa.list_(pa.string())),
@@ -125,7 +138,7 @@ def fit(docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", ord
             }
         )
 
-    found = some.repartition(1).mapInArrow(learn, "names array<string>, m binary, b array<double>, threshold double").collect()
+    found = some.repartition(1).sortWithinPartitions("o", "label", "t").select("label", "t").mapInArrow(learn, "names array<string>, m binary, b array<double>, threshold double").collect()
     r = found[0] if found else {"names": [], "m": b"", "b": [], "threshold": 0.0}
     m = np.frombuffer(r["m"], np.float32).reshape(-1, len(r["names"])) if r["names"] else np.zeros((1 << config.bits, 0), np.float32)
     return {"names": list(r["names"]), "m": m, "b": np.array(r["b"]), "threshold": r["threshold"]}
@@ -160,7 +173,8 @@ def predictor(spark: SparkSession, model: dict, config: Config = Config()) -> Ca
     """A function from a text column to struct<lang_pred string, score double, rejected boolean>.
 
     `und` with score 0 and rejected, if the text is null or has no letter; else the likeliest language of the
-    whole text, its calibrated probability, and rejected if that is below the model's threshold.
+    whole text, its calibrated probability, and rejected if that is below the model's threshold. A model that
+    knows no language says `und` with score 0 too, but rejects only what has no letter, as it can doubt nothing.
     """
     held = spark.sparkContext.broadcast(model)
 
@@ -171,21 +185,25 @@ def predictor(spark: SparkSession, model: dict, config: Config = Config()) -> Ca
         for texts in batches:
             out = []
             for t in texts:
-                words = split_words(t, digits=False) if t and m["names"] and _LETTER.search(t) else []
+                letters = has_letter(t)
+                words = split_words(t, digits=False) if letters and m["names"] else []
                 p = scores.probabilities(words) if words else None
-                out.append((UNDETERMINED, 0.0, True) if p is None else (m["names"][int(p.argmax())], float(p.max()), bool(p.max() < m["threshold"])))
+                out.append((UNDETERMINED, 0.0, not letters) if p is None else (m["names"][int(p.argmax())], float(p.max()), bool(p.max() < m["threshold"])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return judge
 
 
 def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:  # noqa: B008
-    """(id, lang_pred, score, rejected) of each row; ids are passed through, nulls and repeats too, and extra columns ignored."""
+    """(id, lang_pred, score, rejected) of each row by its whole text; see `predictor` for null and letterless texts.
+
+    Ids are passed through, nulls and repeats too; extra columns are ignored; an empty table gives an empty result.
+    """
     judge = predictor(docs.sparkSession, model, config)
     return docs.select(F.col(id_col), judge(F.col(text_col).cast("string")).alias("__p")).select(id_col, "__p.*")
 
 
 def keep_identified(docs: DataFrame, model: dict, *, text_col: str = "text", config: Config = Config()) -> DataFrame:  # noqa: B008
-    """The rows of `docs` that are not rejected, with all their columns."""
+    """The rows of `docs` that are not rejected (see `predictor`), with all their columns; repeated rows are judged alike, an empty table gives an empty result."""
     judge = predictor(docs.sparkSession, model, config)
     return docs.where(~judge(F.col(text_col).cast("string"))["rejected"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ class Config:
     l2: float = 0.1
     epochs: int = 6
     rows: int = 16_000  # bound of the labelled rows learnt from
+    chars: int = 48_000_000  # bound of their characters: whole texts until there are so many
     seed: int = 42
 
 
@@ -32,14 +33,19 @@ def features(words: list[bytes], known: Hashes, bits: int) -> np.ndarray:
     return np.concatenate([bucket(spread, bits), bucket(pairs(h[:-1], h[1:], 1), bits), bucket(pairs(h[:-2], h[2:], 2), bits)])
 
 
-def train(rows: list[tuple[int, int, str]], config: Config) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias) from (order, label, text) rows; a text's features count once each.
+def train(rows: Iterable[tuple[int, str]], config: Config) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias) from (label, text) rows; a text's features count once each.
 
     Every coordinate has its own rate, from the sum of its squared gradients, and its weight is zero unless its
-    accumulated gradient exceeds l1. The bias is a coordinate without penalty.
+    accumulated gradient exceeds l1. The bias is a coordinate without penalty. The rows come in the order of a
+    hash; only their features are held, and rows beyond config.chars are left.
     """
-    known = Hashes()
-    data = [(np.unique(features(split_words(t), known, config.bits)), y) for _, y, t in sorted(rows)]
+    known, data, chars = Hashes(), [], 0
+    for y, text in rows:
+        chars += len(text)
+        if chars > config.chars:
+            break
+        data.append((np.unique(features(split_words(text), known, config.bits)).astype(np.int32), y))
     z, n = np.zeros(1 << config.bits), np.zeros(1 << config.bits)
     bias_z = bias_n = 0.0
     rng = np.random.default_rng(config.seed)
@@ -76,7 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Labels that are null or not 0 or 1 are left out, a repeated id counts once (a 1 before a 0), and labels
     without a document do not matter. The ids chosen are broadcast, config.rows at most, so no text is shuffled
-    but the sample's, which one task learns from; the driver receives the weights that are not zero.
+    but the sample's, which one task learns from, config.chars characters at most; the driver receives the weights
+    that are not zero. No label, or an empty table, gives weights of zero.
     """
     spark = docs.sparkSession
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
@@ -85,11 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id").alias("o"), "__y", "__t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        at, w, bias = train(got, config)
+        at, w, bias = train((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), config)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int64).tobytes()], "w": [w.tobytes()], "bias": [bias]})
 
-    found = rows.repartition(1).mapInArrow(learn, "at binary, w binary, bias double").collect()
+    found = rows.repartition(1).sortWithinPartitions("o", "__y", "__t").select("__y", "__t").mapInArrow(learn, "at binary, w binary, bias double").collect()
     weights = np.zeros(1 << config.bits, np.float32)
     if not found:
         return {"w": weights, "bias": 0.0}
