@@ -53,20 +53,30 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else [at]
 
 
-def value_paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a parsed JSON value."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, f"{at}[]")}
+#: Levels of nesting that are looked at; no layout has more than two.
+DEEPEST = 8
+
+
+def value_paths(value, at: str = "", deep: int = 0) -> set[str]:
+    """Nested field paths of a parsed JSON value; what lies deeper than DEEPEST is one field of its own."""
+    if isinstance(value, dict) and deep < DEEPEST:
+        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k, deep + 1)}
+    if isinstance(value, list) and deep < DEEPEST:
+        return {p for v in value for p in value_paths(v, f"{at}[]", deep + 1)}
     return {at}
 
 
 def turns_of(value) -> tuple[str | None, list[dict]]:
-    """(layout, turns) of one parsed record; layout is null, and there are no turns, if no layout has its fingerprint."""
+    """(layout, turns) of one parsed record.
+
+    The layout is null, and there are no turns, if no layout has its fingerprint, or if its list of turns holds
+    anything but objects.
+    """
     layout = REGISTRY.get(fingerprint(value_paths(value))) if isinstance(value, dict) else None
     if layout is None or "rows" in layout:
         return None, []
+    if "list" in layout and not (isinstance(value[layout["list"][0]], list) and all(isinstance(m, dict) for m in value[layout["list"][0]])):
+        return None, []
     text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if "list" in layout:
         items, role, content = layout["list"]
@@ -79,13 +89,18 @@ def turns_of(value) -> tuple[str | None, list[dict]]:
     return layout["name"], out
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
 def canonical_json(df: DataFrame, *, id_col: str, json_col: str) -> DataFrame:
     """(id, layout, turns) of records that are JSON texts of mixed layouts, each recognised by its own fingerprint.
 
-    Null, malformed and unrecognised records stay, with a null layout and no turns.
+    Null, malformed, too deeply nested and unrecognised records stay, with a null layout and no turns; numbers that
+    JSON does not have (NaN) and halves of surrogate pairs count as malformed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +108,10 @@ def canonical_json(df: DataFrame, *, id_col: str, json_col: str) -> DataFrame:
             layouts, turns = [], []
             for t in b.column(1):
                 try:
-                    value = json.loads(t.as_py() or "null")
-                except ValueError:
-                    value = None
-                name, said = turns_of(value)
+                    name, said = turns_of(json.loads(t.as_py() or "null", parse_constant=_no_constant))
+                    "".join(x for m in said for x in m.values()).encode()
+                except (ValueError, RecursionError):
+                    name, said = None, []
                 layouts.append(name)
                 turns.append(said)
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))

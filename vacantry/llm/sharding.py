@@ -70,6 +70,11 @@ def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, *, id_col: str = "doc_id") -> None:
-    """Write whole rows as Parquet, one folder for each shard (shard=0, shard=1, ...), spread over many tasks."""
-    docs.withColumn("shard", shard_of(F.col(id_col), shards)).write.mode("errorifexists").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int, *, id_col: str = "doc_id", shard_col: str = "shard") -> None:
+    """Write whole rows as Parquet, one folder for each shard ({shard_col}=0, 1, ...), spread over many tasks.
+
+    A column of `docs` that has that name already, whatever the case, is an error: name another one.
+    """
+    if shard_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {shard_col!r} already; name another one by shard_col")
+    docs.withColumn(shard_col, shard_of(F.col(id_col), shards)).write.mode("errorifexists").partitionBy(shard_col).parquet(path)
