@@ -49,7 +49,7 @@ def empty(spark):
 
 def clash(df):
     """`df` with further columns whose names the operators use themselves."""
-    names = ["fp", "id", "row", "digest", "n", "component_id", "__text", "label", "__id", "mix_copy", "size", "shard", "t", "u", "v", "cell", "kept"]
+    names = ["fp", "id", "row", "digest", "n", "component_id", "__text", "label", "__id", "mix_copy", "size", "shard", "t", "u", "v", "cell", "kept", "__mix_u", "__block", "__row", "__fp", "__kept", "first", "__text_"]
     return df.withColumns({n: F.lit("x") for n in names if n not in df.columns})
 
 
@@ -74,11 +74,21 @@ def test_components(spark, links):
 
 
 def test_poisson_inverts():
-    for rate in (0.3, 2.0, 40.0, 900.0):
-        first, steps = mixing.poisson_cdf(rate)
-        pmf = np.diff([0.0, *steps])
-        mean = sum((first + k) * p for k, p in enumerate(pmf)) if first == 0 else first + sum(k * p for k, p in enumerate(pmf))
-        assert abs(mean - rate) < 1e-6 * max(1, rate) + 1e-3 and steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9
+    for rate in (0.3, 2.0, 40.0, 64.0):
+        steps = mixing.poisson_cdf(rate)
+        mean = sum(k * p for k, p in enumerate(np.diff([0.0, *steps])))
+        assert abs(mean - rate) < 1e-9 * max(1, rate) and steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9
+    assert mixing.poisson_cdf(0.0) == []
+
+
+@pytest.mark.parametrize("rate", [150, 9000])
+def test_mix_at_large_rates(spark, rate):
+    """Sums of draws have the mean and the variance of the whole rate, and every copy is numbered once."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.lit("a").alias("source"))
+    got = mixing.mix(docs, {"a": 1.0}, total=2000 * rate).groupBy("doc_id", "mix_copies").agg(F.count(F.lit(1)).alias("n"), F.max("mix_copy").alias("last"), F.count_distinct("mix_copy").alias("d")).collect()
+    assert all(r["n"] == r["last"] == r["d"] == r["mix_copies"] for r in got)
+    n = np.array([r["n"] for r in got])
+    assert len(n) == 200 and abs(n.mean() - rate) < 5 * math.sqrt(rate / 200) and 0.6 < n.var() / rate < 1.6
 
 
 def test_mix_meets_weights(spark):
@@ -167,8 +177,36 @@ def test_near_groups_odd(spark, odd, empty):
     assert got == brute_groups([(r["doc_id"], r["text"]) for r in odd.collect()])
     assert simhash.near_groups(empty).collect() == []
     kept = simhash.drop_near_copies(clash(odd))
-    assert set(kept.columns) == set(clash(odd).columns)
-    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in got if c is not None}
+    assert kept.columns == clash(odd).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got if c is not None})
+
+
+def test_every_component_keeps_one_row(spark):
+    """Where an id is repeated with different texts, or is null, rows and not ids are decided on."""
+    words = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    rows = [(1, words(0)), (1, words(1)), (2, words(1)), (None, words(2)), (None, words(2)), (3, words(3)), (3, words(3)), (None, words(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, simhash.drop_near_copies(docs).collect())) == sorted(map(str, docs.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text").collect()))
+    assert exact.drop_exact_copies(docs).count() == 4
+
+
+def test_visitors_cross_boundaries_by_default(spark):
+    """With the default tree some links are found only by a visitor beyond a boundary, and all are found."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(1500)]
+    fps = np.array(sorted({x for b in base for x in (b, b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))}), np.uint64)
+    tree = simhash.build_tree(fps[::8], (1 << 64) - 1, 2, 16)
+    row, cell, home = tree.cells(fps)
+    own = dict(zip(row[home].tolist(), cell[home].tolist(), strict=True))
+    reach = set(zip(row.tolist(), cell.tolist(), strict=True))
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    crossing = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if own[a] != own[b]]
+    assert crossing and all((a, own[b]) in reach and (b, own[a]) in reach for a, b in crossing)
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
+    at = {x: k for k, x in enumerate(fps.view(np.int64).tolist())}
+    found = simhash.links(df, leaf=64).collect()
+    got = simhash.find_roots(simhash.union(np.arange(len(fps)), np.array([at[r["u"]] for r in found]), np.array([at[r["v"]] for r in found])))
+    assert (got == simhash.find_roots(simhash.union(np.arange(len(fps)), i, j))).all()
 
 
 @pytest.mark.parametrize("trees", [1, 2, 3])
@@ -280,6 +318,30 @@ def test_sample_encode(spark, odd, empty):
     assert pieces.sample_encode(empty, model_file=queries.model_file()).collect() == []
 
 
+def test_long_words_are_taken_in_blocks(vocabulary):
+    """No lattice holds more than BLOCK characters; a giant text is drawn slice by slice, with bounded lattices, and decodes to itself."""
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghij日é") for _ in range(5000))
+    assert ["".join(p if isinstance(p, str) else p[0] for p in pieces.split(word)), max(len(p if isinstance(p, str) else p[0]) for p in pieces.split(word))] == [word, pieces.BLOCK]
+    giant = word * 1000
+    s = pieces.Sampler(vocabulary)
+    assert len(giant) > s.GIANT
+    rows = s.encode([giant, word], np.array([1, 2], np.uint64), 2)
+    for text, drawn in zip((giant, word), rows, strict=True):
+        assert len(drawn) == 2 and all(vocabulary.decode(r[0]) == text for r in drawn)
+    assert len(s.lattices.reach) < s.lattices.limit + 3 * s.GIANT
+
+
+def test_draws_do_not_depend_on_what_was_built_before(vocabulary):
+    """The same pieces from a fresh sampler, from one that has seen other words, and slice by slice."""
+    text = "the cat sat on a mat and the dog " * 40
+    draw = lambda s: [r[0].tolist() for r in s.encode([text], np.array([9], np.uint64), 3)[0]]
+    fresh, used, sliced = pieces.Sampler(vocabulary), pieces.Sampler(vocabulary), pieces.Sampler(vocabulary)
+    used.encode(["some other words come first " + "z" * 3000], np.array([1], np.uint64), 2)
+    sliced.GIANT = 100
+    assert draw(fresh) == draw(used) == draw(sliced)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
     draw = lambda df, chunk: sorted(tuple(r) for r in pieces.sample_encode(df, model_file=queries.model_file(), chunk=chunk).select("doc_id", "sample", F.xxhash64("pieces")).collect())
@@ -289,68 +351,65 @@ def test_samples_do_not_depend_on_partitions(spark):
 # --- 4 language model ---
 
 
-def test_scores_by_brute_force(spark, empty):
-    """Counts and losses by plain dictionaries over the entries of words and word pairs."""
-    shape = lm.Shape()
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 80")
-    target = docs.where("doc_id % 2 = 0")
-    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
-
-    def entries(text):
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words.split_words(text)], np.uint64)
-        return list(zip(*(x.tolist() for x in shape.entries(h)), strict=True))
-
-    def counts(rows):
-        out = collections.Counter()
-        for r in rows:
-            for k, (word, context, pair) in enumerate(entries(r["text"])):
-                out[word] += 1
-                out[pair] += 1
-                out[context] += k == 0
-        return out
-
-    def loss(n, tokens):
-        total = sum(k for e, k in n.items() if e < 2**shape.word_bits)
-        single = lambda w: (n[w] + 0.1) / (total + 0.1 * 2**shape.word_bits)
-        return -sum(math.log(0.7 * min(1, n[p] / max(1, n[c])) + 0.3 * single(w)) for w, c, p in tokens) / len(tokens)
-
-    models = counts(target.collect()), counts(docs.collect())
-    for r in docs.collect():
-        tokens, row = entries(r["text"]), got[r["doc_id"]]
-        assert row["n_tokens"] == len(tokens)
-        assert abs(loss(models[0], tokens) - row["target_loss"]) < 1e-3 and abs(loss(models[1], tokens) - row["background_loss"]) < 1e-3
-        assert abs(row["target_loss"] - row["background_loss"] - row["score"]) < 1e-9
-    even = [r["score"] for d, r in got.items() if d % 2 == 0]
-    uneven = [r["score"] for d, r in got.items() if d % 2]
-    assert np.mean(even) < np.mean(uneven)
+def word_model(texts):
+    """Counts of words, of what follows each, and of pairs, by dictionaries over the words themselves; None is a text's start and end."""
+    texts = [t for t in texts if t]
+    return collections.Counter(w for t in texts for w in t), collections.Counter(p for t in texts for p in itertools.pairwise([None, *t, None]))
+
+
+def brute_loss(model, text, size, shape):
+    single, double = model
+    followed = collections.Counter()
+    for (a, _), n in double.items():
+        followed[a] += n
+    total = 0.0
+    for a, b in itertools.pairwise([None, *text]):
+        one = (1 - shape.spread) * single[b] / single.total() + shape.spread / size if single.total() else 1 / size
+        total -= math.log(shape.weight * double[a, b] / followed[a] + (1 - shape.weight) * one if followed[a] else one)
+    return total / len(text)
 
 
 @pytest.mark.parametrize("bits", [4, 17])
-def test_each_word_and_bigram_has_its_own_count(spark, bits):
-    """By dictionaries over the words themselves: however few entries a table would have, none is shared."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
-    texts = {r["doc_id"]: [None, *words.split_words(r["text"])] for r in docs.collect()}
+def test_scores_by_brute_force(spark, bits):
+    """By dictionaries, without the text itself where it is part of a model."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    texts = {r["doc_id"]: words.split_words(r["text"]) for r in docs.collect()}
     target = docs.where("doc_id % 3 = 0")
-    models = []
-    for of in ([t for d, t in texts.items() if d % 3 == 0], list(texts.values())):
-        of = [t for t in of if len(t) > 1]
-        models.append((collections.Counter(w for t in of for w in t), collections.Counter(p for t in of for p in itertools.pairwise(t))))
-    size = max(2**bits, len(models[1][0]))
-
-    def loss(single, double, text):
-        p = lambda a, b: 0.7 * double[a, b] / max(1, single[a]) + 0.3 * (single[b] + 0.1) / (single.total() + 0.1 * size)
-        return -sum(math.log(p(a, b)) for a, b in itertools.pairwise(text)) / (len(text) - 1)
-
-    shape = lm.Shape(word_bits=bits)
-    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
-    assert got.keys() == texts.keys()
-    for d, text in texts.items():
-        assert got[d]["n_tokens"] == len(text) - 1
-        if len(text) > 1:
-            t, b = (loss(*m, text) for m in models)
-            assert abs(got[d]["target_loss"] - t) < 1e-6 and abs(got[d]["background_loss"] - b) < 1e-6
-    marked = {r["doc_id"]: r["score"] for r in lm.difference_from_marked(docs, target, shape=shape).collect()}
-    assert marked == pytest.approx({d: r["score"] for d, r in got.items()}, abs=1e-9)
+    shape, of = lm.Shape(word_bits=bits), [lambda d: d % 3 == 0, lambda d: True]
+    size = max(2**bits, len({w for t in texts.values() for w in t}))
+    whole = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, *lm.fit(target, docs, shape=shape)).collect()}
+    others = {r["doc_id"]: r for r in lm.difference_from_marked(docs, target, shape=shape).collect()}
+    assert whole.keys() == others.keys() == texts.keys()
+    for got, left in ((whole, False), (others, True)):
+        for d, text in texts.items():
+            assert got[d]["n_tokens"] == len(text)
+            if text:
+                t, b = (brute_loss(word_model([x for e, x in texts.items() if f(e) and not (left and e == d)]), text, size, shape) for f in of)
+                assert abs(got[d]["target_loss"] - t) < 1e-6 and abs(got[d]["background_loss"] - b) < 1e-6 and abs(got[d]["score"] - (t - b)) < 1e-6
+
+
+def test_probabilities_sum_to_one():
+    """Over all words and the end, after words seen and not, in models of different sizes and in one without words."""
+    shape, rng = lm.Shape(word_bits=3), random.Random(1)
+    for n in (0, 1, 30):
+        texts = [[rng.randrange(6) for _ in range(5)] for _ in range(n)]
+        single, double = word_model(texts)
+        for a in (None, *range(8)):
+            followed = sum(k for (x, _), k in double.items() if x == a)
+            arrays = (np.array(x, float) for x in ([double[a, w] for w in range(8)], [followed] * 8, [single[w] for w in range(8)], [single.total()] * 8))
+            with np.errstate(all="raise"):
+                p = np.exp(shape.log_prob(*arrays, 8)).sum()
+            assert abs(p + shape.weight * double[a, None] / max(1, followed) - 1) < 1e-12
+
+
+def test_copies_stand_out_and_lone_texts_do_not(spark):
+    """A text that is there twice is well known to the other rows, one that is there once is not, in a corpus of many more words than 2**word_bits."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(40_000)}" for _ in range(60))) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["background_loss"] for r in lm.difference_from_marked(docs, docs.where("doc_id between 100 and 150"), shape=lm.Shape(word_bits=8)).collect()}
+    assert max(got[i] for i in range(20)) + 3 < min(got[i] for i in range(20, 300))
 
 
 def test_scores_odd(spark, odd, empty):
