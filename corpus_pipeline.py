@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vacantry.llm import exact, langid, mixing, pieces, simhash
+from vacantry.llm.common import free_name, remove_table, stored
 from vacantry.llm.queries import MIX_SEED, MIX_WEIGHTS, language_model, model_file
 
 #: Not expressible: the stages learn a classifier and draw segmentations.
@@ -39,8 +39,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document's text, as pieces, with the text decoded from them as a checksum."""
-    drawn = pieces.sample_encode(docs, model_file=model_file(), k=2, decoded=True)
+    """Two sampled segmentations of each row's text, as pieces, with the text decoded from them as a checksum.
+
+    The copies that mixing made of a document are numbered (there are as many as its source's rate), so that each
+    gets samples of its own.
+    """
+    copy = free_name(docs, "copy")
+    own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    drawn = pieces.sample_encode(docs.withColumn(copy, F.row_number().over(own)), model_file=model_file(), k=2, copy_col=copy, decoded=True)
     return drawn.withColumn("decoded_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
 
 
@@ -54,20 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _written(spark, docs)
-    return docs
-
-
-def _written(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
+    """The stages over documents; what each returns is written to the shared folder and read again, and removed when the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            remove_table(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
