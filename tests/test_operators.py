@@ -212,7 +212,7 @@ def test_scores_equal_a_local_scorer(spark, profiles, postings):
     ps = [(i, a, b, c, d, e, f, g, True) for i, (a, b, c, d, e, f, g) in enumerate(profiles)]
     js = [(i, a, b, c, *d, e, f, g, h) for i, (a, b, c, d, e, f, g, h) in enumerate(postings)]
     pf, jf = spark.createDataFrame(ps, PROFILES), spark.createDataFrame(js, POSTINGS)
-    got = {(r["user_id"], r["posting_id"]): (r["match_score"], r["matched_tags"]) for r in matching.score(matching.candidates(jf, pf)).collect()}
+    got = {(r["user_id"], r["posting_id"]): (r["match_score"], r["matched_tags"]) for r in matching.scored(jf, pf).collect()}
     want = {(p["user_id"], j["posting_id"]): s for p in pf.collect() for j in jf.collect() if (s := local_score(p, j))}
     assert got == want
 

@@ -187,48 +187,78 @@ def build_gazetteer(cities: DataFrame, admin1: DataFrame, countries: DataFrame,
     }
 
 
-def lookup_tables(gaz: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What resolving a place looks up, each keyed so that it has one row a key.
+_ROW = ("kind", "ord", "alias", "name", "code", "country", "population", "feature_code")
+_LOOKUP = ("alias", "token", "scope", "city", "region", "code", "country")
+
+
+def _laid_out(df: DataFrame, columns: tuple[str, ...], kind: str) -> DataFrame:
+    """`df` with these columns as strings or longs, null where it has none."""
+    long = {"ord", "population"}
+    have = lambda c: F.lit(kind) if c == "kind" else F.col(c) if c in df.columns else F.lit(None)
+    return df.select(*[have(c).cast("long" if c in long else "string").alias(c) for c in columns])
+
+
+def alias_rows(gaz: dict[str, DataFrame]) -> DataFrame:
+    """All aliases of a gazetteer in one table, by kind; the kind `population` has each country's."""
+    regions = [gaz["regions"].select("ord", "code", "country", F.explode(f"{k}_aliases").alias("alias")) for k in ("full", "comma_context_full", "abbrev")]
+    parts = {
+        "country": gaz["countries"].select("ord", "name", "population", F.explode("aliases").alias("alias")),
+        "population": gaz["countries"].select("ord", "name", "population"),
+        **dict(zip(("full", "comma", "abbrev"), regions, strict=True)),
+        "city": gaz["cities"].select("ord", "name", F.col("region").alias("code"), "country", "population", "feature_code", F.explode("aliases").alias("alias")),
+        "ambiguous": gaz["ambiguous"].select(F.col("token").alias("alias")),
+        "prefix": gaz["prefixes"].select(F.col("code").alias("alias"), "country"),
+    }
+    out = None
+    for kind, df in parts.items():
+        laid = _laid_out(df, _ROW, kind)
+        out = laid if out is None else out.unionByName(laid)
+    return out
+
+
+def lookup_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """What resolving a place looks up, of `alias_rows`, each keyed so that it has one row a key.
 
     country(alias, country), region_full(alias, code, country) and region_scoped(country, alias, code): later rows
     win. region_any and region_abbrev(alias, code, country): the most populous country's, ties by order. city and
     city_in: the best city of an alias, and of an alias in a country, by population, then tier, then order. narrow:
     the city of (alias, country) and of (alias, country, region) if there is exactly one. city_alias: all city aliases.
     """
-    country = gaz["countries"].select("ord", "name", "population", F.explode("aliases").alias("alias"))
-    population = gaz["countries"].groupBy("name").agg(F.max_by("population", "ord").alias("p"))
-    kinds = [("full_aliases", 0), ("comma_context_full_aliases", 1), ("abbrev_aliases", 2)]
-    region = None
-    for name, kind in kinds:
-        part = gaz["regions"].select("ord", F.lit(kind).alias("kind"), "code", "country", F.explode(name).alias("alias"))
-        region = part if region is None else region.unionByName(part)
+    of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
+    population = of("population").groupBy("name").agg(F.max_by("population", "ord").alias("p"))
+    rank = F.when(F.col("kind") == "full", 0).when(F.col("kind") == "comma", 1).otherwise(2)
+    region = of("full", "comma", "abbrev").select("ord", "kind", rank.alias("rank"), "code", "country", "alias")
     ranked = region.join(population, region["country"] == population["name"], "left").withColumn("p", F.coalesce("p", F.lit(0)))
-    most = lambda df: df.groupBy("alias").agg(F.min_by(F.struct("code", "country"), F.struct(-F.col("p"), "ord", "kind")).alias("r")).select("alias", "r.*")
-    last = F.struct("ord", "kind")
-    city = gaz["cities"].select("ord", "name", "region", "country", "population", "feature_code", F.explode("aliases").alias("alias"))
+    most = lambda df: df.groupBy("alias").agg(F.min_by(F.struct("code", "country"), F.struct(-F.col("p"), "ord", "rank")).alias("r")).select("alias", "r.*")
+    city = of("city").withColumnRenamed("code", "region")
     place = F.struct(F.col("name").alias("city"), "region", "country")
     first = F.struct(-F.coalesce("population", F.lit(0)), feature_tier(F.col("feature_code")), "ord")
     best = F.min_by(place, first).alias("c")
     only = lambda keys: city.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("c")).where("n = 1").select(*keys, F.col("c.city").alias("city"))
     return {
-        "country": country.groupBy("alias").agg(F.max_by("name", "ord").alias("country")),
-        "region_full": region.where("kind = 0").groupBy("alias").agg(F.max_by(F.struct("code", "country"), "ord").alias("r")).select("alias", "r.*"),
+        "country": of("country").groupBy("alias").agg(F.max_by("name", "ord").alias("country")),
+        "region_full": of("full").groupBy("alias").agg(F.max_by(F.struct("code", "country"), "ord").alias("r")).select("alias", "r.*"),
         "region_any": most(ranked),
-        "region_abbrev": most(ranked.where("kind = 2")),
-        "region_scoped": region.groupBy("country", "alias").agg(F.max_by("code", last).alias("code")),
+        "region_abbrev": most(ranked.where("kind = 'abbrev'")),
+        "region_scoped": region.groupBy("country", "alias").agg(F.max_by("code", F.struct("ord", "rank")).alias("code")),
         "city": city.groupBy("alias").agg(best).select("alias", "c.*"),
         "city_in": city.groupBy("alias", F.col("country").alias("scope")).agg(best).select("alias", "scope", "c.*"),
         "city_alias": city.select("alias").distinct(),
         "narrow_country": only(["alias", "country"]),
         "narrow_region": only(["alias", "country", "region"]),
-        "ambiguous": gaz["ambiguous"].select("token").distinct(),
-        "prefix": gaz["prefixes"].select("code", "country"),
+        "ambiguous": of("ambiguous").select(F.col("alias").alias("token")).distinct(),
+        "prefix": of("prefix").select(F.col("alias").alias("code"), "country"),
     }
 
 
 def prepared(gaz: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The lookup tables of a gazetteer, computed once; pass them on to all that resolves places."""
+    """The lookup tables of a gazetteer, computed once, in two jobs; pass them on to all that resolves places."""
     if "city_alias" in gaz:
         return gaz
-    tables = {name: checkpointed(df) for name, df in gaz.items()}
-    return {name: checkpointed(df) for name, df in lookup_tables(tables).items()}
+    tables = lookup_tables(checkpointed(alias_rows(gaz)))
+    out = None
+    for name, df in tables.items():
+        laid = _laid_out(df, _LOOKUP, name).withColumn("of", F.lit(name))
+        out = laid if out is None else out.unionByName(laid)
+    out = checkpointed(out)
+    return {name: out.where(F.col("of") == name).select(*df.columns) for name, df in tables.items()}

@@ -186,7 +186,7 @@ def resolve_once(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     out = resolve_bare(out.withColumn("nothing", F.col("dashed").isNull() & (F.col("__text") == "")).drop("__text"), look)
     again = F.when(~F.col("bare")["resolved"], trailing_code(F.col("token")))
     out = out.withColumn("parts", F.when(F.size("found") > 1, F.col("found")).otherwise(again))
-    out = resolve_segments(checkpointed(out.drop("text", "place", "rest", "dashed")), look)
+    out = resolve_segments(out.drop("text", "place", "rest", "dashed"), look)
     unresolved = _place(None, None, None, False)
     result = (
         F.when(F.col("cleaned") == "", unresolved)
@@ -209,7 +209,7 @@ def attempts(distinct: DataFrame) -> DataFrame:
 def resolve_distinct(distinct: DataFrame, gaz: dict[str, DataFrame]) -> DataFrame:
     """(raw) to (raw, place), computed once. `gaz` is a gazetteer or its prepared tables. A later attempt never overrides an earlier success; a piece with a place goes before one without."""
     tried = attempts(distinct).withColumn("aid", F.struct("raw", "kind", "pos"))
-    done = resolve_once(checkpointed(tried.select("aid", "text")), prepared(gaz))
+    done = resolve_once(tried.select("aid", "text"), prepared(gaz))
     r = F.col("result")
     nowhere = r["city"].isNull() & r["region"].isNull() & r["country"].isNull()
     rank = F.when(~r["resolved"], 9).when(F.col("aid.kind") == 0, 0).when(F.col("aid.kind") == 1, F.when(nowhere, 2).otherwise(1)).otherwise(3)

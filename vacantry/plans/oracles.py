@@ -79,9 +79,11 @@ SELECT user_id, posting_id, round_even(0.5::DOUBLE * tag + 0.2::DOUBLE * title_h
 V["shown"] = """
 SELECT user_id, posting_id, match_score, CASE WHEN match_score >= 0.4 THEN 'recommended' ELSE 'below_threshold' END AS match_status,
        array_to_string(matched, '|') AS matched_tags FROM scored"""
-V["old_matches"] = """
-SELECT user_id, posting_id, 0.125::DOUBLE AS match_score, 'below_threshold' AS match_status, '' AS matched_tags
-FROM postings JOIN people ON posting_id % 5 = user_id % 5 WHERE posting_id % 10 = 3 AND user_id % 20 IN (0, 1)"""
+for _name, _from in (("tagged", "placed"), ("pairs", "tagged"), ("parts", "pairs"), ("scored", "parts"), ("shown", "scored")):
+    V[f"{_name}_old"] = V[_name].replace(f"FROM {_from}", f"FROM {_from}_old")
+V["tagged_old"] = f"SELECT *, {_tags(80000, False)} AS tags FROM placed WHERE posting_id % 7 <> 0"
+V["pairs_old"] = V["pairs_old"].replace("ON is_active\n  AND (", "ON (")
+V["changed"] = "SELECT t.posting_id FROM tagged t LEFT JOIN tagged_old o ON t.posting_id = o.posting_id WHERE o.posting_id IS NULL OR t.tags <> o.tags"
 V["done"] = """
 SELECT user_id, posting_id, arg_max(s, (ts, seq)) AS status, max(ts) AS ts FROM (
   SELECT *, CASE action WHEN 'save' THEN 'saved' WHEN 'apply' THEN 'applied' WHEN 'dismiss' THEN 'dismissed' END AS s FROM actions) WHERE s IS NOT NULL GROUP BY user_id, posting_id"""
@@ -119,7 +121,7 @@ SELECT n, n_name AS city, code AS region, iso AS country, pop, CASE WHEN n % 3 =
 
 _NEEDS = {
     "placed": ["postings", "g"], "tagged": ["placed"], "people": ["profiles", "g"], "pairs": ["tagged", "people"], "parts": ["pairs"], "scored": ["parts"], "shown": ["scored"],
-    "old_matches": ["postings", "people"], "done": ["actions"], "ranked": ["shown", "done"], "old": ["postings"], "new": ["postings"], "merged": ["old", "new"], "tokens": ["directory"],
+    "tagged_old": ["placed"], "pairs_old": ["tagged_old", "people"], "parts_old": ["pairs_old"], "scored_old": ["parts_old"], "shown_old": ["scored_old"], "changed": ["tagged", "tagged_old"], "done": ["actions"], "ranked": ["shown", "done"], "old": ["postings"], "new": ["postings"], "merged": ["old", "new"], "tokens": ["directory"],
     "fresh": ["tokens"], "stamped": ["placed"], "named": ["directory"], "alias": ["g"],
 }
 
@@ -206,10 +208,11 @@ def oracle_sql() -> dict[str, str]:
         "j_candidates": _with("SELECT user_id, posting_id FROM pairs", "pairs"),
         "j_by_tag": _with("SELECT user_id, posting_id FROM pairs WHERE len(target_tags) = 0 OR len(list_intersect(target_tags, tags)) > 0", "pairs"),
         "j_scores": _with("SELECT * FROM shown", "shown"),
-        "j_match_postings": _with("SELECT * FROM old_matches WHERE posting_id % 20 <> 3 UNION ALL SELECT s.* FROM shown s JOIN postings p USING (posting_id) WHERE posting_id % 20 = 3 AND status = 'open'", "old_matches", "shown"),
-        "j_rematch": _with(f"""SELECT o.* FROM old_matches o WHERE user_id % 40 NOT IN (0, 1)
-            UNION ALL SELECT o.* FROM old_matches o JOIN postings p USING (posting_id) JOIN people u USING (user_id) WHERE user_id % 40 IN (0, 1) AND u.is_active AND p.status = 'open' AND p.scraped_at < TIMESTAMP '{NOW_TEXT}' - INTERVAL 30 DAY
-            UNION ALL SELECT s.* FROM shown s JOIN postings p USING (posting_id) WHERE user_id % 40 IN (0, 1) AND p.status = 'open' AND p.scraped_at >= TIMESTAMP '{NOW_TEXT}' - INTERVAL 30 DAY""", "old_matches", "shown"),
+        "j_match_postings": _with("""SELECT * FROM shown_old WHERE posting_id NOT IN (SELECT posting_id FROM changed)
+            UNION ALL SELECT s.* FROM shown s JOIN postings p USING (posting_id) JOIN changed USING (posting_id) WHERE status = 'open'""", "shown_old", "shown", "changed"),
+        "j_rematch": _with(f"""SELECT o.* FROM shown_old o JOIN people u USING (user_id) WHERE u.min_salary IS NULL
+            UNION ALL SELECT o.* FROM shown_old o JOIN postings p USING (posting_id) JOIN people u USING (user_id) WHERE u.min_salary IS NOT NULL AND u.is_active AND p.status = 'open' AND p.scraped_at < TIMESTAMP '{NOW_TEXT}' - INTERVAL 30 DAY
+            UNION ALL SELECT s.* FROM shown s JOIN postings p USING (posting_id) JOIN people u USING (user_id) WHERE u.min_salary IS NOT NULL AND p.status = 'open' AND p.scraped_at >= TIMESTAMP '{NOW_TEXT}' - INTERVAL 30 DAY""", "shown_old", "shown"),
         "j_hint": """WITH b AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '#0000000' || substr(s_name, 17, 2) WHEN 1 THEN 'no' ELSE upper(substr(s_name, 9)) END AS derived_employer_name FROM supplier)
             SELECT s_suppkey, derived_employer_name, coalesce((SELECT min(s_name) FROM supplier s WHERE contains(lower(s_name), lower(b.derived_employer_name))), '') AS similar_employer FROM b""",
         "q_top20": _with("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, posting_id)::INT AS rank FROM shown) WHERE rank <= 20", "shown"),

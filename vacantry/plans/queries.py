@@ -301,27 +301,29 @@ def _shown(matches: DataFrame) -> DataFrame:
 
 def j_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every pair once."""
-    return _shown(matching.score(matching.candidates(*_sides(spark, d))))
+    return _shown(matching.scored(*_sides(spark, d)))
 
 
-def _old_matches(spark: SparkSession, d: str, postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Earlier matches: of every third pair of a user and a posting."""
-    pairs = postings.where("posting_id % 10 = 3").select("posting_id").join(profiles.where("user_id % 20 in (0, 1)").select("user_id"), F.expr("posting_id % 5 = user_id % 5"))
-    return pairs.select("user_id", "posting_id", F.lit(0.125).alias("match_score"), F.lit("below_threshold").alias("match_status"), F.array().cast("array<string>").alias("matched_tags"))
+def _before(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, profiles, matches, changed): the tables now, what was matched when six of seven postings were there, under
+    other rules and with all profiles active, and the postings that are new or have got other tags since (R10)."""
+    postings, profiles = _sides(spark, d)
+    old = rules.classify(postings.where(c("posting_id") % 7 != 0), v.RULESET_B, "classification_tags")
+    then = postings.join(old.select("posting_id", c("classification_tags").alias("then")), "posting_id", "left")
+    changed = then.where(~c("classification_tags").eqNullSafe(c("then"))).select("posting_id")
+    return postings, profiles, matching.scored(old, profiles.withColumn("is_active", F.lit(True))), changed
 
 
 def j_match_postings(spark: SparkSession, d: str) -> DataFrame:
-    """J10."""
-    postings, profiles = _sides(spark, d)
-    ids = postings.where("posting_id % 20 = 3").select("posting_id")
-    return _shown(matching.match_postings(_old_matches(spark, d, postings, profiles), postings, profiles, ids))
+    """J10 on the postings whose tags changed."""
+    postings, profiles, matches, changed = _before(spark, d)
+    return _shown(matching.match_postings(matches, postings, profiles, changed))
 
 
 def j_rematch(spark: SparkSession, d: str) -> DataFrame:
-    """J11."""
-    postings, profiles = _sides(spark, d)
-    ids = profiles.where("user_id % 40 in (0, 1)").select("user_id")
-    return _shown(matching.rematch_profiles(_old_matches(spark, d, postings, profiles), postings, profiles, ids, now()))
+    """The profiles with a floor have edited it."""
+    postings, profiles, matches, _ = _before(spark, d)
+    return _shown(matching.rematch_profiles(matches, postings, profiles, profiles.where("min_salary is not null").select("user_id"), now()))
 
 
 def j_hint(spark: SparkSession, d: str) -> DataFrame:
@@ -333,7 +335,7 @@ def j_hint(spark: SparkSession, d: str) -> DataFrame:
 
 def q_top20(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: tags, places, candidates, scores and the 20 best postings of every user."""
-    return matching.top_matches(matching.candidates(*_sides(spark, d))).select("user_id", "posting_id", "match_score", "match_status", "rank", F.array_join("matched_tags", "|").alias("matched_tags"))
+    return matching.top_matches(*_sides(spark, d)).select("user_id", "posting_id", "match_score", "match_status", "rank", F.array_join("matched_tags", "|").alias("matched_tags"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
@@ -346,7 +348,7 @@ def q_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def q_page(spark: SparkSession, d: str) -> DataFrame:
     """Q1, Q3, Q4, Q6: the second page of each user's recommendations, without what they dismissed."""
-    matches = matching.score(matching.candidates(*_sides(spark, d)))
+    matches = matching.scored(*_sides(spark, d))
     ranked = retrieval.recommend(matches, retrieval.apply_actions(v.view(spark, d, "actions")))
     return retrieval.page(ranked, 2).select("user_id", "posting_id", "match_score", "action", "rank", "page")
 
@@ -354,7 +356,7 @@ def q_page(spark: SparkSession, d: str) -> DataFrame:
 def q_cards(spark: SparkSession, d: str) -> DataFrame:
     """Q7 on the ten best of each user."""
     postings, profiles = _sides(spark, d)
-    top = matching.top_matches(matching.candidates(postings, profiles), 10)
+    top = matching.top_matches(postings, profiles, 10)
     both = matching.joined_matches(top, postings.select("posting_id", "title", "source_url", "location", "is_remote", "employer_slug"), postings.select("employer_slug", F.upper("employer_slug").alias("employer_name")).distinct())
     return retrieval.card(both)
 

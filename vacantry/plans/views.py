@@ -27,7 +27,7 @@ PROFILES = """
 SELECT c_custkey AS user_id, CAST(floor(c_custkey / 10) AS BIGINT) AS k, c_mktsegment AS segment, n_name, r_name,
        CASE WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 4 = 0 THEN NULL ELSE CAST(floor(abs(c_acctbal) * 10) AS INT) END AS min_salary,
        CASE CAST(floor(c_custkey / 10) AS BIGINT) % 3 WHEN 0 THEN 'any' WHEN 1 THEN 'remote_only' ELSE 'onsite_only' END AS remote_pref,
-       c_custkey % 10 = 0 AS is_active
+       c_acctbal >= 0 AS is_active
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
@@ -51,7 +51,7 @@ FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """
 
 ACTIONS = """
-SELECT user_id * 10 AS user_id, event_id % 1000 AS posting_id, event_id AS seq, ts,
+SELECT user_id, event_id % 1000 AS posting_id, event_id AS seq, ts,
        CASE event_type WHEN 'view' THEN 'save' WHEN 'purchase' THEN 'apply' WHEN 'error' THEN 'dismiss' ELSE event_type END AS action FROM {events}
 """
 
@@ -118,12 +118,13 @@ def gazetteer_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return gazetteer.build_gazetteer(v("cities"), v("admin1"), v("countries"), version="v3")
 
 
-_PREPARED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_PREPARED: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def gaz(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The gazetteer, ready to look places up; prepared once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The gazetteer, ready to look places up; prepared once in a session for the same files, unchanged."""
+    made = F.max("_metadata.file_modification_time").alias("t")
+    key = (spark.sparkContext.applicationId, sf_dir, *(table(spark, sf_dir, n).agg(made).first()["t"] for n in ("nation", "region")))
     if key not in _PREPARED:
         _PREPARED[key] = gazetteer.prepared(gazetteer_tables(spark, sf_dir))
     return _PREPARED[key]
