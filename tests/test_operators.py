@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from test_places import inputs
 from vacantry.functions import search, text
-from vacantry.operators import discovery, matching, retrieval, rules, telemetry, upsert
+from vacantry.operators import discovery, gazetteer, matching, retrieval, rules, telemetry, upsert
 from vacantry.plans import queries as plans
 from vacantry.schemas import POSTING
 from vacantry.sources import feeds, files
@@ -21,6 +22,11 @@ from vacantry.streaming import pipeline
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+@pytest.fixture(scope="module")
+def look(spark):
+    return gazetteer.prepared(gazetteer.build_gazetteer(*inputs(spark)))
+
+
 def now():
     return F.lit("2024-03-01 00:00:00").cast("timestamp")
 
@@ -135,7 +141,10 @@ def test_text_functions(spark):
     assert one(text.display_name(lit("workday"), lit("https://acme-corp.wd5.myworkdayjobs.com/x"))) == "Acme Corp"
     assert one(text.display_name(lit("lever"), lit("big_co"))) == "Big Co"
     assert one(text.valid_board_url(lit("https://a.b.myworkdayjobs.com/x"))) and not one(text.valid_board_url(lit("https://a/b.c.myworkdayjobs.com/x")))
-    assert one(text.slugify(lit("  Ácme & Sons, Inc. - x_ "))) == "acme-sons-inc-x"
+    for bad in ("https://a.b.myworkdayjobs.com/x@evil/..", "https://a.b.myworkdayjobs.com", "https://a.b.myworkdayjobs.com/", "https://a.b.myworkdayjobs.com/x/y", "http://a.b.myworkdayjobs.com/x"):
+        assert not one(text.valid_board_url(lit(bad)))
+    assert one(text.slugify(lit("  Ácme & Sons, Inc. - x_ "))) == "acme-sons-inc-x" and one(text.slugify(lit("Škoda Łódź"))) == "skoda-odz"
+    assert one(text.clean_alias(lit(" Gießen."))) == "giessen" and len(one(text.title_case(F.repeat(lit("a"), lit(1_100_000))))) == 1_100_000
     assert one(text.csv_list(lit(" a, ,b,a "))) == ["a", "b", "a"] and one(text.csv_list(lit(None).cast("string"))) == []
     assert one(text.clean_query(lit(" a\0b "))) == "ab" and one(text.unescape(lit("&amp;lt;&eacute;"))) == "&lt;é"
     assert one(text.fold_unicode(lit("Straße ﬁ"))) == "strasse fi" and one(text.clean_alias(lit(" U.S. "))) == "us" and one(text.clean_alias(lit(" . "))) is None
@@ -272,8 +281,11 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_counter_and_histogram(spark):
-    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("a", 3, 2.0)], "k string, ts long, value double")
-    assert [r["increase"] for r in telemetry.counter_increase(df, ["k"]).orderBy("ts").collect()] == [0.0, 2.0, 2.0]
+    df = spark.createDataFrame([("a", 1, 5.0, 1), ("a", 2, 7.0, 2), ("a", 2, 1.0, 3), ("a", 3, 2.0, 4)], "k string, ts long, value double, event_id long")
+    assert [r["increase"] for r in telemetry.counter_increase(df, ["k"]).orderBy("event_id").collect()] == [0.0, 2.0, 1.0, 1.0]
+    at = df.withColumn("ts", F.timestamp_seconds("ts")).withColumn("name", F.concat("k", (F.col("event_id") % 2).cast("string")))
+    assert [r["last"] for r in telemetry.gauge_last(at, ["k"]).collect()] == [2.0]
+    assert [r["total"] for r in telemetry.gauge_sum(at, ["k"], over=["name"]).collect()] == [3.0]
     h = spark.createDataFrame([("a", 1.0, 50), ("a", 2.0, 90), ("a", 4.0, 100), ("a", float("inf"), 100)], "k string, le double, n long")
     assert telemetry.histogram_quantile(h, ["k"]).first()["quantile"] == 3.0
 
@@ -294,11 +306,118 @@ def test_pipeline_stream(spark, tmp_path):
     assert {r["source_job_id"]: r["classification_tags"] for r in state.collect()} == {"1": ["python"], "2": ["python"]}
 
 
+def test_an_interrupted_round_is_repeated(spark, tmp_path, monkeypatch):
+    """A round that dies while it writes, or between its two states, ends as one that did not."""
+    sources = spark.createDataFrame([("lever", "b", "acme")], "source_ats string, board_token string, employer string")
+    profiles = spark.createDataFrame([(1, ["Python"], ["python"], [], [], [], None, "any", True)], PROFILES)
+    rounds = [batch(spark, ("1", "Python dev"), ("2", "Cook")), batch(spark, ("1", "Python dev"), ("2", "Python cook"))]
+    seen = {}
+    write = files.write_snapshot
+
+    def dies(df, path, version):
+        if version == 1 and path.endswith(at):
+            df.write.parquet(f"{path}/v={version}")
+            os.remove(f"{path}/v={version}/_SUCCESS")
+            raise RuntimeError("lost")
+        write(df, path, version)
+
+    for at in ("", "postings", "matches"):
+        state = str(tmp_path / f"s{at}")
+        for n, b in enumerate(rounds):
+            monkeypatch.setattr(pipeline, "write_snapshot", dies if at else write)
+            try:
+                pipeline.tick(spark, b, sources, profiles, state, n)
+            except RuntimeError:
+                monkeypatch.setattr(pipeline, "write_snapshot", write)
+                pipeline.tick(spark, b, sources, profiles, state, n)
+        rows = files.read_snapshot(spark, f"{state}/matches").drop("computed_at").collect(), files.read_snapshot(spark, f"{state}/postings").drop("scraped_at").collect()
+        seen[at] = [sorted(map(str, r)) for r in rows]
+    assert seen[""] == seen["postings"] == seen["matches"] and len(seen[""][0]) == 2
+
+
+def test_feeds_to_matches_in_one_run(spark, tmp_path, look):
+    """What boards send goes through readers, places, upsert and tags to matches; a failed board closes nothing, an empty one all."""
+    sources = spark.createDataFrame([("lever", "b", "acme"), ("ashby", "c", "beta"), ("workday", "https://x", "gamma")], "source_ats string, board_token string, employer string")
+    profiles = spark.createDataFrame([(1, ["Python"], ["python"], [], [], [], None, "any", True)], PROFILES)
+    job = lambda i, t: {"id": i, "text": t, "categories": {"location": "Remote"}}
+    flat = {"ordinal": 0, "ats_id": "w", "title": "Python", "description": "", "location": "", "is_remote": False, "url": "u"}
+
+    def land(name, *sent):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(json.dumps(dict(zip(("source_ats", "board_token", "payload"), (a, b, p if isinstance(p, str) else json.dumps(p)), strict=True))) + "\n" for a, b, p in sent))
+        pipeline.run_feed_stream(spark, str(tmp_path / "in"), str(tmp_path / "state"), sources, profiles, look).awaitTermination(300)
+        rows = files.read_snapshot(spark, str(tmp_path / "state/postings")).collect()
+        return {f"{r['source_ats']}:{r['source_job_id']}": (r["status"], r["location_resolved"]) for r in rows}, files.read_snapshot(spark, str(tmp_path / "state/matches")).collect()
+
+    state, matches = land("1.json", ("lever", "b", [job("1", "Python dev"), job("0", "Cook")]), ("ashby", "c", {"jobs": [{"id": "k", "title": "x"}]}), ("workday", "https://x", flat))
+    assert state == {"lever:1": ("open", True), "lever:0": ("open", True), "ashby:k": ("open", False), "workday:w": ("open", False)}
+    assert {r["posting_id"] for r in matches} == {"lever:1", "lever:0", "workday:w"} and all(r["computed_at"] for r in matches)
+    state, _ = land("2.json", ("lever", "b", "{broken"), ("ashby", "c", {"jobs": []}))
+    assert {k: s for k, (s, _) in state.items()} == {"lever:1": "open", "lever:0": "open", "ashby:k": "closed", "workday:w": "open"}
+
+
+def test_profile_edits_to_a_refreshed_list(spark, look):
+    """Saves are debounced, lists parsed, places normalised, and the user is matched anew; others keep what they have."""
+    profiles = spark.createDataFrame([(1, [], ["x"], [], [], [], None, "any", True), (2, [], ["x"], [], [], [], None, "any", True)], PROFILES)
+    rows = [(i, "Python dev", ["python"], "", "", "", "", False, False, None, None, "e") for i in range(2)]
+    postings = spark.createDataFrame(rows, POSTINGS).withColumns({"status": F.lit("open"), "scraped_at": now()})
+    matches = spark.createDataFrame([(u, p, 0.1, "below_threshold", [], datetime.datetime(2024, 1, 1)) for u in (1, 2) for p in (0, 1)], "user_id long, posting_id long, match_score double, match_status string, matched_tags array<string>, computed_at timestamp")
+    at = lambda s: datetime.datetime(2024, 2, 1, 0, 0, s)
+    edits = spark.createDataFrame([(1, at(0), 0, "a", "cook", "", "", None, "any", True), (1, at(3), 1, " Python, ", "python,sql", "", "", None, "any", True)], pipeline.EDITS)
+    new, got = pipeline.apply_edits(edits, profiles, postings, matches, look, now())
+    assert {r["user_id"]: (r["target_titles"], r["target_tags"]) for r in new.collect()} == {1: (["Python"], ["python", "sql"]), 2: ([], ["x"])}
+    assert {(r["user_id"], r["posting_id"]): (r["match_score"], r["computed_at"].month) for r in got.collect()} == {(1, 0): (0.75, 3), (1, 1): (0.75, 3), (2, 0): (0.1, 1), (2, 1): (0.1, 1)}
+
+
+def test_late_events(spark, tmp_path):
+    """A stream counts an event that is late by less than the watermark's delay, and drops one that is later."""
+    src, at = tmp_path / "in", lambda m: datetime.datetime(2024, 1, 1, 12, m)
+    counts = {}
+    for k, minutes in enumerate(([40], [33, 2], [59], [59])):
+        spark.createDataFrame([(at(m), "a") for m in minutes], "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(src))
+        q = telemetry.rate(stream, ["event_type"], win="1 minute", slide="1 minute", seconds=60).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+        q.foreachBatch(lambda b, n: counts.update({r["at"].minute - 1: r["n"] for r in b.collect()})).trigger(availableNow=True).start().awaitTermination(120)
+    assert counts == {33: 1, 40: 1}
+
+
+def test_pairs_are_dealt_over_all_partitions(spark):
+    """Whatever few bytes the sides have, their pairs are made in as many tasks as there are shuffle partitions, none with most of them."""
+    profiles = spark.createDataFrame([(i, [f"t{i}"], ["python"], [], [], [], None, "any", True) for i in range(200)], PROFILES)
+    postings = spark.createDataFrame([(i, f"Python {i}", ["python"], "", "", "", "", False, False, None, None, "e") for i in range(200)], POSTINGS)
+    made = matching.scored(postings, profiles)
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 40_000 and len(sizes) >= 4 and max(sizes) < 20_000
+    best = matching.top_matches(postings, profiles, 3, slices=4).collect()
+    rows = made.collect()
+    for u in (0, 7):
+        want = sorted(((-r["match_score"], r["posting_id"]) for r in rows if r["user_id"] == u))[:3]
+        assert [(-r["match_score"], r["posting_id"]) for r in sorted(best, key=lambda r: r["rank"]) if r["user_id"] == u] == want
+
+
+def test_what_counts_as_missing_is_json_truth(spark):
+    """The texts "0" and "false" are ids and titles; 0, false, null and empty ones are none."""
+    cases = [('"0"', '"0"', True), ('"1"', '"false"', True), ("0", '"t"', False), ("false", '"t"', False), ('""', '"t"', False), ("null", '"t"', False), ("7", '"t"', True), ('"x"', "0", False), ('"x"', "[]", False)]
+    rows = [(f"b{k}", f'[{{"id": {i}, "text": {t}}}]', f'{{"jobs": [{{"id": {i}, "title": {t}}}]}}') for k, (i, t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "board_token string, b string, c string")
+    for reader, column in ((feeds.feed_b, "b"), (feeds.feed_c, "c")):
+        got = {r["board_token"]: r["bad"] for r in reader(df.select("board_token", F.col(column).alias("payload"))).collect()}
+        assert got == {f"b{k}": not good for k, (_, _, good) in enumerate(cases)}
+
+
 def test_snapshots_and_diffs(spark, tmp_path):
     files.write_snapshot(spark.range(3), str(tmp_path / "t"), 1)
     files.write_snapshot(spark.range(5), str(tmp_path / "t"), 2)
     os.makedirs(tmp_path / "t" / "v=3")  # broken off
-    assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 5
+    assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 5 and files.read_snapshot(spark, str(tmp_path / "t"), 2).count() == 3
+    files.write_snapshot(spark.range(7), str(tmp_path / "t"), 3)
+    assert files.read_snapshot(spark, str(tmp_path / "t")).count() == 7
+    with pytest.raises(FileExistsError):
+        files.write_snapshot(spark.range(1), str(tmp_path / "t"), 3)
+    place = "struct<location_city:string,location_region:string,location_country:string>"
+    diff = spark.createDataFrame([(4, "changed", ("Paris", "", "FR"), ("", "TX", "US"))], f"id long, kind string, old {place}, new {place}")
+    files.write_diff(diff, str(tmp_path / "text"), form="text")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "text")).collect()] == ["changed 4: Paris, FR -> TX, US"]
     files.write_diff(spark.range(0), str(tmp_path / "d0"), strict=True)
     with pytest.raises(files.NotEmpty):
         files.write_diff(spark.range(1), str(tmp_path / "d1"), strict=True)

@@ -54,7 +54,7 @@ def fold_unicode(text: pd.Series) -> pd.Series:
 def title_case(text: Column) -> Column:
     """Upper case after every character that is no letter, lower case otherwise."""
     runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def display_name(ats: Column, token: Column) -> Column:
@@ -64,17 +64,19 @@ def display_name(ats: Column, token: Column) -> Column:
 
 
 def valid_board_url(token: Column, domain: str = "myworkdayjobs.com") -> Column:
-    """An https URL whose host is {company}.{instance}.{domain}, with plain labels."""
+    """An https URL whose host is {company}.{instance}.{domain} and whose path is a site, both of plain labels."""
     dots = domain.replace(".", r"\.")
-    return F.coalesce(token.rlike(rf"^https://[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.{dots}(/.*)?$"), F.lit(False))
+    return F.coalesce(token.rlike(rf"^https://[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.{dots}/[A-Za-z0-9_-]+/*$"), F.lit(False))
 
 
-_ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+@F.pandas_udf(T.StringType())
+def plain_ascii(text: pd.Series) -> pd.Series:
+    """NFKD without what is not ASCII: accents go, and letters that have no plain form."""
+    return text.map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 def slugify(name: Column) -> Column:
-    plain = F.lower(F.translate(name, _ACCENTED, _PLAIN))
+    plain = F.lower(plain_ascii(name))
     kept = F.regexp_replace(plain, r"[^a-z0-9_\s-]", "")
     return F.regexp_replace(F.regexp_replace(F.trim(kept), r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
 
@@ -106,8 +108,8 @@ def looks_like_airport(alias: Column) -> Column:
 
 
 def clean_alias(raw: Column) -> Column:
-    """Trimmed, lower case, without full stops; null if nothing is left."""
-    return F.nullif(F.trim(F.replace(F.lower(F.trim(raw)), F.lit("."), F.lit(""))), F.lit(""))
+    """Folded as the places that are looked up, without full stops; null if nothing is left."""
+    return F.nullif(F.trim(F.replace(fold_unicode(raw), F.lit("."), F.lit(""))), F.lit(""))
 
 
 def log_filter(logs, *, service: str | None = None, level: str = "ERROR", line: str = "line", label: str = "service"):

@@ -13,9 +13,26 @@ from .gazetteer import prepared
 CURRENT_VERSION = "v3"
 _EDGE = " .,-"
 #: Words that name no place although a place bears them, once `area` is gone.
-DESCRIPTORS = (
-    "bay metro valley delta north south east west central greater downtown uptown tri-state shore piedmont highlands".split() + ["gold coast", "north shore"]
-)
+DESCRIPTORS = [
+    "bay",
+    "metro",
+    "valley",
+    "delta",
+    "north",
+    "south",
+    "east",
+    "west",
+    "central",
+    "greater",
+    "downtown",
+    "uptown",
+    "tri-state",
+    "shore",
+    "piedmont",
+    "highlands",
+    "gold coast",
+    "north shore",
+]
 #: Patterns of words that say how or where one works, not in which place.
 NOISE = (
     r"\d+\s*locations?",

@@ -21,15 +21,15 @@ def rate(df: DataFrame, by: list[str], *, ts: str = "ts", win: str = "5 minutes"
     return w.select(F.col("window.end").alias("at"), *by, "n", (F.col("n") / F.lit(seconds)).alias("per_second"))
 
 
-def counter_increase(df: DataFrame, by: list[str], *, ts: str = "ts", value: str = "value") -> DataFrame:
-    """What a cumulative counter rose by since its last sample; a fall is a reset, after which it rose from zero."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
+def counter_increase(df: DataFrame, by: list[str], *, ts: str = "ts", value: str = "value", seq: str = "event_id") -> DataFrame:
+    """What a cumulative counter rose by since its last sample, by ts and then seq; a fall is a reset, after which it rose from zero."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts, seq))
     rose = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     return df.withColumn("increase", rose.cast("double"))
 
 
-def p95(df: DataFrame, by: list[str], *, value: str = "value", ts: str = "ts", win: str = "5 minutes", slide: str = "5 minutes", exact: bool = True) -> DataFrame:
-    """The 95th percentile by name over a range, interpolated, or approximate (bounded memory)."""
+def p95(df: DataFrame, by: list[str], *, value: str = "value", ts: str = "ts", win: str = "5 minutes", slide: str = "5 minutes", exact: bool = False) -> DataFrame:
+    """The 95th percentile by name over a range: approximate in bounded memory, or `exact`, interpolated, which holds a range's different values."""
     q = F.percentile(value, F.lit(0.95)) if exact else F.percentile_approx(value, F.lit(0.95))
     w = watermarked(df, ts).groupBy(F.window(ts, win, slide), *by).agg(q.alias("p95"))
     return w.select(F.col("window.end").alias("at"), *by, "p95")
@@ -68,12 +68,17 @@ def error_rate(df: DataFrame, by: list[str], *, status: str = "status", **kw) ->
     return rate(df.where(F.col(status).cast("string").rlike("^5..$")), by, **kw)
 
 
-def gauge_last(df: DataFrame, by: list[str], *, value: str = "value", ts: str = "ts", win: str = "5 minutes") -> DataFrame:
-    """The last value by name in each range, and its sum over names is the caller's to take."""
-    w = watermarked(df, ts).groupBy(F.window(ts, win), *by).agg(F.max_by(value, ts).alias("last"))
+def gauge_last(df: DataFrame, by: list[str], *, value: str = "value", ts: str = "ts", seq: str = "event_id", win: str = "5 minutes") -> DataFrame:
+    """The last value by name in each range, by ts and then seq."""
+    w = watermarked(df, ts).groupBy(F.window(ts, win), *by).agg(F.max_by(value, F.struct(ts, seq)).alias("last"))
     return w.select(F.col("window.end").alias("at"), *by, "last")
 
 
+def gauge_sum(df: DataFrame, by: list[str], *, over: list[str], **kw) -> DataFrame:
+    """The sum over names `over` of the last values of each range, by `by`."""
+    return gauge_last(df, [*by, *over], **kw).groupBy("at", *by).agg(F.sum("last").alias("total"))
+
+
 def relabel(df: DataFrame, label: str = "container") -> DataFrame:
     """Container names without their leading slash; a name without one becomes ''."""
     return df.withColumn(label, F.regexp_extract(label, "^/(.*)$", 1))

@@ -88,7 +88,8 @@ def assign_employers(requests: DataFrame) -> DataFrame:
     The first name seen with a slug has the slug itself, the others -2, -3, ... in the order first seen. A name
     seen again keeps its employer (a deliberate choice: names are compared with all employers of the slug).
     """
-    keyed = requests.withColumn("base", slugify(F.col("name"))).withColumn("key", F.lower(F.trim("name")))
+    slugs = requests.select("name").distinct().select(F.col("name").alias("__name"), slugify(F.col("name")).alias("base"))
+    keyed = requests.join(slugs, F.col("name").eqNullSafe(F.col("__name"))).drop("__name").withColumn("key", F.lower(F.trim("name")))
     first = keyed.groupBy("base", "key").agg(F.min("seq").alias("first"))
     rank = F.row_number().over(Window.partitionBy("base").orderBy("first", "key"))
     named = first.withColumn("k", rank).withColumn("slug", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k").cast("string"))))

@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
     remote = "is_remote OR source_ats = 'lever' AND posting_id % 8 = 1 OR source_ats = 'ashby' AND posting_id % 8 = 2"
     out = {
         "s_feeds": _with(
-            f"""SELECT board_token, source_ats, source_job_id, title, CASE WHEN source_ats = 'greenhouse' THEN '<p>' || title || '</p>' ELSE title END AS description, location, {remote} AS is_remote,
+            f"""SELECT board_token, source_ats, source_job_id, title, coalesce(CASE WHEN source_ats = 'greenhouse' THEN '<p>' || description || '</p>' ELSE description END, '') AS description, location, {remote} AS is_remote,
             CASE WHEN source_ats = 'workday' THEN salary_min END AS salary_min, CASE WHEN source_ats = 'workday' THEN salary_max END AS salary_max, source_url
             FROM postings WHERE (source_ats, board_token) NOT IN ({bad})""", "postings"),
         "s_bad_boards": _with(bad, "postings"),
@@ -240,8 +240,8 @@ def oracle_sql() -> dict[str, str]:
         "t_backlog_total": "SELECT sum(CASE WHEN event_type IN ('click', 'view') THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)::BIGINT AS backlog FROM events",
         "t_errors": """SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS at, event_type, count(*) AS n, count(*) / 3600.0::DOUBLE AS per_second FROM events
             WHERE regexp_full_match(CAST(CAST(json_extract_string(props, '$.k') AS INT) * 10 AS VARCHAR), '5..') GROUP BY ALL""",
-        "t_gauge": "SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS at, user_id, arg_max(value, ts) AS last FROM events GROUP BY ALL",
-        "t_counter": "SELECT event_id, CASE WHEN b IS NULL THEN 0 WHEN value < b THEN value ELSE value - b END AS increase FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)",
+        "t_gauge": "SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS at, user_id, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY ALL",
+        "t_counter": "SELECT event_id, CASE WHEN b IS NULL THEN 0 WHEN value < b THEN value ELSE value - b END AS increase FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)",
         "t_debounce": """SELECT user_id, max(ts) AS last_ts, count(*) AS n, arg_max(event_type, (ts, event_id)) AS event_type FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM
             (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g""",
         "t_debounce_batch": "SELECT event_id, user_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE f IS NULL OR f - ts >= INTERVAL 1 HOUR",

@@ -10,7 +10,8 @@ from ..operators import gazetteer, location, rules
 POSTINGS = """
 SELECT doc_id AS posting_id,
        CASE doc_id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'workday' END AS source_ats,
-       CAST(doc_id AS STRING) AS source_job_id, source AS employer, source AS employer_slug, source AS board_token,
+       CAST(doc_id AS STRING) AS source_job_id, source AS employer, source AS employer_slug,
+       source || '-' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING) AS board_token,
        substr(text, 1, 60) AS title, text AS description,
        CASE doc_id % 6 WHEN 0 THEN n_name || ', ' || r_name WHEN 1 THEN 'Remote - ' || r_name WHEN 2 THEN n_name || ' Area'
             WHEN 3 THEN r_name || ' > ' || n_name WHEN 4 THEN 'Hybrid' ELSE 'Nowhere' END AS location,

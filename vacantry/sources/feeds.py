@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_remote, unescape
-from ..schemas import ATS
+from ..operators.location import resolve_locations
+from ..schemas import ATS, NORMALISED
 
 #: Schemas of the payloads, one for each shape; fields that nothing reads are left out.
 FEED_A = "struct<jobs:array<struct<id:string,title:string,absolute_url:string,location:string,content:string>>>"
-FEED_B = "array<struct<id:string,text:string,hostedUrl:string,categories:struct<location:string>,workplaceType:string,descriptionPlain:string>>"
-FEED_C = "struct<jobs:array<struct<id:string,title:string,location:string,isRemote:boolean,jobUrl:string,descriptionPlain:string>>>"
+FEED_B = "array<struct<id:variant,text:variant,hostedUrl:string,categories:struct<location:string>,workplaceType:string,descriptionPlain:string>>"
+FEED_C = "struct<jobs:array<struct<id:variant,title:variant,location:string,isRemote:boolean,jobUrl:string,descriptionPlain:string>>>"
 
 
 class FeedError(ValueError):
@@ -59,21 +60,23 @@ def feed_a(boards: DataFrame) -> DataFrame:
 
 
 def _falsy(c: Column) -> Column:
-    return F.coalesce(c.isin("", "0", "false"), F.lit(True))
+    """Whether a JSON value counts as none: null, false, the number 0, or an empty text, list or object; the texts "0" and "false" do not."""
+    said, text = c.cast("string"), F.schema_of_variant(c) == "STRING"
+    return F.coalesce((said == "") | (~text & (said.isin("false", "[]", "{}") | (said.try_cast("double") == 0))), F.lit(True))
 
 
 def feed_b(boards: DataFrame) -> DataFrame:
     """(board_token, payload): a bare array; remote by its flag or the place's text; bad with an id or title that is empty, too."""
     df = _jobs(boards, F.from_json("payload", FEED_B))
     j = F.col("j")
-    return _normalised(df, "lever", job_id=j["id"], title=j["text"], body=j["descriptionPlain"], place=j["categories"]["location"], remote=j["workplaceType"] == "remote", url=j["hostedUrl"], bad=_falsy(j["id"]) | _falsy(j["text"]))
+    return _normalised(df, "lever", job_id=j["id"], title=j["text"].cast("string"), body=j["descriptionPlain"], place=j["categories"]["location"], remote=j["workplaceType"] == "remote", url=j["hostedUrl"], bad=_falsy(j["id"]) | _falsy(j["text"]))
 
 
 def feed_c(boards: DataFrame) -> DataFrame:
     """(board_token, payload): an object of jobs with a remote flag of their own."""
     df = _jobs(boards, F.from_json("payload", FEED_C)["jobs"])
     j = F.col("j")
-    return _normalised(df, "ashby", job_id=j["id"], title=j["title"], body=j["descriptionPlain"], place=j["location"], remote=j["isRemote"], url=j["jobUrl"], bad=_falsy(j["id"]) | _falsy(j["title"]))
+    return _normalised(df, "ashby", job_id=j["id"], title=j["title"].cast("string"), body=j["descriptionPlain"], place=j["location"], remote=j["isRemote"], url=j["jobUrl"], bad=_falsy(j["id"]) | _falsy(j["title"]))
 
 
 def feed_d(records: DataFrame) -> DataFrame:
@@ -101,6 +104,12 @@ def unify_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def placed(records: DataFrame, gaz: dict[str, DataFrame]) -> DataFrame:
+    """Good records with their places resolved: board_token, ordinal and NORMALISED's columns."""
+    out = resolve_locations(records, gaz)
+    return out.select("board_token", "ordinal", *[F.col(f.name).cast(f.dataType) for f in NORMALISED.fields])
+
+
 def split_bad(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, failed): records of boards without a bad record, and the boards that have one; one bad record fails its whole board."""
     failed = records.groupBy("source_ats", "board_token").agg(F.bool_or("bad").alias("bad")).where("bad").select("source_ats", "board_token")

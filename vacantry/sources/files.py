@@ -94,28 +94,44 @@ def load_gazetteer(spark: SparkSession, path: str, version: str) -> dict[str, Da
     return out
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions below a path that were written completely: those with a success marker."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in fs.globStatus(at(f"{path}/v=*/_SUCCESS")) or [])
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """A table's next state as a folder of its own; readers see it when its success marker is there, so all of it or nothing."""
-    df.write.mode("errorifexists").parquet(f"{path}/v={version}")
+    """A table's next state as a folder of its own; readers see it when its success marker is there, so all of it or nothing.
+
+    A version that is there completely is never replaced; what an interrupted write left of one is.
+    """
+    if version in versions(df.sparkSession, path):
+        raise FileExistsError(f"{path}/v={version}")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/v={version}")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The state of the highest version that was written completely."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
-    versions = [int(s.getPath().getParent().getName()[2:]) for s in found]
-    if not versions:
+def read_snapshot(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The state of the highest version (below `below`) that was written completely."""
+    found = [n for n in versions(spark, path) if below is None or n < below]
+    if not found:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/v={max(versions)}")
+    return spark.read.parquet(f"{path}/v={found[-1]}")
 
 
 class NotEmpty(RuntimeError):
     """A strict diff found something."""
 
 
-def write_diff(diff: DataFrame, path: str, *, strict: bool = False) -> None:
-    """A diff as JSON lines; strict: an error if there is any."""
-    diff.write.mode("errorifexists").json(path)
+def write_diff(diff: DataFrame, path: str, *, form: str = "json", strict: bool = False) -> None:
+    """A diff as JSON lines, or as text, `kind id: old -> new` a line, places without their unknown parts; strict: an error if there is any."""
+    if form == "text":
+        said = [F.array_join(F.filter(F.array(*[F.col(f"{x}.location_{p}") for p in ("city", "region", "country")]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ") for x in ("old", "new")]
+        lines = diff.select(F.concat_ws("", "kind", F.lit(" "), F.col("id").cast("string"), F.lit(": "), said[0], F.lit(" -> "), said[1]).alias("value"))
+        lines.write.mode("errorifexists").text(path)
+    elif form == "json":
+        diff.write.mode("errorifexists").json(path)
+    else:
+        raise ValueError(f"no such form: {form!r}")
     if strict and not diff.sparkSession.read.text(path).isEmpty():
         raise NotEmpty(path)

@@ -1,22 +1,28 @@
-"""The pipeline by micro-batches: landed feed files to a snapshot, tags and matches."""
+"""The pipeline by micro-batches: landed feed payloads to places, a snapshot, tags and matches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, rules, upsert
-from ..schemas import POSTING
-from ..sources.files import read_snapshot, write_snapshot
+from ..functions.text import csv_list
+from ..operators import gazetteer, location, matching, rules, telemetry, upsert
+from ..schemas import ATS, POSTING
+from ..sources import feeds
+from ..sources.files import read_snapshot, versions, write_snapshot
 
 #: Landed records: the normalised columns, the board they come from and their order in it.
 LANDED = "source_ats string, board_token string, ordinal int, source_job_id string, title string, description string, location string, is_remote boolean, location_city string, location_region string, location_country string, location_resolved boolean, location_alias_version string, salary_min int, salary_max int, source_url string"
-_MATCHES = "user_id long, posting_id string, match_score double, match_status string, matched_tags array<string>"
+_MATCHES = "user_id long, posting_id string, match_score double, match_status string, matched_tags array<string>, computed_at timestamp"
+#: Landed payloads: what a board of a platform sent, as JSON.
+PAYLOADS = "source_ats string, board_token string, payload string"
+#: The fields of a flat record, the payload of the platform whose records come one by one.
+_FLAT = "ordinal int, ats_id string, title string, description string, location string, is_remote boolean, salary_min int, salary_max int, url string"
 
 
-def state_at(spark: SparkSession, path: str, schema) -> DataFrame:
+def state_at(spark: SparkSession, path: str, schema, below: int | None = None) -> DataFrame:
     try:
-        return read_snapshot(spark, path)
+        return read_snapshot(spark, path, below)
     except FileNotFoundError:
         return spark.createDataFrame([], schema)
 
@@ -29,38 +35,88 @@ def as_matched(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("posting_id", posting_id()).withColumn("employer_slug", F.col("employer"))
 
 
-def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: DataFrame, state_dir: str, version: int, ruleset: dict = rules.RULESET_V1) -> None:
-    """One round: upsert the batch, classify what is flagged, match what got other tags; each state is a new version.
+def read_payloads(payloads: DataFrame, gaz: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(records, failed): landed payloads in LANDED's columns, places resolved, without the boards that have a bad record; and those boards."""
+    by_ats = {ats: payloads.where(F.col("source_ats") == ats) for ats in ATS}
+    flat = F.from_json("payload", _FLAT)
+    by_ats["workday"] = by_ats["workday"].select("board_token", flat.alias("r")).select("board_token", "r.*")
+    good, failed = feeds.split_bad(feeds.unify_feeds(by_ats))
+    return feeds.placed(good, gaz), failed
 
-    Only boards in the batch are compared, so a board that sent nothing closes nothing. A round that is run again
-    after a failure writes under the same version and goes on where it broke off.
+
+def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: DataFrame, state_dir: str, version: int, ruleset: dict = rules.RULESET_V1, *, rematch_on: str = "tags", failed: DataFrame | None = None, boards: DataFrame | None = None) -> None:
+    """One round: upsert the batch, classify what is flagged, match what changed; each state is a new version.
+
+    Only `boards` are compared, by default those in the batch, so a board that sent nothing closes nothing, nor does
+    one of the `failed`.
+    What is matched anew are postings that got other tags, or with rematch_on="content" also those created, reopened
+    or updated. A round that is run again after a failure starts from the states before its version, replaces what
+    was left half-written and goes on where it broke off, so it ends in the same states.
     """
-    read = sources.join(batch.select("source_ats", "board_token").distinct(), ["source_ats", "board_token"], "left_semi")
-    done = _version(spark, f"{state_dir}/matches")
-    if done is not None and done >= version:
+    if rematch_on not in ("tags", "content"):
+        raise ValueError(f"no such rule: {rematch_on!r}")
+    if version in versions(spark, f"{state_dir}/matches"):
         return
-    if (at := _version(spark, f"{state_dir}/postings")) is None or at < version:
-        current = state_at(spark, f"{state_dir}/postings", POSTING).select(*[f.name for f in POSTING.fields])
-        merged = upsert.upsert(current, batch, read, F.current_timestamp()).drop("outcome").withColumn("id", posting_id())
+    boards = batch.select("source_ats", "board_token").distinct() if boards is None else boards
+    read = sources.join(boards, ["source_ats", "board_token"], "left_semi")
+    if failed is not None:
+        read = read.join(failed, ["source_ats", "board_token"], "left_anti")
+    if version not in versions(spark, f"{state_dir}/postings"):
+        current = state_at(spark, f"{state_dir}/postings", POSTING, version).select(*[f.name for f in POSTING.fields])
+        merged = upsert.upsert(current, batch, read, F.current_timestamp()).withColumn("id", posting_id())
         tagged, _ = rules.classify_pending(merged, ruleset)
         before = current.select(posting_id().alias("id"), F.col("classification_tags").alias("before"))
-        now = tagged.join(before, "id", "left").withColumn("rematch", ~F.col("classification_tags").eqNullSafe(F.coalesce("before", F.array().cast("array<string>")))).drop("before", "id")
+        changed = ~F.col("classification_tags").eqNullSafe(F.coalesce("before", F.array().cast("array<string>")))
+        if rematch_on == "content":
+            changed = changed | F.coalesce(F.col("outcome").isin("created", "reopened", "updated"), F.lit(False))
+        now = tagged.join(before, "id", "left").withColumn("rematch", changed).drop("before", "id", "outcome")
         write_snapshot(now, f"{state_dir}/postings", version)
-    postings = as_matched(read_snapshot(spark, f"{state_dir}/postings"))
-    matches = state_at(spark, f"{state_dir}/matches", _MATCHES)
+    postings = as_matched(read_snapshot(spark, f"{state_dir}/postings", version + 1))
+    matches = state_at(spark, f"{state_dir}/matches", _MATCHES, version)
     ids = postings.where("rematch").select("posting_id")
-    write_snapshot(matching.match_postings(matches, postings, profiles, ids), f"{state_dir}/matches", version)
+    new = matching.match_postings(matches, postings, profiles, ids, now=F.current_timestamp())
+    write_snapshot(new, f"{state_dir}/matches", version)
 
 
-def _version(spark: SparkSession, path: str) -> int | None:
-    try:
-        return int(read_snapshot(spark, path).inputFiles()[0].split("/v=")[1].split("/")[0])
-    except (FileNotFoundError, IndexError):
-        return None
+def _stream(landed: DataFrame, each, state_dir: str):
+    query = landed.writeStream.foreachBatch(each).option("checkpointLocation", f"{state_dir}/checkpoint")
+    return query.trigger(availableNow=True).start()
+
+
+def run_pipeline_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, ruleset: dict = rules.RULESET_V1, **kw):
+    """Read the records (LANDED) that have landed since the last run, in micro-batches, and stop; the checkpoint keeps what was done."""
+    return _stream(spark.readStream.schema(LANDED).json(in_dir), lambda batch, n: tick(spark, batch, sources, profiles, state_dir, n, ruleset, **kw), state_dir)
+
+
+def run_feed_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, gaz: dict[str, DataFrame], ruleset: dict = rules.RULESET_V1, **kw):
+    """The same from what boards sent (PAYLOADS): feeds, places, upsert, tags and matches in one run."""
+    look = gazetteer.prepared(gaz)
+
+    def each(batch: DataFrame, n: int) -> None:
+        records, failed = read_payloads(batch, look)
+        boards = batch.select("source_ats", "board_token").distinct()  # one that sent an empty list has no record, and closes all
+        tick(spark, records, sources, profiles, state_dir, n, ruleset, failed=failed, boards=boards, **kw)
+
+    return _stream(spark.readStream.schema(PAYLOADS).json(in_dir), each, state_dir)
+
+
+#: What a user saves of a profile: lists as comma-separated texts.
+EDITS = "user_id long, ts timestamp, seq long, target_titles string, target_tags string, target_locations string, excluded_employers string, min_salary int, remote_pref string, is_active boolean"
+_LISTS = ("target_titles", "target_tags", "target_locations", "excluded_employers")
+
+
+def edited_profiles(edits: DataFrame, gaz: dict[str, DataFrame], *, gap: str = "10 seconds") -> DataFrame:
+    """The profiles that a log of saves (EDITS) ends in, places normalised: of saves less than `gap` apart the last counts, and of those the last."""
+    said = [c for c in edits.columns if c not in ("user_id", "ts", "seq")]
+    settled = telemetry.debounce(edits.withColumn("said", F.struct(*said)), "user_id", seq="seq", gap=gap, payload="said")
+    last = settled.groupBy("user_id").agg(F.max_by("said", "last_ts").alias("said")).select("user_id", "said.*")
+    listed = last.withColumns({c: csv_list(F.col(c)) for c in _LISTS})
+    return listed.join(location.normalize_targets(listed, gaz), "user_id")
 
 
-def run_pipeline_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, ruleset: dict = rules.RULESET_V1):
-    """Read what has landed since the last run, in micro-batches, and stop; the checkpoint keeps what was done."""
-    landed = spark.readStream.schema(LANDED).json(in_dir)
-    query = landed.writeStream.foreachBatch(lambda batch, n: tick(spark, batch, sources, profiles, state_dir, n, ruleset))
-    return query.option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
+def apply_edits(edits: DataFrame, profiles: DataFrame, postings: DataFrame, matches: DataFrame, gaz: dict[str, DataFrame], now: Column) -> tuple[DataFrame, DataFrame]:
+    """(profiles, matches) after the saves of a log: edited profiles replace those of their users and are matched anew."""
+    edited = edited_profiles(edits, gaz)
+    rest = profiles.join(edited.select("user_id"), "user_id", "left_anti")
+    everyone = rest.unionByName(edited.select(*profiles.columns))
+    return everyone, matching.rematch_profiles(matches, postings, everyone, edited.select("user_id"), now)
