@@ -149,3 +149,14 @@ def test_gazetteer_on_disk(spark, tmp_path):
     with pytest.raises(files.GazetteerError):
         files.load_gazetteer(spark, str(tmp_path), "v10")
     assert PLACE.fieldNames() == ["city", "region", "country", "resolved"]
+
+
+def test_registered_place_shapes(spark):
+    """Prefixes, trailing codes, pieces, parentheses, postal codes, dashes and abbreviations over the tables of the driver."""
+    from vacantry.plans import queries
+
+    got = queries.l_places(spark, "/root/testdata/sf0.001").collect()
+    shapes = {r["place_id"] % 8 for r in got if r["location_resolved"]}
+    assert shapes == {0, 2, 3, 4, 5, 6, 7}  # 1 has the prefix of another country
+    trailing = [r for r in got if r["place_id"] % 8 == 2 and r["location_resolved"]]
+    assert all(r["location"] == f"{r['location_city'] or 'NATION_0'} {r['location_region']}" for r in trailing)

@@ -114,15 +114,32 @@ SELECT p.*, location_city AS right_city, location_resolved AS right_resolved, CA
        CASE WHEN posting_id % 10 = 2 THEN 'Elsewhere' ELSE location_city END AS had_city, location_resolved OR posting_id % 12 = 5 AS had_resolved FROM placed p"""
 _NAME = "CASE WHEN s_suppkey % 4 = 3 THEN 'Acme ' || s_suppkey ELSE 'O''Neil 3M Supplier#' || substr(s_name, 10) END"
 V["named"] = f"SELECT d.*, {_NAME} AS display FROM directory d JOIN supplier s USING (s_suppkey)"
+V["towns"] = """
+SELECT 1000 + s_suppkey AS ord, s_suppkey AS s, 'Town ' || s_suppkey AS city, code AS region, iso AS country, CAST(floor(s_acctbal) AS BIGINT) + 12000 AS pop
+FROM supplier JOIN g ON s_nationkey = n WHERE floor(s_acctbal) + 12000 >= 15000"""
 V["alias"] = """
-SELECT n, n_name AS city, code AS region, iso AS country, pop, CASE WHEN n % 3 = 0 THEN 1 ELSE 9 END AS tier,
-       unnest(list_distinct([low, 'old ' || low] || CASE WHEN n % 5 = 0 THEN ['springfield'] ELSE []::VARCHAR[] END)) AS alias FROM g WHERE n >= 1"""
+SELECT n AS ord, n_name AS city, code AS region, iso AS country, pop, CASE WHEN n % 3 = 0 THEN 1 ELSE 9 END AS tier,
+       unnest(list_distinct([low, 'old ' || low] || CASE WHEN n % 5 = 0 THEN ['springfield'] ELSE []::VARCHAR[] END)) AS alias FROM g WHERE n >= 1
+UNION ALL
+SELECT ord, city, region, country, pop, CASE WHEN s % 3 = 0 THEN 1 ELSE 9 END, unnest(['town ' || s, 'newport ' || (s // 3)]) FROM towns"""
+#: Which of city, region and country the shape of a place text gives; region codes of digits are never abbreviations.
+V["shapes"] = """
+SELECT p.place_id, p.location, g.*, CASE place_id % 8
+         WHEN 0 THEN CASE WHEN g.n >= 1 THEN 'city region country' ELSE '' END
+         WHEN 1 THEN ''
+         WHEN 2 THEN CASE WHEN code >= 'A' THEN 'city region country' ELSE '' END
+         WHEN 3 THEN CASE WHEN r_name = 'EUROPE' THEN 'city region country' ELSE 'city country' END
+         WHEN 4 THEN CASE WHEN g.n >= 1 THEN 'city region country' ELSE '' END
+         WHEN 5 THEN CASE WHEN code >= 'A' THEN 'city region country' ELSE '' END
+         WHEN 6 THEN CASE WHEN g.n % 6 = 1 THEN 'city region country' ELSE 'city country' END
+         ELSE CASE WHEN code >= 'A' THEN 'region country' ELSE '' END END AS gives
+FROM places p JOIN g ON p.n = g.n"""
 
 
 _NEEDS = {
     "placed": ["postings", "g"], "tagged": ["placed"], "people": ["profiles", "g"], "pairs": ["tagged", "people"], "parts": ["pairs"], "scored": ["parts"], "shown": ["scored"],
     "tagged_old": ["placed"], "pairs_old": ["tagged_old", "people"], "parts_old": ["pairs_old"], "scored_old": ["parts_old"], "shown_old": ["scored_old"], "changed": ["tagged", "tagged_old"], "done": ["actions"], "ranked": ["shown", "done"], "old": ["postings"], "new": ["postings"], "merged": ["old", "new"], "tokens": ["directory"],
-    "fresh": ["tokens"], "stamped": ["placed"], "named": ["directory"], "alias": ["g"],
+    "fresh": ["tokens"], "stamped": ["placed"], "named": ["directory"], "towns": ["g"], "alias": ["g", "towns"], "shapes": ["places", "g"],
 }
 
 
@@ -154,21 +171,32 @@ def oracle_sql() -> dict[str, str]:
         "c_names": _with("""SELECT s_suppkey, display AS name, s_suppkey % 8 = 3 AS valid, regexp_replace(lower(trim(token)), '[^a-z0-9_ -]', '', 'g') AS slug, trim(token) || '|x|x' AS listed, trim(token) AS query FROM named""", "named"),
         "c_aliases": _with("""SELECT ord, raw, CASE WHEN feature_code = 'PPLA' THEN 1 ELSE 9 END AS tier, regexp_full_match(raw, '[A-Z]{3}') AS airport, 'ab ' || lower(raw) AS alias
             FROM (SELECT ord, feature_code, unnest(string_split(alternatenames, ',')) AS raw FROM cities)""", "cities"),
+        "c_unescape": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS text FROM pages""",
         "c_logs": "SELECT event_id, 'svc1' AS container FROM events WHERE user_id % 3 = 1 AND event_type = 'error' AND user_id % 7 <> 1",
         "c_facets": _with("""SELECT 'posting' AS kind, posting_id AS id FROM postings WHERE status = 'open' AND source_ats = 'lever' AND contains(lower(title), 'the')
             UNION ALL SELECT 'profile', user_id FROM profiles WHERE remote_pref = 'any' AND is_active""", "postings", "profiles"),
-        "g_countries": _with("SELECT DISTINCT iso AS name, CAST((r_regionkey + 1) * 1000000 AS BIGINT) AS population, array_to_string(list_sort([lower(r_name), lower(iso), 'qq' || lower(chr(65 + r_regionkey))]), '|') AS aliases FROM g", "g"),
+        "g_countries": _with("""SELECT DISTINCT iso AS name, CAST((r_regionkey + 1) * 1000000 AS BIGINT) AS population,
+            array_to_string(list_sort([lower(r_name), 'qq' || lower(chr(65 + r_regionkey))] || CASE WHEN iso = 'QE' THEN []::VARCHAR[] ELSE [lower(iso)] END), '|') AS aliases FROM g
+            UNION ALL SELECT * FROM (VALUES ('Canada', 100000, 'ca|can|canada'), ('AU', 100000, 'au|aus|australia'),
+            ('US', 100000, 'u.s.|u.s.a.|united states|united states of america|us|usa'), ('Netherlands', 100000, 'holland|netherlands|nl|nld|the netherlands'))""", "g"),
         "g_regions": _with("""SELECT CASE WHEN n % 6 = 1 THEN n_name WHEN n % 6 = 2 THEN 'Central' ELSE 'Province ' || n END AS name, code, iso AS country,
             CASE WHEN n % 6 NOT IN (1, 2) THEN 'province ' || n ELSE '' END AS full_aliases, CASE WHEN n % 6 = 1 THEN low ELSE '' END AS comma_context_full_aliases,
-            CASE WHEN n % 4 = 3 THEN '' ELSE lower(code) END AS abbrev_aliases FROM g""", "g"),
+            CASE WHEN n % 4 = 3 THEN '' ELSE lower(code) END AS abbrev_aliases FROM g
+            UNION ALL SELECT kind || ' ' || n, coalesce(postal, lpad(n::VARCHAR, 2, '0')), country, lower(kind) || ' ' || n, '', coalesce(lower(postal), '') FROM (
+            SELECT n, 'Canton' AS kind, 'Canada' AS country, ['AB', 'BC', 'MB', 'NB', NULL, NULL, 'NS', 'ON', 'PE', NULL, 'SK', 'YT', 'NT', 'NU'][n] AS postal FROM g WHERE n BETWEEN 1 AND 14
+            UNION ALL SELECT n, 'Bush', 'AU', ['ACT', 'NSW', 'NT', 'QLD', 'SA', 'TAS', 'VIC', 'WA', 'QE'][n] FROM g WHERE n BETWEEN 1 AND 9)""", "g"),
         "g_cities": _with("""SELECT n_name AS name, code AS region, iso AS country, CAST(pop AS BIGINT) AS population, CASE WHEN n % 3 = 0 THEN 'PPLA' ELSE 'PPL' END AS feature_code,
-            low || '|old ' || low || CASE WHEN n % 5 = 0 THEN '|springfield' ELSE '' END AS aliases FROM g WHERE n >= 1""", "g"),
-        "g_collisions": _with("SELECT 'ambiguous' AS kind, 'central' AS alias, '' AS country UNION ALL SELECT DISTINCT 'prefix', lower(iso), iso FROM g", "g"),
-        "g_lookup": _with("SELECT alias, arg_max(city, pop) AS city, arg_max(region, pop) AS region, arg_max(country, pop) AS country FROM alias GROUP BY alias", "alias"),
+            low || '|old ' || low || CASE WHEN n % 5 = 0 THEN '|springfield' ELSE '' END AS aliases FROM g WHERE n >= 1
+            UNION ALL SELECT city, region, country, pop, CASE WHEN s % 3 = 0 THEN 'PPLA' ELSE 'PPL' END, 'newport ' || (s // 3) || '|town ' || s FROM towns""", "g", "towns"),
+        "g_collisions": _with("""SELECT 'ambiguous' AS kind, 'central' AS alias, '' AS country FROM g WHERE n % 6 = 2 HAVING count(*) > 1
+            UNION ALL SELECT DISTINCT 'prefix', lower(iso), iso FROM g UNION ALL SELECT 'prefix', * FROM (VALUES ('au', 'AU'), ('us', 'US'), ('nl', 'Netherlands'))""", "g"),
+        "g_lookup": _with("SELECT alias, c.city AS city, c.region AS region, c.country AS country FROM (SELECT alias, arg_min(struct_pack(city, region, country), (-pop, tier, ord)) AS c FROM alias GROUP BY alias)", "alias"),
         "l_clean": """SELECT s_suppkey, 'new york office - ' || lower(s_name) || ' metro area / x, ny 10065-12' || (s_suppkey % 90 + 10) AS place, 'new york office - ' || lower(s_name) AS area,
             'new york ' || lower(s_name) || ' metro area / x, ny 10065 12' || (s_suppkey % 90 + 10) AS text, true AS removed,
             'new york office - ' || lower(s_name) || ' metro area / x|ny 10065-12' || (s_suppkey % 90 + 10) AS segments, CASE WHEN s_suppkey % 2 = 1 THEN 'ny 100065' ELSE 'ny' END AS zip FROM supplier""",
         "l_postings": _with("SELECT posting_id, location_city, location_region, location_country, location_resolved, location_alias_version FROM placed", "placed"),
+        "l_places": _with("""SELECT place_id, location, CASE WHEN contains(gives, 'city') AND n >= 1 THEN n_name ELSE '' END AS location_city, CASE WHEN contains(gives, 'region') THEN code ELSE '' END AS location_region,
+            CASE WHEN contains(gives, 'country') THEN iso ELSE '' END AS location_country, gives <> '' AS location_resolved FROM shapes""", "shapes"),
         "l_targets": _with("""SELECT user_id, array_to_string(list_transform(targets, lambda x: x.raw || '/' || coalesce(x.city, '-') || '/' || coalesce(x.region, '-') || '/' || coalesce(x.country, '-') || '/' || x.resolved::VARCHAR), '|') AS targets,
             len(list_filter(targets, lambda x: NOT x.resolved)) > 0 AS unresolved FROM people""", "people"),
         "u_upsert": _with("SELECT source_ats, source_job_id, title, content_hash, employer, status, tags, ruleset_version, needs_classification, scraped_at, outcome FROM merged", "merged"),
@@ -221,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE rank > (page - 1) * 20 AND rank <= page * 20""", "ranked"),
         "q_cards": _with("""SELECT user_id, posting_id, title, source_url AS link, upper(employer) AS employer, CASE WHEN is_remote THEN 'Remote' ELSE location END AS place, printf('%.2f', match_score) AS score, replace(matched_tags, '|', ', ') AS why
             FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, posting_id) AS rank FROM shown) JOIN postings USING (posting_id) WHERE rank <= 10""", "shown"),
-        "q_search": _with("SELECT posting_id, title FROM postings WHERE list_contains(regexp_extract_all(lower(title || chr(10) || description), '[\\p{L}\\p{N}]+'), 'tion')", "postings"),
+        "q_search": _with("SELECT posting_id, title FROM postings WHERE list_has_all(regexp_extract_all(lower(title || chr(10) || description), '[\\p{L}\\p{N}]+'), ['tion', 'ing'])", "postings"),
         "d_new": _with("SELECT ats, token FROM fresh WHERE r <= 15", "fresh"),
         "d_queue": _with("""SELECT f.ats, f.token, display AS derived_employer_name, f.s_nationkey AS discovered_job_count, 'pending' AS status FROM fresh f JOIN named n ON f.s_suppkey = n.s_suppkey
             WHERE r <= 50 AND f.s_suppkey % 7 <> 2 AND f.s_suppkey % 5 <> 1""", "fresh", "named"),

@@ -32,16 +32,29 @@ SELECT c_custkey AS user_id, CAST(floor(c_custkey / 10) AS BIGINT) AS k, c_mktse
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
+#: Five countries made of regions, and four whose codes show the other branches: shown names, numbered regions, taken codes.
 COUNTRIES = """
 SELECT r_regionkey AS ord, 'Q' || chr(65 + r_regionkey) AS iso, 'QQ' || chr(65 + r_regionkey) AS iso3, r_name AS name,
        CAST((r_regionkey + 1) * 1000000 AS BIGINT) AS population FROM {region}
+UNION ALL
+SELECT 10 + r_regionkey, CASE r_regionkey WHEN 0 THEN 'CA' WHEN 1 THEN 'AU' WHEN 2 THEN 'US' ELSE 'NL' END,
+       CASE r_regionkey WHEN 0 THEN 'CAN' WHEN 1 THEN 'AUS' WHEN 2 THEN 'USA' ELSE 'NLD' END,
+       CASE r_regionkey WHEN 0 THEN 'Canada' WHEN 1 THEN 'Australia' WHEN 2 THEN 'United States' ELSE 'Netherlands' END,
+       CAST(100000 AS BIGINT) FROM {region} WHERE r_regionkey < 4
 """
 
+#: CA.05 is NL and CA.10 is QC, which countries have; AU.QE takes the alias of the country QE.
 ADMIN1 = """
 SELECT n_nationkey AS ord, 'Q' || chr(65 + n_regionkey) || '.' || CASE WHEN n_nationkey % 4 = 3 THEN '0' || chr(48 + n_nationkey % 10) ELSE chr(65 + n_nationkey) || 'N' END AS code,
        CASE WHEN n_nationkey % 6 = 1 THEN n_name WHEN n_nationkey % 6 = 2 THEN 'Central' ELSE 'Province ' || CAST(n_nationkey AS STRING) END AS name FROM {nation}
+UNION ALL
+SELECT 100 + n_nationkey, 'CA.' || lpad(CAST(n_nationkey AS STRING), 2, '0'), 'Canton ' || CAST(n_nationkey AS STRING) FROM {nation} WHERE n_nationkey BETWEEN 1 AND 14
+UNION ALL
+SELECT 200 + n_nationkey, CASE WHEN n_nationkey = 9 THEN 'AU.QE' ELSE 'AU.' || lpad(CAST(n_nationkey AS STRING), 2, '0') END, 'Bush ' || CAST(n_nationkey AS STRING)
+FROM {nation} WHERE n_nationkey BETWEEN 1 AND 9
 """
 
+#: A city for each nation, and a town for each supplier; three towns share a further name.
 CITIES = """
 SELECT n_nationkey AS ord, n_name AS name, n_name AS asciiname,
        'LON,Old ' || n_name || ',' || CASE WHEN n_nationkey % 5 = 0 THEN 'Springfield' ELSE r_name END AS alternatenames,
@@ -49,6 +62,24 @@ SELECT n_nationkey AS ord, n_name AS name, n_name AS asciiname,
        CASE WHEN n_nationkey % 4 = 3 THEN '0' || chr(48 + n_nationkey % 10) ELSE chr(65 + n_nationkey) || 'N' END AS admin1_code,
        CAST(14000 + n_nationkey * 1000 AS BIGINT) AS population
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL
+SELECT 1000 + s_suppkey, 'Town ' || CAST(s_suppkey AS STRING), 'Town ' || CAST(s_suppkey AS STRING),
+       'LON,Canada,Newport ' || CAST(CAST(floor(s_suppkey / 3) AS BIGINT) AS STRING),
+       CASE WHEN s_suppkey % 3 = 0 THEN 'PPLA' ELSE 'PPL' END, 'Q' || chr(65 + n_regionkey),
+       CASE WHEN n_nationkey % 4 = 3 THEN '0' || chr(48 + n_nationkey % 10) ELSE chr(65 + n_nationkey) || 'N' END,
+       CAST(floor(s_acctbal) AS BIGINT) + 12000
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+"""
+
+#: A place text of every customer, in eight shapes.
+PLACES = """
+SELECT c_custkey AS place_id, c_nationkey AS n,
+       CASE c_custkey % 8 WHEN 0 THEN iso || ' - ' || n_name WHEN 1 THEN other || ' - ' || n_name WHEN 2 THEN n_name || ' ' || code
+            WHEN 3 THEN 'Nowhere at all|' || n_name || ', ' || r_name WHEN 4 THEN n_name || ' (' || r_name || ' site)'
+            WHEN 5 THEN n_name || ', ' || code || ' 10065' WHEN 6 THEN 'Retail - ' || r_name || ' - ' || n_name ELSE 'Hybrid - ' || code END AS location
+FROM (SELECT c_custkey, c_nationkey, n_name, r_name, 'Q' || chr(65 + n_regionkey) AS iso, 'Q' || chr(65 + (n_regionkey + 1) % 5) AS other,
+             CASE WHEN n_nationkey % 4 = 3 THEN '0' || chr(48 + n_nationkey % 10) ELSE chr(65 + n_nationkey) || 'N' END AS code
+      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) made
 """
 
 ACTIONS = """
@@ -63,7 +94,7 @@ SELECT CASE s_suppkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 TH
        s_suppkey, s_nationkey, s_acctbal FROM {supplier}
 """
 
-VIEWS = {"postings": POSTINGS, "profiles": PROFILES, "countries": COUNTRIES, "admin1": ADMIN1, "cities": CITIES, "actions": ACTIONS, "directory": DIRECTORY}
+VIEWS = {"postings": POSTINGS, "profiles": PROFILES, "countries": COUNTRIES, "admin1": ADMIN1, "cities": CITIES, "places": PLACES, "actions": ACTIONS, "directory": DIRECTORY}
 TABLES = ("documents", "nation", "region", "customer", "events", "supplier", "pages", "part", "orders", "lineitem")
 
 _W = r"(^|[^a-z0-9_à-ÿ])"
@@ -125,7 +156,7 @@ _PREPARED: dict[tuple, dict[str, DataFrame]] = {}
 def gaz(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The gazetteer, ready to look places up; prepared once in a session for the same files, unchanged."""
     made = F.max("_metadata.file_modification_time").alias("t")
-    key = (spark.sparkContext.applicationId, sf_dir, *(table(spark, sf_dir, n).agg(made).first()["t"] for n in ("nation", "region")))
+    key = (spark.sparkContext.applicationId, sf_dir, *(table(spark, sf_dir, n).agg(made).first()["t"] for n in ("nation", "region", "supplier")))
     if key not in _PREPARED:
         _PREPARED[key] = gazetteer.prepared(gazetteer_tables(spark, sf_dir))
     return _PREPARED[key]
