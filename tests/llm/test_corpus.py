@@ -489,6 +489,55 @@ def test_toxicity_learns_and_generalises(spark):
     assert 0 < np.count_nonzero(model["w"]) < 500  # sparse
 
 
+def brute_features(text, bits):
+    """The set of buckets of words, neighbours and pairs with a gap, by plain integers."""
+    whole = 2**64 - 1
+    h = [xxhash.xxh64_intdigest(w) for w in re.findall("[a-z0-9]+", text.lower())]
+
+    def pair(a, b, kind):
+        x = ((a * 0x9E3779B97F4A7C15 + kind) & whole) ^ (b * 0xC2B2AE3D27D4EB4F & whole)
+        return ((x ^ x >> 29) * 0x9E3779B97F4A7C15) & whole
+
+    all_of = [x * 0x9E3779B97F4A7C15 & whole for x in h] + [pair(a, b, 1) for a, b in itertools.pairwise(h)] + [pair(a, b, 2) for a, b in zip(h, h[2:], strict=False)]
+    return {x >> 64 - bits for x in all_of}
+
+
+def test_toxicity_by_brute_force(spark):
+    """A loop over one coordinate at a time gives the same weights, and the same scores."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["vile", "rotten"] if i % 3 == 0 and rng.random() < 0.2 else ["a1", "bee", "cat", "dog", "eel"]) for _ in range(rng.randrange(25))), int(i % 3 == 0)) for i in range(120)]
+    config = toxicity.Config(bits=10, l1=0.8, epochs=3)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k, l1=config.l1, l2=config.l2):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((config.beta + math.sqrt(n[k])) / config.alpha + l2)
+
+    def bias():
+        return weight(None, 0.0, 0.0) if z[None] else 0.0
+
+    def chance(keys):
+        return 1 / (1 + math.exp(-(sum(map(weight, keys)) + bias())))
+
+    order = np.random.default_rng(config.seed)
+    for _ in range(config.epochs):
+        for k in order.permutation(len(rows)):
+            _, text, y = rows[k]
+            keys = brute_features(text, config.bits)
+            g = chance(keys) - y
+            for key, w in [*((key, weight(key)) for key in keys), (None, bias())]:
+                z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / config.alpha * w
+                n[key] += g * g
+    at, w, b = toxicity.train([(y, t) for _, t, y in rows], config)
+    want = {k: weight(k) for k in list(z) if k is not None and weight(k)}
+    assert want and set(at.tolist()) == set(want) and len(want) < len(z) - 1  # some are zero by l1
+    assert np.allclose(w, [want[k] for k in at.tolist()]) and abs(b - bias()) < 1e-9
+    dense = np.zeros(1 << config.bits, np.float32)
+    dense[at] = w
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, {"w": dense, "bias": b}, config=config).collect()}
+    assert all(abs(got[i] - chance(brute_features(t, config.bits))) < 1e-5 for i, t, _ in rows)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (99, 1), (4, 7)], "doc_id long, toxic int")
     model = toxicity.fit(clash(odd), labels)
@@ -520,6 +569,80 @@ def test_language_on_the_real_tables(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
+def brute_subwords(word, c):
+    chars = f"<{word}>"
+    grams = [chars[i : i + n] for n in range(1, c.longest + 1) for i in range(len(chars) - n + 1)] + ["=" + chars]
+    return [xxhash.xxh64_intdigest(g) >> 64 - c.bits for g in grams]
+
+
+def brute_softmax(x):
+    e = [math.exp(v - max(x)) for v in x]
+    return [v / sum(e) for v in e]
+
+
+def brute_language(rows, c):
+    """(names, embeddings, weights, bias, temperature, threshold) by loops over single numbers."""
+    rng, learn, held = np.random.default_rng(c.seed), [], []
+    for label, text in rows:
+        said = re.findall("[a-z]+", text.lower())
+        at = int(rng.integers(len(said)))
+        short = said[at : at + int(rng.integers(1, 21))]
+        part = held if rng.random() < c.held else learn
+        part += [([g for w in some for g in brute_subwords(w, c)], label) for some in (said, short)]
+    names = sorted({label for _, label in learn + held})
+    e = rng.normal(0, 0.1, (1 << c.bits, c.dim)).tolist()
+    w, b = [[0.0] * len(names) for _ in range(c.dim)], [0.0] * len(names)
+
+    def logits(grams):
+        h = [sum(e[g][d] for g in grams) / len(grams) for d in range(c.dim)]
+        return h, [sum(h[d] * w[d][k] for d in range(c.dim)) + b[k] for k in range(len(names))]
+
+    steps, done = c.epochs * len(learn), 0
+    for _ in range(c.epochs):
+        for k in rng.permutation(len(learn)):
+            grams, label = learn[k]
+            rate = c.rate * (1 - done / steps)
+            done += 1
+            h, x = logits(grams)
+            g = [p - (name == label) for p, name in zip(brute_softmax(x), names, strict=True)]
+            back = [sum(w[d][k] * g[k] for k in range(len(names))) for d in range(c.dim)]
+            for d in range(c.dim):
+                for k in range(len(names)):
+                    w[d][k] -= rate * h[d] * g[k]
+            for k in range(len(names)):
+                b[k] -= rate * 0.1 * g[k]
+            for gram, times in collections.Counter(grams).items():
+                for d in range(c.dim):
+                    e[gram][d] -= rate * 10 * times / len(grams) * back[d]
+    found = [(logits(grams)[1], label) for grams, label in held]
+
+    def loss(heat):
+        return -sum(math.log(max(1e-12, brute_softmax([v / heat for v in x])[names.index(label)])) for x, label in found)
+
+    heat = min([0.1 * 100 ** (i / 80) for i in range(81)], key=loss)
+    best = sorted(max(brute_softmax([v / heat for v in x])) for x, _ in found)
+    at = c.lost * (len(best) - 1)
+    low = best[int(at)] + (at - int(at)) * (best[min(len(best) - 1, int(at) + 1)] - best[int(at)])
+    return names, logits, heat, min(c.highest, low)
+
+
+def test_language_by_brute_force(spark):
+    """Training, calibration, probabilities and rejection."""
+    rng = random.Random(9)
+    vocabulary = {"aa": ["the", "and", "thing", "ever"], "bb": ["der", "und", "schon", "immer"], "cc": ["les", "une", "deja", "jamais"]}
+    rows = [(label, " ".join(rng.choice(vocabulary[label if rng.random() < 0.8 else "aa"]) for _ in range(rng.randrange(1, 30)))) for label in sorted(vocabulary) * 25]
+    c = langid.Config(bits=8, dim=3, epochs=2, highest=0.6)
+    names, logits, heat, threshold = brute_language(rows, c)
+    model = langid.train(rows, c)
+    assert model["names"] == names and abs(model["threshold"] - threshold) < 1e-6
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(df, model, config=c).collect()}
+    for i, (_, text) in enumerate(rows):
+        p = brute_softmax([x / heat for x in logits([g for w in text.split() for g in brute_subwords(w, c)])[1]])
+        assert abs(got[i]["score"] - max(p)) < 1e-5 and got[i]["rejected"] == (got[i]["score"] < threshold)
+        assert names[p.index(max(p))] == got[i]["lang_pred"]
+
+
 def test_language_odd(spark, odd, empty):
     model = langid.fit(clash(odd.drop("lang")).withColumn("lang", F.when(F.col("doc_id") == 9, "fr").otherwise("en")), order=F.xxhash64("doc_id"))
     got = {r["doc_id"]: r for r in langid.predict(clash(odd), model).collect()}

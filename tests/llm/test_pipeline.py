@@ -1,7 +1,9 @@
 """The pipeline's stages: what each keeps, by brute force on small tables."""
 
 import collections
+import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -32,12 +34,19 @@ def test_stages(spark, tmp_path):
             groups = simhash.near_groups(docs).collect()
             assert sorted(r["doc_id"] for r in after) == sorted({r["component_id"] for r in groups})
         elif name == "mixing":
-            texts = {r["doc_id"]: r["text"] for r in before}
-            assert after and all(texts[r["doc_id"]] == r["text"] for r in after)
+            con = duckdb.connect()
+            con.register("documents", docs.toPandas())
+            want = con.execute(queries.MIX_SQL).df()
+            assert sorted((r["doc_id"], r["text"]) for r in after) == sorted(zip(want["doc_id"], want["text"], strict=True))
         else:
             n = collections.Counter((r["doc_id"], r["sample"]) for r in after)
             copies = collections.Counter(r["doc_id"] for r in before)
             assert all(n[(d, 0)] == c for d, c in copies.items())
+            crc = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in before}
+            assert all(r["decoded_crc32"] == crc[r["doc_id"]] for r in after)
+            drawn = collections.Counter((r["doc_id"], tuple(r["pieces"])) for r in after)
+            again = [d for d, c in copies.items() if c > 1]
+            assert not again or any(drawn[x] == 1 for x in drawn if x[0] in again)  # copies draw for themselves
         seen.append((name, len(after)))
         docs = out
     assert [n for n, _ in seen] == ["language", "exact dedup", "near dedup", "mixing", "pieces"]
