@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, langid, lm, mixing, pieces, sharding, simhash, toxicity
+from . import align, chat, decontaminate, embeddings, exact, langid, lm, mixing, phrases, pieces, sharding, simhash, toxicity
 from .words import fold
 
 #: Target weights of the mixture: every fifth source counts up to five times as much.
@@ -101,6 +101,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer's file, read by the driver alone."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 MIX_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, length(coalesce(text, '')) AS chars,
@@ -150,6 +178,42 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t
 """
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASE_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+e AS (SELECT c.*, string_split(phrase, ' ') AS ws FROM c),
+inside AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+           FROM e, range(2, 4) s(m), range(1, 4) u(i) WHERE m < k AND i <= k - m + 1 GROUP BY 1, 2),
+kept AS (SELECT e.* FROM e LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+cuts AS (SELECT kept.lang, kept.phrase, kept.a, j, l.a AS l, r.a AS r, (2000000::HUGEINT * kept.a) // (l.a + r.a) AS score
+         FROM kept, range(1, 4) t(j), f l, f r
+         WHERE j < kept.k AND l.lang = kept.lang AND r.lang = kept.lang AND l.phrase = array_to_string(ws[1:j], ' ') AND r.phrase = array_to_string(ws[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM best) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+LEAK_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS x
+      FROM b WHERE len(w) > 0),
+s AS (SELECT k, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS x
+      FROM d, (SELECT DISTINCT m FROM q)),
+h AS (SELECT k, i, s.m, item FROM s JOIN q ON s.m = q.m AND s.x = q.x),
+n AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS place FROM (SELECT DISTINCT k, i, m FROM h)) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (k) LEFT JOIN t USING (k)
+"""
+
 
 def queries() -> dict:
     return {
@@ -163,9 +227,12 @@ def queries() -> dict:
         "op8_shard": op8_shard,
         "op9_chat": op9_chat,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_align": op11_align,
+        "op12_phrases": op12_phrases,
+        "op13_decontaminate": op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute-force versions in tests/llm."""
-    return {"op1_mix": MIX_SQL, "op5_embedding_dedup": EMBEDDING_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL}
+    return {"op1_mix": MIX_SQL, "op5_embedding_dedup": EMBEDDING_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL, "op12_phrases": PHRASE_SQL, "op13_decontaminate": LEAK_SQL}
