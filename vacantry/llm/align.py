@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -297,9 +298,7 @@ def groups(docs: DataFrame, a_vocabulary: bytes, b_model: bytes, *, text_col: st
     kind = "array<struct<a: array<int>, b: array<int>, start: int, end: int>>"
 
     @F.pandas_udf(kind)
-    def cut(batches):
-        import pandas as pd
-
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         first, second = byte_level(files.value[0]), piece_level(files.value[1])
         for texts in batches:
             out = []

@@ -15,18 +15,14 @@ from .common import remove_table, shuffle_partitions, stored
 
 #: A block holds the words of about so many bytes of text, or of one longer row.
 BLOCK_BYTES = 8 << 20
-#: A prefix's stripe is split so that a part counts about so many occurrences.
-PART_OCCURRENCES = 1 << 16
-#: Answers of at most so many rows are broadcast to the blocks, more are joined by shuffle.
-BROADCAST_ROWS = 1 << 18
+#: The stripe of a word of more occurrences is split so that a part counts about so many.
+PART_OCCURRENCES = 1 << 20
 #: Salts by which a language's phrases are ranked before its best are put together.
 SALTS = 64
 UNDETERMINED = "und"
 
 #: Bytes as they are read: A-Z in lower case, tabs as spaces, the marks that end a piece as line feeds.
 _READ = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_STATE = "block long, ids binary"
-_STRIPES = "block long, prefix long, part int, suffixes array<long>, times array<long>"
 
 
 class _Words(dict):
@@ -102,105 +98,119 @@ def _unpacked(state: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(state[8:], 8 * int.from_bytes(state[:8], "little"), "zstd", asbytes=True), np.int64)
 
 
-def _followed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of ids that another follows directly, a number for each distinct pair of both): ids below 0 are gaps."""
-    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    if not len(at):
-        return at, at
-    own, local = np.unique(ids, return_inverse=True)
-    return at, local[at] * len(own) + local[at + 1]
-
-
-def _stripes(block: int, ids: np.ndarray, totals: tuple[np.ndarray, np.ndarray], part_size: int) -> pa.RecordBatch:
-    """A block's stripes: for each prefix the counter of the suffixes that overlap it in all but a word, large ones in parts."""
-    at, pair = _followed(ids)
-    _, first, times = np.unique(pair, return_index=True, return_counts=True)
-    prefix, suffix = ids[at[first]], ids[at[first] + 1]
-    known, total = totals
-    parts = 1 + total[np.searchsorted(known, prefix)] // part_size if len(prefix) else prefix
-    mixed = (suffix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    part = (mixed % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((part, prefix))
-    prefix, part, suffix, times = prefix[order], part[order], suffix[order], times[order]
-    new = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])) if len(prefix) else np.zeros(0, np.int64)
-    cuts = pa.array(np.append(new, len(prefix)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(new), block)),
-            pa.array(prefix[new]),
-            pa.array(part[new].astype(np.int32)),
-            pa.ListArray.from_arrays(cuts, pa.array(suffix)),
-            pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
-        ],
-        [f.split()[0] for f in _STRIPES.split(", ")],
-    )
-
-
-def _merge_stripes(least: int):
-    """Stripes sorted by (prefix, part) merged elementwise; entries of at least `least` come out. What the last key has is carried on."""
+def _sorted_sums(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of whole numbers from 0 to 2**31 - 1, sorted, equal ones made one with the sum of n."""
+    keys = [columns[k] << 32 | columns[k + 1] if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(first) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
 
-        def out(e: np.ndarray) -> pa.RecordBatch:
-            e = e[:, e[3] >= least]
-            return pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[2]), pa.array(e[3])], ["prefix", "suffix", "n"])
+def _stripes(longest: int, part_size: int):
+    """A block and the ids of its frequent words, from 1, to its stripes: each word keys the counter of the words that follow it, up to an infrequent one or a piece's end."""
 
-        for b in batches:
-            lengths = b.column(2).value_lengths().to_numpy()
-            key = [np.repeat(b.column(k).to_numpy().astype(np.int64), lengths) for k in (0, 1)]
-            e = np.concatenate([held, np.stack([*key, b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()])], axis=1)
-            e = e[:, np.lexsort((e[2], e[1], e[0]))]
-            if e.shape[1]:
-                new = np.flatnonzero(np.concatenate([[True], (e[:3, 1:] != e[:3, :-1]).any(0)]))
-                e = np.concatenate([e[:3, new], np.add.reduceat(e[3], new)[None]])
-                last = (e[0] == e[0, -1]) & (e[1] == e[1, -1])
-                held, e = e[:, last], e[:, ~last]
-            yield out(e)
-        yield out(held)
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = pa.schema([("prefix", pa.int32()), ("part", pa.int32()), ("parts", pa.int32()), ("follows", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+        if not block.num_rows or not answers.num_rows:
+            return schema.empty_table()
+        ids = _unpacked(block["ids"][0].as_py())
+        at, got, n = (answers[c].to_numpy() for c in ("at", "id", "n"))
+        to, total = np.zeros(max(int(ids.max(initial=-1)), int(at.max())) + 2, np.int64), {}
+        to[at] = got
+        ids = np.append(to[ids], np.zeros(longest, np.int64))
+        here = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        if not len(here):
+            return schema.empty_table()
+        columns = [ids[here]]
+        for k in range(1, longest):
+            columns.append(np.where(columns[-1] > 0, ids[here + k], 0))
+        columns, times = _sorted_sums(columns, np.ones(len(here), np.int64))
+        order = np.argsort(got)
+        total = n[order][np.searchsorted(got[order], columns[0])]
+        parts = 1 + total // part_size
+        mixed = ((columns[1] << 32 | (columns[2] if longest > 2 else 0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        part = (mixed % parts.astype(np.uint64)).astype(np.int64)
+        key = columns[0] << 32 | part
+        if (parts > 1).any():
+            order = np.argsort(key, kind="stable")
+            columns, times, part, parts, key = [c[order] for c in columns], times[order], part[order], parts[order], key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        cuts = np.append(new, len(key))
+        follows = np.stack(columns[1:], axis=1).astype(np.int32).ravel()
+        return pa.table(
+            [
+                pa.array(columns[0][new].astype(np.int32)),
+                pa.array(part[new].astype(np.int32)),
+                pa.array(parts[new].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array((cuts * (longest - 1)).astype(np.int32)), pa.array(follows)),
+                pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(times.astype(np.int32))),
+            ],
+            schema=schema,
+        )
 
     return run
 
 
-def _advance(part_size: int):
-    """A block and the answers to its entries: the ids of the longer phrases in the place of their prefixes, and their stripes."""
+def _merge_stripes(longest: int, least: int):
+    """Stripes sorted by (prefix, part), merged elementwise, to the phrases counted in them: (size, words, n).
 
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("prefix", pa.int64()), ("part", pa.int32()), ("suffixes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-        if not block.num_rows or not answers.num_rows:
-            return schema.empty_table()
-        name, ids = block["block"][0].as_py(), _unpacked(block["ids"][0].as_py())
-        a, b, got, n = (answers[c].to_numpy() for c in ("prefix", "suffix", "id", "n"))
-        if a[0] < 0:  # words, by their number in the block
-            to = np.full(max(int(ids.max(initial=-1)), int(b.max())) + 2, -1, np.int64)
-            to[b] = got
-            ids = to[ids]
-        else:
-            own, local = np.unique(ids, return_inverse=True)
-            code = lambda x, y: np.searchsorted(own, x) * len(own) + np.searchsorted(own, y)
-            asked = code(a, b)
-            order = np.argsort(asked)
-            asked, long_ids = asked[order], got[order]
-            here = local[:-1] * len(own) + local[1:]
-            at = np.minimum(np.searchsorted(asked, here), len(asked) - 1)
-            hit = (ids[:-1] >= 0) & (ids[1:] >= 0) & (asked[at] == here)
-            ids = np.append(np.where(hit, long_ids[at], -1), -1)
-        ids = _shrunk(ids)
-        order = np.argsort(got)
-        s = _stripes(name, ids, (got[order], n[order]), part_size)
-        if not s.num_rows:
-            return schema.empty_table()
-        nothing = lambda k, t: pa.nulls(k, t)
-        state = pa.table([pa.array([name]), pa.array([_packed(ids)], pa.binary()), *[nothing(1, f.type) for f in list(schema)[2:]]], schema=schema)
-        stripes = pa.table([s.column(0), nothing(s.num_rows, pa.binary()), *s.columns[1:]], schema=schema)
-        return pa.concat_tables([state, stripes])
+    Phrases below `least` go, but for pairs of a prefix in several parts, whose counts are still to be added up.
+    What the last key has is carried on to the next batch.
+    """
+    names = ["size", *(f"w{k}" for k in range(1, longest + 1)), "n"]
+
+    def counted(columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prefix, part, parts, *follows = columns
+        words = [prefix, *follows]
+        new = np.ones(len(n), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
+        for size in range(2, longest + 1):
+            column = words[size - 1]
+            new[1:] |= column[1:] != column[:-1]
+            first = np.flatnonzero(new)
+            if not len(first):
+                return
+            sums = np.add.reduceat(n, first)
+            good = (column[first] > 0) & ((sums >= least) | ((parts[first] > 1) if size == 2 else False))
+            at = first[good]
+            out = [np.full(len(at), size), *(w[at] if k < size else np.zeros(len(at), np.int64) for k, w in enumerate(words)), sums[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in out[:-1]] + [pa.array(out[-1])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_n = [np.zeros(0, np.int64)] * (longest + 2), np.zeros(0, np.int64)
+        for b in batches:
+            lengths = b.column(4).value_lengths().to_numpy()
+            follows = b.column(3).flatten().to_numpy().reshape(-1, longest - 1).astype(np.int64)
+            columns = [np.repeat(b.column(k).to_numpy().astype(np.int64), lengths) for k in range(3)] + list(follows.T)
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            columns, n = _sorted_sums(columns, np.concatenate([held_n, b.column(4).flatten().to_numpy().astype(np.int64)]))
+            if len(n):
+                last = np.searchsorted(columns[0] << 32 | columns[1], columns[0][-1] << 32 | columns[1][-1])
+                held, held_n = [c[last:] for c in columns], n[last:]
+                yield from counted([c[:last] for c in columns], n[:last])
+        yield from counted(held, held_n)
 
     return run
 
 
-def _answered(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows asked for that were found; a small number of answers is broadcast, behind a count, a large one joined by shuffle."""
-    return asked.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, keys)
+def _numbered(found: DataFrame) -> DataFrame:
+    """Stored rows with `id`, gapless from 1: rows are numbered within partitions, whose sizes go through the driver."""
+    rows = stored(found.withColumn("__row", F.monotonically_increasing_id()))
+    part, bits = F.shiftright("__row", 33), (1 << 33) - 1
+    total, starts = 1, []
+    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
+        starts.append((r["p"], total))
+        total += r["count"]
+    if total >= 1 << 31:
+        raise ValueError("more than 2**31 frequent words")
+    start = found.sparkSession.createDataFrame(starts, "__part long, __start long")
+    of = rows.withColumn("__part", part).join(F.broadcast(start), "__part")
+    return of.withColumn("id", (F.col("__start") + F.col("__row").bitwiseAND(bits)).cast("int")).drop("__row", "__part", "__start")
 
 
 def _exact(c: str) -> Column:
@@ -216,58 +226,49 @@ def phrases(
     largest count of a frequent phrase that is one word longer and contains this one, or null. Words of at least
     `least` occurrences are phrases of size 1. Languages are apart, null is `und`.
 
-    A phrase is its prefix followed by its suffix, which overlap in all but a word at either end. Each block of
-    texts keeps the ids of the frequent phrases of the present size at their places; from neighbours it makes
-    stripes: prefix -> counter of suffixes. Stripes are merged elementwise by prefix, a prefix of many occurrences
-    in parts by a hash of the suffix. Of the merged stripes, entries below `least` go: a frequent phrase's prefix
-    and suffix are frequent, so none is lost. The entries that stay become the ids of the next size, and give
-    extensions, totals (the counts at either end) and subsumption maxima alike. Blocks ask for those of their
-    entries by a join. Null and empty texts have no words; an empty table gives empty results.
+    Each block of texts makes one structure, its stripes: a word keys the counter of what follows it, up to
+    `longest` - 1 words, cut before an infrequent word, as no frequent phrase has one. Stripes are merged
+    elementwise by word, that of a frequent word in parts by a hash of the next two words. A merged stripe gives
+    the counts of all phrases that begin with its word; a pair of a word in parts is added up. Extensions,
+    totals at either end and subsumption maxima all come from these. Null and empty texts have no words; an
+    empty table gives empty results.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(_word_blocks(block_bytes), "block long, ids binary, langs array<string>, words array<string>, times array<long>"))
-    words = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "times")).alias("at", "w"))
-    words = words.select("block", F.lit(-1).cast("long").alias("prefix"), F.col("at").cast("long").alias("suffix"), "w.langs", "w.words", "w.times")
+    words = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "times")).alias("at", "w")).select("block", "at", "w.langs", "w.words", "w.times")
     counts = stored(words.groupBy("langs", "words").agg(F.sum("times").alias("n")))
     totals = counts.groupBy(F.col("langs").alias("lang")).agg(F.sum("n").alias("n"))
-    found = stored(counts.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
-    answers = _answered(words.select("block", "prefix", "suffix", "langs", "words"), found, ["langs", "words"]).select("block", "prefix", "suffix", "id", "n")
-    info = found.select(
-        "id", F.col("langs").alias("lang"), F.array("words").alias("words"), F.col("n").alias("a"), F.array("n").alias("lefts"), F.array("n").alias("rights")
-    )
-    state, made, levels, entries = blocks.select("block", "ids"), blocks, [info], []
-    schema = f"{_STATE}, {_STRIPES.removeprefix('block long, ')}"
-    for size in range(2, longest + 1):
-        before, made = made, stored(state.groupBy("block").cogroup(answers.withColumnRenamed("block", "asker").groupBy("asker")).applyInArrow(_advance(part_size), schema))
-        state, stripes = made.where("ids is not null").select("block", "ids"), made.where("ids is null").drop("ids")
-        merged = stripes.select("prefix", "part", "suffixes", "times").repartition(shuffle_partitions(spark), "prefix", "part")
-        merged = merged.sortWithinPartitions("prefix", "part").mapInArrow(_merge_stripes(least), "prefix long, suffix long, n long")
-        found = stored(merged.withColumn("id", F.monotonically_increasing_id()))
-        remove_table(before)
-        if size < longest:
-            asked = stripes.select("block", "prefix", F.explode("suffixes").alias("suffix"))
-            answers = _answered(asked, found, ["prefix", "suffix"]).select("block", "prefix", "suffix", "id", "n")
-        entries.append(found)
-        ends = levels[-1]
-        left = ends.select(F.col("id").alias("prefix"), "lang", "words", "lefts")
-        right = ends.select(F.col("id").alias("suffix"), F.element_at("words", -1).alias("last"), "rights")
-        of = found.join(left, "prefix").join(right, "suffix")
-        info = of.select(
-            "id", "lang", F.array_append("words", F.col("last")).alias("words"), F.col("n").alias("a"), F.array_append("lefts", F.col("n")).alias("lefts"), F.array_append("rights", F.col("n")).alias("rights")
-        )
-        levels.append(stored(info))
-    remove_table(made)
-    out = None
-    for size, level in enumerate(levels, 1):
-        whole = level.withColumn("extension", F.lit(None).cast("long"))
-        if size <= len(entries):
-            longer = entries[size - 1]
-            offered = longer.select(F.col("prefix").alias("id"), "n").unionAll(longer.select(F.col("suffix").alias("id"), "n"))
-            whole = level.join(offered.groupBy("id").agg(F.max("n").alias("extension")), "id", "left")
-        whole = whole.select(F.lit(size).alias("size"), "lang", "words", "a", "lefts", "rights", "extension")
-        out = whole if out is None else out.unionByName(whole)
-    return out, totals
+    found = stored(_numbered(counts.where(F.col("n") >= least)))
+    answers = words.drop("times").join(found, ["langs", "words"]).select(F.col("block").alias("asker"), "at", "id", "n")
+    made = blocks.select("block", "ids").groupBy("block").cogroup(answers.groupBy("asker"))
+    stripes = made.applyInArrow(_stripes(longest, part_size), "prefix int, part int, parts int, follows array<int>, times array<int>")
+    merged = stripes.repartition(shuffle_partitions(spark), "prefix", "part").sortWithinPartitions("prefix", "part")
+    names = [f"w{k}" for k in range(1, longest + 1)]
+    merged = stored(merged.mapInArrow(_merge_stripes(longest, least), f"size int, {' int, '.join(names)} int, n long"))
+    remove_table(blocks)
+    level = found.select(F.col("id").alias("w1"), F.col("langs").alias("lang"), F.array("words").alias("words"), F.col("n").alias("a"), F.array("n").alias("lefts"), F.array("n").alias("rights"))
+    out = []
+    for size in range(2, longest + 2):
+        longer = merged.where(F.col("size") == size).select(*names[:size], "n") if size <= longest else None
+        if size == 2:
+            longer = longer.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        own, whole = names[: size - 1], level.withColumn("extension", F.lit(None).cast("long"))
+        if longer is not None:
+            longer = stored(longer)
+            shifted = [F.col(c).alias(o) for c, o in zip(names[1:size], own, strict=True)]
+            offered = longer.select(*own, "n").unionAll(longer.select(*shifted, "n"))
+            whole = level.join(offered.groupBy(*own).agg(F.max("n").alias("extension")), own, "left")
+        out.append(whole.select(F.lit(size - 1).alias("size"), "lang", "words", "a", "lefts", "rights", "extension"))
+        if longer is not None:
+            right = level.select(*[F.col(o).alias(c) for c, o in zip(names[1:size], own, strict=True)], F.element_at("words", -1).alias("last"), "rights")
+            of = longer.join(level.select(*own, "lang", "words", "lefts"), own).join(right, names[1:size])
+            grown = [F.array_append("words", F.col("last")).alias("words"), F.col("n").alias("a"), F.array_append("lefts", F.col("n")).alias("lefts"), F.array_append("rights", F.col("n")).alias("rights")]
+            level = stored(of.select(*names[:size], "lang", *grown))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole, totals
 
 
 def collocations(
