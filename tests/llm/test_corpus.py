@@ -656,6 +656,63 @@ def test_language_odd(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def learnt_rows(monkeypatch, tmp_path, module):
+    path, real = str(tmp_path / "rows"), module.train
+
+    def train(rows, config):
+        rows = list(rows)
+        with open(path, "w") as f:
+            json.dump(rows, f)
+        return real(rows, config)
+
+    monkeypatch.setattr(module, "train", train)
+    return lambda: json.load(open(path))
+
+
+def test_models_without_words(spark):
+    """Labelled rows without a word: the language model knows none, toxicity has no weights; neither fails."""
+    df = spark.createDataFrame([(1, "123", "en"), (2, "!!", "de"), (3, "", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(df, order=F.xxhash64("doc_id"))
+    assert model["names"] == [] and {r["lang_pred"] for r in langid.predict(df, model).collect()} == {"und"}
+    assert langid.train([], langid.Config())["names"] == [] and langid.train([("en", "1 2")], langid.Config())["names"] == []
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int")
+    assert not toxicity.fit(df, labels)["w"].any()
+
+
+def test_an_overlong_text_hides_no_other(spark):
+    """A text of more than 50M characters is one row among others, wherever the hash puts it."""
+    giant = "zzz " * 13_000_000
+    rows = [("en", giant)] + [(label, f"{said} number") for label, said in (("en", "the quick one"), ("de", "der schnelle")) for _ in range(10)]
+    config = langid.Config(bits=8, dim=2, epochs=1)
+    assert langid.train(rows, config)["names"] == ["de", "en"]
+    at, _, _ = toxicity.train([(0, giant)] + [(k % 2, "vile scum" if k % 2 else "kind words") for k in range(60)], toxicity.Config(bits=10, l1=0.5, epochs=2))
+    assert len(at) > 0
+
+
+def test_language_sample_is_bounded(spark, monkeypatch, tmp_path):
+    """Null and repeated ids, equal rows, and many labels: never more rows than the bound, of every label some."""
+    rows = learnt_rows(monkeypatch, tmp_path, langid)
+    some = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") < 1000, F.lit("same")).otherwise(F.format_string("w%d", "id"))).alias("text"))
+    some = some.withColumn("lang", F.when(F.col("text").contains("w1"), "aa").otherwise("bb")).withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
+    model = langid.fit(some, order=F.xxhash64("doc_id"), config=langid.Config(per_language=100, bits=8, dim=2, epochs=1))
+    n = collections.Counter(label for label, _ in rows())
+    assert model["names"] == ["aa", "bb"] and n == {"aa": 100, "bb": 100}
+    assert sum(t == "word same" for _, t in rows()) <= 100
+    again = langid.fit(some.repartition(7), order=F.xxhash64("doc_id"), config=langid.Config(per_language=100, bits=8, dim=2, epochs=1))
+    assert np.array_equal(again["m"], model["m"])
+    many = some.withColumn("lang", F.format_string("l%d", F.pmod(F.xxhash64("text"), F.lit(300))))
+    langid.fit(many, order=F.xxhash64("doc_id"), config=langid.Config(rows=600, bits=6, dim=2, epochs=1))
+    n = collections.Counter(label for label, _ in rows())
+    assert max(n.values()) <= 2 and len(n) >= 290
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch, tmp_path):
+    rows = learnt_rows(monkeypatch, tmp_path, toxicity)
+    docs = spark.range(900).select((F.col("id") % 30).alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")), config=toxicity.Config(bits=8, rows=20, epochs=1))
+    assert len(rows()) == 20 and len({t for _, t in rows()}) == 20
+
+
 # --- 8 sharding ---
 
 

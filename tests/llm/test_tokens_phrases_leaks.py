@@ -280,10 +280,10 @@ def test_long_repeats_are_sorted():
     assert all((*key(a), -1) <= (*key(b), -1) for a, b in zip(some[:-1], some[1:], strict=True))
 
 
-@pytest.mark.parametrize("shard, block, located", [(1 << 20, 1 << 17, 1 << 20), (300, 20, 7)])
+@pytest.mark.parametrize("shard, block, located", [(1 << 20, 1 << 17, 1 << 20), (300, 700, 7)])
 def test_contamination_by_brute_force(spark, shard, block, located, monkeypatch):
     monkeypatch.setattr(decontaminate, "LOCATED", located)
-    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet").limit(200 if block > 20 else 8)
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet").limit(200 if shard > 300 else 100)
     got = decontaminate.contamination(docs, items, shard_words=shard, block_windows=block)
     want = plain_hits(docs.collect(), [tuple(r) for r in items.collect()], 10)
     assert found_hits(got) == want and any(w[2] for w in want)

@@ -11,10 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .common import checkpointed
 from .words import split_words
 
 UNDETERMINED = "und"
+#: The sampling rates of at most so many languages are broadcast.
+BROADCAST_LABELS = 1 << 16
 
 
 def has_letter(text: str | None) -> bool:
@@ -29,9 +33,8 @@ class Config:
     longest: int = 3  # subwords are the characters' 1- to 3-grams of a word between < and >, and the word
     epochs: int = 6
     rate: float = 0.5
-    per_language: int = 1500  # bound of the labelled rows learnt from, on average
-    languages: int = 200  # bound of the languages learnt, the most frequent
-    chars: int = 48_000_000  # bound of the characters learnt from: whole texts until there are so many
+    per_language: int = 1500  # bound of the labelled rows learnt from for each language
+    rows: int = 300_000  # bound of all of them: with very many languages each has fewer, one at least
     held: float = 0.2  # of those rows, for calibration
     lost: float = 0.001  # of the calibration rows that may score below the threshold
     highest: float = 0.4  # of the threshold: a text half in each of two languages stays
@@ -61,20 +64,20 @@ def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray
 def train(rows: Iterable[tuple[str, str]], config: Config) -> dict:
     """Stochastic gradient descent over (label, text) rows; each text is learnt whole and by a short window of it.
 
-    The rows come in the order of a hash; only their features are held, and rows beyond config.chars are left.
+    The rows come in the order of a hash; texts are read one by one, whole, and only their features are held. A text
+    without words teaches nothing; if there is no other, the model knows no language.
     """
     rng = np.random.default_rng(config.seed)
-    known, learn, held, chars = {}, [], [], 0
+    known, learn, held = {}, [], []
     for label, text in rows:
-        chars += len(text)
-        if chars > config.chars:
-            break
         if not (words := split_words(text, digits=False)):
             continue
         at = int(rng.integers(len(words)))
         short = words[at : at + int(rng.integers(1, 21))]
         (held if rng.random() < config.held else learn).extend((_vector(w, known, config), label) for w in (words, short))
     names = sorted({label for _, label in learn + held})
+    if not names:
+        return {"names": [], "m": np.zeros((1 << config.bits, 0), np.float32), "b": np.zeros(0), "threshold": 0.0}
     number = {label: k for k, label in enumerate(names)}
     learn, held = ([(x, number[label]) for x, label in part] for part in (learn, held))
     e = rng.normal(0, 0.1, (1 << config.bits, config.dim))
@@ -113,19 +116,23 @@ def _calibrate(logits: np.ndarray, truth: np.ndarray, config: Config) -> tuple[f
 
 
 def fit(docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", order: Column, config: Config = Config()) -> dict:  # noqa: B008
-    """Learn from a bounded sample of the labelled rows of `docs`: about config.per_language rows of each label.
+    """Learn from a bounded sample of the labelled rows of `docs`: at most config.per_language of each label, config.rows of all.
 
-    The sample is chosen by `order`, a hash column, without a shuffle of texts; one task learns from it in that
-    order, from config.chars characters at most. Rows with a null label or text, and texts without words, are left
-    out. Without rows, as of an empty table, the model knows no language and predicts `und`.
+    The sample are the rows with the smallest hashes of `order` and the text, equal rows once: so rows whose `order` is
+    null or repeated are sampled like others. Of all rows only those below a threshold are shuffled, which each
+    label's number of distinct rows gives. One task learns from the sample, in the order of the hash. Rows with a null
+    label or text are left out, and texts without words teach nothing. Without rows, as of an empty table, or
+    without words the model knows no language and predicts `und`.
     """
-    labelled = docs.select(F.col(label_col).cast("string").alias("label"), order.cast("long").alias("o"), F.col(text_col).cast("string").alias("t"))
-    labelled = labelled.where("label is not null and t is not null and o is not null")
-    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(config.languages).collect()
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("label") == r["label"], F.lit(min(1.0, config.per_language / r["n"]))).otherwise(share)
-    some = labelled.where(F.pmod(F.col("o"), F.lit(1 << 20)) < share * (1 << 20))
+    labelled = docs.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(order, F.col(text_col).cast("string")).alias("o"), F.col(text_col).cast("string").alias("t"))
+    labelled = labelled.where("label is not null and t is not null")
+    sizes = checkpointed(labelled.groupBy("label").agg(F.approx_count_distinct("o").alias("n")))
+    labels = sizes.count()
+    most = max(1, min(config.per_language, config.rows // max(1, labels)))
+    shares = sizes.select("label", F.least(F.lit(1.0), F.lit(1.25 * most + 20) / F.greatest("n", F.lit(1))).alias("share"))
+    near = labelled.join(F.broadcast(shares) if labels <= BROADCAST_LABELS else shares, "label")
+    near = near.where(F.shiftrightunsigned("o", 1) < F.col("share") * F.lit(2.0**63)).groupBy("label", "o").agg(F.min("t").alias("t"))
+    some = near.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("o"))).where(F.col("k") <= most).drop("k")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = train((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), config)

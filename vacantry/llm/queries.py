@@ -67,7 +67,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(docs: DataFrame) -> dict:
-    """Learnt from the documents outside the held-out fold, sampled by a hash of their ids."""
+    """Learnt from the documents outside the held-out fold, sampled by a hash of their ids and texts."""
     return langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2), order=F.xxhash64("doc_id"))
 
 

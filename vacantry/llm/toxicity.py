@@ -22,7 +22,6 @@ class Config:
     l2: float = 0.1
     epochs: int = 6
     rows: int = 16_000  # bound of the labelled rows learnt from
-    chars: int = 48_000_000  # bound of their characters: whole texts until there are so many
     seed: int = 42
 
 
@@ -38,13 +37,10 @@ def train(rows: Iterable[tuple[int, str]], config: Config) -> tuple[np.ndarray,
 
     Every coordinate has its own rate, from the sum of its squared gradients, and its weight is zero unless its
     accumulated gradient exceeds l1. The bias is a coordinate without penalty. The rows come in the order of a
-    hash; only their features are held, and rows beyond config.chars are left.
+    hash; texts are read one by one, whole, and only their features are held.
     """
-    known, data, chars = Hashes(), [], 0
+    known, data = Hashes(), []
     for y, text in rows:
-        chars += len(text)
-        if chars > config.chars:
-            break
         data.append((np.unique(features(split_words(text), known, config.bits)).astype(np.int32), y))
     z, n = np.zeros(1 << config.bits), np.zeros(1 << config.bits)
     bias_z = bias_n = 0.0
@@ -80,16 +76,15 @@ def _sigmoid(x: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", config: Config = Config()) -> dict:  # noqa: B008
     """Learn from at most config.rows labelled documents, the first by a hash of their ids.
 
-    Labels that are null or not 0 or 1 are left out, a repeated id counts once (a 1 before a 0), and labels
-    without a document do not matter. The ids chosen are broadcast, config.rows at most, so no text is shuffled
-    but the sample's, which one task learns from, config.chars characters at most; the driver receives the weights
-    that are not zero. No label, or an empty table, gives weights of zero.
+    Labels that are null or not 0 or 1 are left out, a repeated id counts once (a 1 before a 0, its smallest text),
+    and labels without a document do not matter. The ids chosen are broadcast, config.rows at most, so no text is
+    shuffled but the sample's, which one task learns from; the driver receives the weights that are not zero. No label, or an empty table, gives weights of zero.
     """
     spark = docs.sparkSession
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     chosen = chosen.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(config.rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
-    rows = texts.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id").alias("o"), "__y", "__t")
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t")).select(F.xxhash64("__id").alias("o"), "__y", "__t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, bias = train((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), config)
