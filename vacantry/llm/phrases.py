@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 from .common import remove_table, shuffle_partitions, stored
 
 #: A block holds the words of about so many bytes of text, or of one longer row.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The stripe of a word of more occurrences is split so that a part counts about so many.
-PART_OCCURRENCES = 1 << 20
+PART_OCCURRENCES = 1 << 18
+#: Entries of a stripe in a row, and entries that are merged at a time.
+ROW_ENTRIES, MERGED_ENTRIES = 1 << 10, 1 << 18
 #: Salts by which a language's phrases are ranked before its best are put together.
 SALTS = 64
 UNDETERMINED = "und"
@@ -100,13 +102,13 @@ def _unpacked(state: bytes) -> np.ndarray:
 
 def _sorted_sums(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Rows of whole numbers from 0 to 2**31 - 1, sorted, equal ones made one with the sum of n."""
-    keys = [columns[k] << 32 | columns[k + 1] if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
+    wide = lambda k: columns[k].astype(np.int64) << 32 | columns[k + 1] if k + 1 < len(columns) else columns[k]
+    order = np.lexsort([wide(k) for k in range(0, len(columns), 2)][::-1])
     new = np.zeros(len(n), bool)
     new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
     return [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(first) else n
 
@@ -120,26 +122,28 @@ def _stripes(longest: int, part_size: int):
             return schema.empty_table()
         ids = _unpacked(block["ids"][0].as_py())
         at, got, n = (answers[c].to_numpy() for c in ("at", "id", "n"))
-        to, total = np.zeros(max(int(ids.max(initial=-1)), int(at.max())) + 2, np.int64), {}
+        to = np.zeros(max(int(ids.max(initial=-1)), int(at.max())) + 2, np.int32)
         to[at] = got
-        ids = np.append(to[ids], np.zeros(longest, np.int64))
+        ids = np.append(to[ids], np.zeros(longest, np.int32))
         here = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         if not len(here):
             return schema.empty_table()
         columns = [ids[here]]
         for k in range(1, longest):
-            columns.append(np.where(columns[-1] > 0, ids[here + k], 0))
-        columns, times = _sorted_sums(columns, np.ones(len(here), np.int64))
+            columns.append(np.where(columns[-1] > 0, ids[here + k], np.int32(0)))
+        columns, times = _sorted_sums(columns, np.ones(len(here), np.int32))
         order = np.argsort(got)
         total = n[order][np.searchsorted(got[order], columns[0])]
         parts = 1 + total // part_size
-        mixed = ((columns[1] << 32 | (columns[2] if longest > 2 else 0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        mixed = ((columns[1].astype(np.int64) << 32 | (columns[2] if longest > 2 else 0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         part = (mixed % parts.astype(np.uint64)).astype(np.int64)
-        key = columns[0] << 32 | part
+        key = columns[0].astype(np.int64) << 32 | part
         if (parts > 1).any():
             order = np.argsort(key, kind="stable")
             columns, times, part, parts, key = [c[order] for c in columns], times[order], part[order], parts[order], key[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        new = np.flatnonzero(place % ROW_ENTRIES == 0)
         cuts = np.append(new, len(key))
         follows = np.stack(columns[1:], axis=1).astype(np.int32).ravel()
         return pa.table(
@@ -156,6 +160,14 @@ def _stripes(longest: int, part_size: int):
     return run
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of stripes in slices of about MERGED_ENTRIES entries."""
+    number = np.cumsum(batch.column(4).value_lengths().to_numpy()) // MERGED_ENTRIES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _merge_stripes(longest: int, least: int):
     """Stripes sorted by (prefix, part), merged elementwise, to the phrases counted in them: (size, words, n).
 
@@ -183,7 +195,7 @@ def _merge_stripes(longest: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_n = [np.zeros(0, np.int64)] * (longest + 2), np.zeros(0, np.int64)
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch)):
             lengths = b.column(4).value_lengths().to_numpy()
             follows = b.column(3).flatten().to_numpy().reshape(-1, longest - 1).astype(np.int64)
             columns = [np.repeat(b.column(k).to_numpy().astype(np.int64), lengths) for k in range(3)] + list(follows.T)
