@@ -1,8 +1,10 @@
 """Feeds, upsert, rules, matching, retrieval, discovery, telemetry and the stream, on small tables."""
 
+import collections
 import datetime
 import json
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -227,6 +229,68 @@ def test_scores_equal_a_local_scorer(spark, profiles, postings):
     assert got == want
 
 
+def many_of_both(spark, users, jobs, seed=1):
+    """Profiles and postings with ties, unknown pay, empty titles, rare and common tags."""
+    rng = random.Random(seed)
+    pick = lambda xs, k: [rng.choice(xs) for _ in range(rng.randrange(k + 1))]
+    where = [("", "", "", False), ("Albany", "NY", "US", True), ("", "", "UK", True)]
+    spots = [("NY", None, None, None, False), ("US", None, None, "US", True), ("x", "Albany", "NY", "US", True)]
+    common = ["a", "b"] + [f"r{i}" for i in range(12)]
+    ps = [(i, pick(["Engineer", "nurse of x", "x", "ok", ""], 2), pick(common, 3), pick(["NY", "york"], 1), pick(spots, 2), pick(["acme", "b"], 1), rng.choice([None, 100, 150, 400]), rng.choice(["any", "remote_only", "onsite_only"]), rng.random() < 0.9) for i in range(users)]
+    js = [(i, rng.choice(["Senior Engineer", "Nurse", "Cook", "x", "", None, f"Cook {i % 7}"]), pick(common, 2), rng.choice(["New York", None]), *rng.choice(where), rng.random() < 0.3, rng.choice([None, 0, 100, 100, 150, 260, 500]), rng.choice([None, 90, 300, 900]), rng.choice(["acme", "b", "c"])) for i in range(jobs)]
+    return spark.createDataFrame(ps, PROFILES), spark.createDataFrame(js, POSTINGS)
+
+
+@pytest.mark.parametrize("n, first, chunk", [(3, 1, 4), (20, 4, 32)])
+def test_best_by_bounds_equal_the_best_of_all(spark, n, first, chunk, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", chunk)
+    profiles, postings = many_of_both(spark, 40, 300)
+    best = collections.defaultdict(list)
+    for r in matching.top_matches(postings, profiles, n, first=first).collect():
+        best[r["user_id"]].append((r["rank"], r["posting_id"], r["match_score"], r["matched_tags"]))
+    all_ = collections.defaultdict(list)
+    for r in matching.scored(postings, profiles).collect():
+        all_[r["user_id"]].append((-r["match_score"], r["posting_id"], r["match_score"], r["matched_tags"]))
+    assert {u: sorted(x) for u, x in best.items()} == {u: [(k, *x[1:]) for k, x in enumerate(sorted(rows)[:n], 1)] for u, rows in all_.items()}
+    assert matching.top_matches(postings.limit(0), profiles).count() == matching.top_matches(postings, profiles.limit(0)).count() == 0
+
+
+def test_pairs_for_the_best_grow_less_than_both_sides(spark):
+    """Four times the users and the postings make far fewer than 16 times the pairs, and few of all."""
+    made = {}
+    for k in (1, 4):
+        profiles, postings = many_of_both(spark, 60 * k, 2000 * k)
+        counted = []
+        matching.top_matches(postings, profiles, 5, counted=counted)
+        made[k] = sum(counted), matching.candidates(postings, profiles).count()
+    assert made[1][0] < made[1][1] / 4 and made[4][0] < made[4][1] / 8 and made[4][0] < 12 * made[1][0]
+
+
+def test_titles_are_found_by_their_rarest_piece(spark):
+    titles = ["senior engineer", "x", "ab", "engineers", "nurse of the ward", "wardens"]
+    targets = ["engineer", "x", "senior engineer of all", "b", "ward", "the", "abc"]
+    df = spark.createDataFrame([(t,) for t in [*titles, ""]], "title_text string")
+    hits = {r["title_text"]: r["hits"] for r in matching.title_hits(df, spark.createDataFrame([(targets,)], "titles array<string>")).collect()}
+    assert hits == {t: w for t in titles if (w := sorted(x for x in targets if x in t or t in x))}
+
+
+def test_tag_index_makes_only_pairs_that_share_a_tag(spark, monkeypatch):
+    """Before the gates there are the pairs of shared tags, by posting lists, far below all; a common tag is dealt over fields."""
+    monkeypatch.setattr(matching, "FIELD_POSTINGS", 16)
+    monkeypatch.setattr(matching, "FIELD_WISHES", 2)
+    profiles, postings = many_of_both(spark, 60, 400)
+    got = {(r["user_id"], r["posting_id"]) for r in matching.candidates_by_tag(postings, profiles).collect()}
+    ps, js = [p for p in profiles.collect() if p["is_active"]], postings.collect()
+    share = lambda p, j: not p["target_tags"] or set(p["target_tags"]) & set(j["classification_tags"])
+    assert got == {(p["user_id"], j["posting_id"]) for p in ps for j in js if share(p, j) and local_score(p, j)}
+    met = matching._met_by_tag(matching.posting_side(postings), matching._wishes(profiles))
+    sizes = [r["n"] for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.size("members")).alias("n")).collect()]
+    allowed = lambda p, j: p["remote_pref"] != ("onsite_only" if j["is_remote"] else "remote_only")
+    assert sum(sizes) == sum(bool(share(p, j)) and allowed(p, j) for p in ps for j in js) < 0.6 * len(ps) * len(js)
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    assert matching.candidates_by_tag(postings.limit(0), profiles).count() == 0
+
+
 # --- retrieval ---
 
 
@@ -389,7 +453,7 @@ def test_pairs_are_dealt_over_all_partitions(spark):
     made = matching.scored(postings, profiles)
     sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 40_000 and len(sizes) >= 4 and max(sizes) < 20_000
-    best = matching.top_matches(postings, profiles, 3, slices=4).collect()
+    best = matching.top_matches(postings, profiles, 3).collect()
     rows = made.collect()
     for u in (0, 7):
         want = sorted(((-r["match_score"], r["posting_id"]) for r in rows if r["user_id"] == u))[:3]
