@@ -295,7 +295,7 @@ def test_contamination_odd(spark, odd, empty):
     items += [(6, "the"), (7, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 " + said), (8, "nowhere to be found at all in any of these texts"), (9, " ".join(f"w{i}" for i in range(400)))]
     table = spark.createDataFrame(items, "item_id long, text string").withColumns({"words": F.lit("x"), "block": F.lit(1)})
     want = plain_hits(odd.collect(), items, 10)
-    for shard, block in ((1 << 20, 1 << 17), (50, 3)):
+    for shard, block in ((1 << 20, 1 << 17), (50, 90)):
         assert found_hits(decontaminate.contamination(odd, table, shard_words=shard, block_windows=block)) == want
     assert decontaminate.contamination(empty, table).count() == 0
     clean = decontaminate.contamination(odd, table.limit(0)).collect()
