@@ -73,3 +73,7 @@ def test_odd_rows_go_through(spark):
         assert set(out.columns) == set(docs.columns)
         out.collect()
     assert exact.drop_exact_copies(docs).count() == 3
+    drawn = corpus_pipeline.encode_pieces(spark, docs.withColumn("row", F.lit("x")), DATA).collect()
+    of = lambda d: [(r["pieces"], r["decoded_crc32"]) for r in drawn if r["doc_id"] == d]
+    assert len(of(1)) >= 12 and {c for _, c in of(1)} == {zlib.crc32(b"Alpha beta gamma.")} and len({tuple(p) for p, _ in of(1)}) > 2
+    assert {(p, c) for p, c in of(2)} == {(None, None)} and {(tuple(p or ()), c) for p, c in of(3)} == {((), 0)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,12 +42,32 @@ class Config:
     seed: int = 42
 
 
+class _Buckets(dict):
+    """subword -> its embedding; remembers at most `limit` subwords."""
+
+    def __init__(self, bits: int, limit: int = 1 << 19):
+        super().__init__()
+        self.shift, self.limit = 64 - bits, limit
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[gram] = h = xxhash.xxh64_intdigest(gram) >> self.shift
+        return h
+
+
+@functools.lru_cache(maxsize=4)
+def _buckets(bits: int) -> _Buckets:
+    return _Buckets(bits)
+
+
 def subwords(word: bytes, config: Config) -> np.ndarray:
     """The embeddings that make up a word."""
-    chars = ["<", *word.decode("utf-8", "replace"), ">"]
-    grams = ["".join(chars[i : i + n]) for n in range(1, config.longest + 1) for i in range(len(chars) - n + 1)]
-    hashes = [xxhash.xxh64_intdigest(g) >> (64 - config.bits) for g in [*grams, "=" + "".join(chars)]]
-    return np.array(hashes, np.int64)
+    said = f"<{word.decode('utf-8', 'replace')}>"
+    known = _buckets(config.bits)
+    grams = [known[said[i : i + n]] for n in range(1, config.longest + 1) for i in range(len(said) - n + 1)]
+    grams.append(xxhash.xxh64_intdigest("=" + said) >> known.shift)
+    return np.array(grams, np.int64)
 
 
 def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray, np.ndarray]:
