@@ -141,6 +141,27 @@ def test_reference_files(spark, tmp_path):
     assert sorted((r["iso"], r["population"]) for r in files.read_countries(spark, str(tmp_path / "countries.txt")).collect()) == [("FR", 0), ("US", 331)]
 
 
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    """The order of file names, then of lines, whatever the sizes of files and the packing of their splits; the last line of a code wins."""
+    sizes = {"a.txt": 40, "b.txt": 3000, "c.txt": 0, "d.txt": 700, "e.txt": 1}
+    lines = [(f"US.{k % 90:02}", f"name {name} {k}") for name, n in sizes.items() for k in range(n)]
+    at = iter(lines)
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{code}\t{said}\t{said}\t1\n" for code, said in (next(at) for _ in range(n))))
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = files._tsv(spark, str(tmp_path), ["code", "name", "ascii", "id"])
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert [(r["code"], r["name"]) for r in df.orderBy("ord").collect()] == lines and {r["ord"] for r in df.collect()} == set(range(len(lines)))
+        last, first = dict(lines), {}
+        for k, (code, _) in enumerate(lines):
+            first.setdefault(code, k)
+        assert {r["code"]: (r["name"], r["ord"]) for r in files.read_admin1(spark, str(tmp_path)).collect()} == {code: (last[code], first[code]) for code in last}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+
+
 def test_gazetteer_on_disk(spark, tmp_path):
     g = gazetteer.build_gazetteer(*inputs(spark))
     files.write_gazetteer(g, str(tmp_path), "v9", "names of places")

@@ -250,6 +250,9 @@ def oracle_sql() -> dict[str, str]:
         "q_cards": _with("""SELECT user_id, posting_id, title, source_url AS link, upper(employer) AS employer, CASE WHEN is_remote THEN 'Remote' ELSE location END AS place, printf('%.2f', match_score) AS score, replace(matched_tags, '|', ', ') AS why
             FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, posting_id) AS rank FROM shown) JOIN postings USING (posting_id) WHERE rank <= 10""", "shown"),
         "q_search": _with("SELECT posting_id, title FROM postings WHERE list_has_all(regexp_extract_all(lower(title || chr(10) || description), '[\\p{L}\\p{N}]+'), ['tion', 'ing'])", "postings"),
+        "s_places": _with("""SELECT 'city' AS kind, ord, feature_code AS code, name, population FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM cities) WHERE population >= 15000
+            UNION ALL SELECT 'region', min(ord), country_code || '.' || admin1_code, arg_max(name, ord), 0 FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM cities) GROUP BY 3
+            UNION ALL SELECT 'country', row_number() OVER (ORDER BY ord) - 1, iso, name, population FROM countries""", "cities", "countries"),
         "d_new": _with("SELECT ats, token FROM fresh WHERE r <= 15", "fresh"),
         "d_queue": _with("""SELECT f.ats, f.token, display AS derived_employer_name, f.s_nationkey AS discovered_job_count, 'pending' AS status FROM fresh f JOIN named n ON f.s_suppkey = n.s_suppkey
             WHERE r <= 50 AND f.s_suppkey % 7 <> 2 AND f.s_suppkey % 5 <> 1""", "fresh", "named"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import search as fts
 from ..functions import text as t
 from ..operators import discovery, location, matching, retrieval, rules, telemetry, upsert
-from ..sources import feeds
+from ..session import shared_folder
+from ..sources import feeds, files
 from ..sources.files import read_directory
 from . import views as v
 
@@ -62,6 +65,27 @@ def _directory(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _lines(df: DataFrame, *columns: Column) -> str:
+    """A folder of tab-separated files that hold `df` in the order of `ord`, each about twice as long as the one before."""
+    path = f"{shared_folder(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    named = df.select(c("ord").alias("line"), *[F.coalesce(x.cast("string"), F.lit("")).alias(f"c{k}") for k, x in enumerate(columns)])
+    dealt = named.withColumn("file", F.log2(c("line") + 1).cast("int")).repartitionByRange(24, "file").sortWithinPartitions("line").drop("line", "file")
+    dealt.write.csv(path, sep="\t", emptyValue="", quote="")
+    return path
+
+
+def s_places(spark: SparkSession, d: str) -> DataFrame:
+    """Cities, regions (of a repeated code the last line) and countries from folders of files, in the order of their lines."""
+    none = F.lit("")
+    cities, countries = v.view(spark, d, "cities"), v.view(spark, d, "countries")
+    at = _lines(cities, c("ord"), c("name"), c("asciiname"), c("alternatenames"), none, none, none, c("feature_code"), c("country_code"), none, c("admin1_code"), none, none, none, c("population"), none, none, F.lit("UTC"), none)
+    found = files.read_cities(spark, at).select(F.lit("city").alias("kind"), "ord", c("feature_code").alias("code"), "name", "population")
+    at = _lines(cities, F.concat_ws(".", "country_code", "admin1_code"), c("name"), c("asciiname"), c("ord"))
+    regions = files.read_admin1(spark, at).select(F.lit("region").alias("kind"), "ord", "code", "name", F.lit(0).cast("long").alias("population"))
+    at = _lines(countries, c("iso"), c("iso3"), none, none, c("name"), none, none, c("population"), F.lit("x"))
+    return found.unionByName(regions).unionByName(files.read_countries(spark, at).select(F.lit("country").alias("kind"), "ord", c("iso").alias("code"), "name", "population"))
+
+
 def s_directory(spark: SparkSession, d: str) -> DataFrame:
     return _directory(spark, d)
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.rules import RuleError
 
@@ -29,9 +30,22 @@ def read_directory_csv(spark: SparkSession, path: str, ats: str) -> DataFrame:
     return read_directory(spark.read.csv(path, header=True, schema="name string, slug string, url string"), ats)
 
 
+def in_line_order(read: DataFrame) -> DataFrame:
+    """The rows of a scan of line-based files with `ord`, their number from 0 in the order of file names and lines.
+
+    Spark packs splits by size, not by name, so a row's own number says little. Here each split of a file counts its
+    rows, running sums over (file, start of the split) give where it begins, and a row adds its place in its split.
+    Only one row for each split goes through one task.
+    """
+    rows = read.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"))
+    splits = rows.groupBy("__file", "__start").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__start")) - F.col("__n")
+    placed = rows.join(splits.select("__file", "__start", "__first", before.alias("__before")), ["__file", "__start"])
+    return placed.withColumn("ord", F.col("__before") + F.col("__row") - F.col("__first")).drop("__file", "__start", "__first", "__before", "__row")
+
+
 def _tsv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    df = spark.read.csv(path, sep="\t", schema=", ".join(f"`{f}` string" for f in fields), multiLine=False, mode="PERMISSIVE")
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    return in_line_order(spark.read.csv(path, sep="\t", schema=", ".join(f"`{f}` string" for f in fields), multiLine=False, mode="PERMISSIVE"))
 
 
 def _number(name: str):
