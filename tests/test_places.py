@@ -162,6 +162,22 @@ def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", known)
 
 
+def test_null_keys_are_spread(spark):
+    """Attempts without a key come through a lookup unmatched, dealt over the tasks."""
+    known = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(2000).select(F.col("id").alias("aid"), F.when(F.col("id") % 100 == 0, "paris").alias("token"))
+        out = location.looked_up(df, spark.createDataFrame([("paris", "FR"), (None, "XX")], "token string, country string"), ["token"])
+        sizes = [r["count"] for r in out.where("token is null").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert out.count() == 2000 and out.where("country = 'FR'").count() == 20 and out.where("token is null and country is not null").isEmpty()
+        assert len(sizes) == 4 and max(sizes) < 0.4 * sum(sizes)
+    finally:
+        for k, x in known.items():
+            spark.conf.set(k, x)
+
+
 def test_gazetteer_on_disk(spark, tmp_path):
     g = gazetteer.build_gazetteer(*inputs(spark))
     files.write_gazetteer(g, str(tmp_path), "v9", "names of places")

@@ -14,53 +14,15 @@ CURRENT_VERSION = "v3"
 _EDGE = " .,-"
 #: Words that name no place although a place bears them, once `area` is gone.
 DESCRIPTORS = [
-    "bay",
-    "metro",
-    "valley",
-    "delta",
-    "north",
-    "south",
-    "east",
-    "west",
-    "central",
-    "greater",
-    "downtown",
-    "uptown",
-    "tri-state",
-    "shore",
-    "piedmont",
-    "highlands",
-    "gold coast",
-    "north shore",
-]
-#: Patterns of words that say how or where one works, not in which place.
-NOISE = (
-    r"\d+\s*locations?",
-    r"in\s+office",
-    r"on\s+site",
-    "onsite",
-    "headquarters",
-    "hq",
-    "office",
-    "offices",
-    "location",
-    "hybrid",
-    "distributed",
-    "tbd",
-    "global",
-    "nationwide",
-    "n/a",
-    r"multiple\s+(?:cities|locations)",
-    r"home\s+based",
-    "emea",
-    "apac",
-    "americas",
-    r"latin\s+america",
-    r"north\s+america",
-    "europe",
-    "any",
-    "ceo",
-)
+    "bay", "metro", "valley", "delta", "north", "south", "east", "west", "central", "greater", "downtown", "uptown", "tri-state",
+    "shore", "piedmont", "gold coast", "highlands", "north shore",
+]
+#: Fixed value: the pattern of words that say how or where one works, not in which place.
+NOISE = r"\b(?:\d+\s*locations?|in\s+office|on\s+site|onsite|headquarters|hq|office|offices|location|hybrid|distributed|tbd|global|nationwide|n/a|multiple\s+(?:cities|locations)|home\s+based|emea|apac|americas|latin\s+america|north\s+america|europe|any|ceo)\b"
+#: The patterns of a suffix that widens a place, a two-letter prefix, a two-letter end and a postal code.
+AREA, METRO, PREFIX, TRAILING, ZIP = r"\s+area$", r"\s+metro(?:politan|politain)?$", r"^([a-z]{2})\s*-\s*(.+)$", r"^(.+)\s+([a-z]{2})$", r"\s+\d{5}(?:\s?\d{4})?$"
+#: Keys that are null are dealt over so many values that nothing has.
+NULL_SALTS = 1024
 RESULT = "struct<city:string,region:string,country:string,resolved:boolean>"
 
 
@@ -81,8 +43,8 @@ def first_place(c: Column) -> Column:
 
 def strip_area(c: Column) -> Column:
     """Without a last `area`, and then without `metro` and the like if something is left."""
-    bare = F.regexp_replace(c, r"\s+area$", "")
-    short = F.regexp_replace(bare, r"\s+metro(?:politan|politain)?$", "")
+    bare = F.regexp_replace(c, AREA, "")
+    short = F.regexp_replace(bare, METRO, "")
     return F.when(bare == c, c).when(short != "", short).otherwise(bare)
 
 
@@ -94,7 +56,7 @@ def strip_remote(c: Column) -> Column:
 
 def strip_noise(c: Column) -> tuple[Column, Column]:
     """(text, removed): without noise words, and whether there were any."""
-    out = _strip(F.regexp_replace(F.regexp_replace(c, rf"(?U)\b(?:{'|'.join(NOISE)})\b", " "), r"\s+", " "), " -–—,.")
+    out = _strip(F.regexp_replace(F.regexp_replace(c, f"(?U){NOISE}", " "), r"\s+", " "), " -–—,.")
     return out, out != c
 
 
@@ -105,16 +67,15 @@ def segments(c: Column) -> Column:
 
 
 def strip_zip(c: Column) -> Column:
-    bare = F.regexp_replace(c, r"\s+\d{5}(?:\s?\d{4})?$", "")
+    bare = F.regexp_replace(c, ZIP, "")
     return F.when(bare != "", bare).otherwise(c)
 
 
 def prefix_country(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     """Adds scope, the country of a two-letter prefix if it is one's code, and rest, the text without it."""
-    pattern = r"^([a-z]{2})\s*-\s*(.+)$"
-    out = attempts.withColumn("__code", F.regexp_extract("place", pattern, 1))
-    out = out.join(look["prefix"].select(F.col("code").alias("__code"), F.col("country").alias("scope")), "__code", "left")
-    rest = F.when(F.col("scope").isNotNull(), F.trim(F.regexp_extract("place", pattern, 2))).otherwise(F.col("place"))
+    out = attempts.withColumn("__code", F.regexp_extract("place", PREFIX, 1))
+    out = looked_up(out.withColumn("__code", F.nullif("__code", F.lit(""))), look["prefix"].select(F.col("code").alias("__code"), F.col("country").alias("scope")), ["__code"])
+    rest = F.when(F.col("scope").isNotNull(), F.trim(F.regexp_extract("place", PREFIX, 2))).otherwise(F.col("place"))
     return out.withColumn("rest", rest).drop("__code")
 
 
@@ -134,15 +95,23 @@ def _place(city, region, country, resolved=True) -> Column:
     return F.struct((null if city is None else city).alias("city"), (null if region is None else region).alias("region"), (null if country is None else country).alias("country"), F.lit(resolved).alias("resolved"))
 
 
+def looked_up(attempts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """`attempts` left-joined with `table` by `keys`. Most attempts lack some key; these are dealt by their aid, so that no task gets them all."""
+    salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64("aid"), F.lit(NULL_SALTS)).cast("string"))
+    first = f"__on_{keys[0]}"
+    table = table.withColumnRenamed(keys[0], first)
+    return attempts.withColumn(first, F.coalesce(keys[0], salt)).join(table, [first, *keys[1:]], "left").drop(first)
+
+
 def resolve_bare(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
     """Adds bare, the place of a single part: country, region's name, abbreviation (only after noise went), or city, in this order."""
     token = F.col("token")
-    out = attempts.join(look["ambiguous"].select(F.col("token"), F.lit(True).alias("__amb")), "token", "left")
-    out = out.join(look["country"].select(F.col("alias").alias("token"), F.col("country").alias("__c")), "token", "left")
-    out = out.join(look["region_full"].select(F.col("alias").alias("token"), F.col("code").alias("__rf"), F.col("country").alias("__rfc")), "token", "left")
-    out = out.join(look["region_abbrev"].select(F.col("alias").alias("token"), F.col("code").alias("__ra"), F.col("country").alias("__rac")), "token", "left")
-    out = out.join(look["city"].select(F.col("alias").alias("token"), F.struct("city", "region", "country").alias("__p")), "token", "left")
-    out = out.join(look["city_in"].select(F.col("alias").alias("token"), "scope", F.struct("city", "region", "country").alias("__ps")), ["token", "scope"], "left")
+    out = looked_up(attempts, look["ambiguous"].select(F.col("token"), F.lit(True).alias("__amb")), ["token"])
+    out = looked_up(out, look["country"].select(F.col("alias").alias("token"), F.col("country").alias("__c")), ["token"])
+    out = looked_up(out, look["region_full"].select(F.col("alias").alias("token"), F.col("code").alias("__rf"), F.col("country").alias("__rfc")), ["token"])
+    out = looked_up(out, look["region_abbrev"].select(F.col("alias").alias("token"), F.col("code").alias("__ra"), F.col("country").alias("__rac")), ["token"])
+    out = looked_up(out, look["city"].select(F.col("alias").alias("token"), F.struct("city", "region", "country").alias("__p")), ["token"])
+    out = looked_up(out, look["city_in"].select(F.col("alias").alias("token"), "scope", F.struct("city", "region", "country").alias("__ps")), ["token", "scope"])
     scope, none = F.col("scope"), _place(None, None, None, False)
     fits = lambda c: scope.isNull() | (scope == c)
     city = F.when(scope.isNull(), F.col("__p")).otherwise(F.col("__ps"))
@@ -159,8 +128,7 @@ def resolve_bare(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
 
 def trailing_code(c: Column) -> Column:
     """[city, code] of a text that ends in two letters, else null."""
-    pattern = r"^(.+)\s+([a-z]{2})$"
-    return F.when(c.rlike(pattern), F.array(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)))
+    return F.when(c.rlike(TRAILING), F.array(F.regexp_extract(c, TRAILING, 1), F.regexp_extract(c, TRAILING, 2)))
 
 
 def resolve_segments(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFrame:
@@ -173,19 +141,19 @@ def resolve_segments(attempts: DataFrame, look: dict[str, DataFrame]) -> DataFra
             "__last": F.when(n > 1, F.try_element_at("parts", F.lit(-2))),
         }
     )
-    out = out.join(look["country"].select(F.col("alias").alias("__tail"), F.col("country").alias("__tc")), "__tail", "left")
-    out = out.join(look["region_any"].select(F.col("alias").alias("__tail"), F.col("code").alias("__tr"), F.col("country").alias("__trc")), "__tail", "left")
+    out = looked_up(out, look["country"].select(F.col("alias").alias("__tail"), F.col("country").alias("__tc")), ["__tail"])
+    out = looked_up(out, look["region_any"].select(F.col("alias").alias("__tail"), F.col("code").alias("__tr"), F.col("country").alias("__trc")), ["__tail"])
     out = out.withColumn("__country", F.coalesce("__tc", "__trc"))
     scoped = look["region_scoped"].select(F.col("country").alias("__country"), F.col("alias").alias("__last"), F.col("code").alias("__sr"))
-    out = out.join(scoped, ["__country", "__last"], "left")
+    out = looked_up(out, scoped, ["__country", "__last"])
     out = out.withColumn("__region", F.when(F.col("__tc").isNull(), F.col("__tr")).otherwise(F.col("__sr")))
-    out = out.join(look["city_alias"].select(F.col("alias").alias("__head"), F.lit(True).alias("__is")), "__head", "left")
+    out = looked_up(out, look["city_alias"].select(F.col("alias").alias("__head"), F.lit(True).alias("__is")), ["__head"])
     pieces = out.where("__is is null").where(F.col("__head").contains("|")).select("aid", F.posexplode(F.transform(F.split("__head", r"\|"), lambda x: _strip(x))).alias("pos", "alias"))
     named = pieces.join(look["city_alias"], "alias", "left_semi").groupBy("aid").agg(F.min_by("alias", "pos").alias("__piece"))
     out = out.join(named, "aid", "left").withColumn("__city", F.coalesce("__piece", "__head"))
     in_country = look["narrow_country"].select(F.col("alias").alias("__city"), F.col("country").alias("__country"), F.col("city").alias("__in_country"))
     in_region = look["narrow_region"].select(F.col("alias").alias("__city"), F.col("country").alias("__country"), F.col("region").alias("__region"), F.col("city").alias("__in_region"))
-    out = out.join(in_country, ["__city", "__country"], "left").join(in_region, ["__city", "__country", "__region"], "left")
+    out = looked_up(looked_up(out, in_country, ["__city", "__country"]), in_region, ["__city", "__country", "__region"])
     city = F.when(F.col("__region").isNull(), F.col("__in_country")).otherwise(F.col("__in_region"))
     multi = F.when(F.col("__country").isNotNull(), _place(city, F.col("__region"), F.col("__country"))).otherwise(_place(None, None, None, False))
     return out.withColumn("multi", multi).drop(*[c for c in out.columns if c.startswith("__")])

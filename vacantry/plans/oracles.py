@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.discovery import SLOW_BATCH
 from .queries import NOW_TEXT
 from .views import TABLES, VIEWS
 
@@ -259,8 +260,9 @@ def oracle_sql() -> dict[str, str]:
         "d_stats": _with("""SELECT ats, sum(1)::BIGINT AS found, sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END)::BIGINT AS already_known, sum(CASE WHEN r <= 15 AND good THEN 1 ELSE 0 END)::BIGINT AS validated,
             sum(CASE WHEN r <= 15 AND NOT good THEN 1 ELSE 0 END)::BIGINT AS failed, sum(CASE WHEN r > 15 THEN 1 ELSE 0 END)::BIGINT AS skipped_for_cap, coalesce(bool_or(ats = 'ashby'), false) AS search_failed
             FROM (SELECT t.ats, f.r, t.s_suppkey % 7 <> 2 AND t.s_suppkey % 5 <> 1 AS good FROM tokens t LEFT JOIN fresh f ON t.s_suppkey = f.s_suppkey) GROUP BY ROLLUP (ats)""", "tokens", "fresh"),
-        "d_review": f"""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN 'rejected' WHEN s_suppkey % 4 = 3 OR s_suppkey % 3 = 2 THEN 'pending' WHEN s_suppkey % 3 = 0 THEN 'approved' ELSE 'rejected' END AS status,
-            CASE WHEN s_suppkey % 4 IN (0, 1) AND s_suppkey % 3 <> 2 THEN TIMESTAMP '{NOW_TEXT}' END AS reviewed_at FROM supplier""",
+        "d_review": f"""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 OR s_suppkey % 3 = 1 THEN 'rejected' WHEN s_suppkey % 3 = 2 OR r > {SLOW_BATCH} THEN 'pending' ELSE 'approved' END AS status,
+            CASE WHEN s_suppkey % 4 <> 2 AND s_suppkey % 3 <> 2 AND (s_suppkey % 3 = 1 OR r IS NULL OR r <= {SLOW_BATCH}) THEN TIMESTAMP '{NOW_TEXT}' END AS reviewed_at
+            FROM (SELECT *, CASE WHEN s_suppkey % 4 = 3 AND s_suppkey % 3 = 0 THEN row_number() OVER (PARTITION BY s_suppkey % 4 = 3 AND s_suppkey % 3 = 0 ORDER BY s_suppkey) END AS r FROM supplier)""",
         "d_drift": _with("SELECT ats, token, s_nationkey AS discovered_job_count, s_nationkey + 1 AS refetched FROM tokens WHERE s_suppkey % 2 = 1", "tokens"),
         "t_rate": """SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE * (5 - i) AS at, event_type, count(*) AS n, count(*) / 300.0::DOUBLE AS per_second FROM events, (SELECT unnest(generate_series(0, 4)) AS i) GROUP BY ALL""",
         "t_p95": "SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS at, event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL",

@@ -432,7 +432,11 @@ def d_review(spark: SparkSession, d: str) -> DataFrame:
     """D5, D7."""
     rows = v.view(spark, d, "directory").withColumn("token", F.trim("token"))
     boards = rows.select("s_suppkey", "ats", "token", F.when(c("s_suppkey") % 4 == 2, "rejected").otherwise("pending").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"))
-    decisions = rows.where("ats <> 'workday'").select("ats", "token", F.when(c("s_suppkey") % 3 == 0, "approved").when(c("s_suppkey") % 3 == 1, "rejected").otherwise("later").alias("decision"))
+    # of the slow ats as many approvals as one batch may hold, which the guard lets pass; the others wait
+    slow = rows.where("ats = 'workday' and s_suppkey % 3 = 0").orderBy("s_suppkey").limit(discovery.SLOW_BATCH).select("ats", "token", F.lit(True).alias("__now"))
+    due = (c("ats") != discovery.SLOW_ATS) | c("__now")
+    decided = F.when((c("s_suppkey") % 3 == 0) & due, "approved").when(c("s_suppkey") % 3 == 1, "rejected").otherwise("later")
+    decisions = rows.join(slow, ["ats", "token"], "left").select("ats", "token", decided.alias("decision"))
     return discovery.review(boards, discovery.guard_batch(decisions, boards), now()).select("s_suppkey", "status", "reviewed_at")
 
 

@@ -83,7 +83,7 @@ FROM (SELECT c_custkey, c_nationkey, n_name, r_name, 'Q' || chr(65 + n_regionkey
 """
 
 ACTIONS = """
-SELECT user_id, event_id % 1000 AS posting_id, event_id AS seq, ts,
+SELECT user_id, event_id % (SELECT count(*) FROM {documents}) AS posting_id, event_id AS seq, ts,
        CASE event_type WHEN 'view' THEN 'save' WHEN 'purchase' THEN 'apply' WHEN 'error' THEN 'dismiss' ELSE event_type END AS action FROM {events}
 """
 
