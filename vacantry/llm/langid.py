@@ -45,7 +45,7 @@ class Config:
 class _Buckets(dict):
     """subword -> its embedding; remembers at most `limit` subwords."""
 
-    def __init__(self, bits: int, limit: int = 1 << 19):
+    def __init__(self, bits: int, limit: int = 1 << 16):
         super().__init__()
         self.shift, self.limit = 64 - bits, limit
 
