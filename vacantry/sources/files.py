@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.rules import RuleError
+from .state import read_snapshot, versions, write_snapshot  # noqa: F401
 
 #: The column of a directory that is the board's token.
 TOKEN_COLUMN = {"greenhouse": "slug", "lever": "slug", "ashby": "slug", "workday": "url"}
@@ -108,31 +109,6 @@ def load_gazetteer(spark: SparkSession, path: str, version: str) -> dict[str, Da
     return out
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions below a path that were written completely: those with a success marker."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in fs.globStatus(at(f"{path}/v=*/_SUCCESS")) or [])
-
-
-def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """A table's next state as a folder of its own; readers see it when its success marker is there, so all of it or nothing.
-
-    A version that is there completely is never replaced; what an interrupted write left of one is.
-    """
-    if version in versions(df.sparkSession, path):
-        raise FileExistsError(f"{path}/v={version}")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/v={version}")
-
-
-def read_snapshot(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """The state of the highest version (below `below`) that was written completely."""
-    found = [n for n in versions(spark, path) if below is None or n < below]
-    if not found:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/v={found[-1]}")
-
-
 class NotEmpty(RuntimeError):
     """A strict diff found something."""
 

@@ -9,7 +9,7 @@ from ..functions.text import csv_list
 from ..operators import gazetteer, location, matching, rules, telemetry, upsert
 from ..schemas import ATS, POSTING
 from ..sources import feeds
-from ..sources.files import read_snapshot, versions, write_snapshot
+from ..sources.state import manifest, read_snapshot, versions, write_buckets, write_snapshot
 
 #: Landed records: the normalised columns, the board they come from and their order in it.
 LANDED = "source_ats string, board_token string, ordinal int, source_job_id string, title string, description string, location string, is_remote boolean, location_city string, location_region string, location_country string, location_resolved boolean, location_alias_version string, salary_min int, salary_max int, source_url string"
@@ -20,9 +20,13 @@ PAYLOADS = "source_ats string, board_token string, payload string"
 _FLAT = "ordinal int, ats_id string, title string, description string, location string, is_remote boolean, salary_min int, salary_max int, url string"
 
 
-def state_at(spark: SparkSession, path: str, schema, below: int | None = None) -> DataFrame:
+#: Buckets of a state table, and over how many of them a board's postings are spread.
+BUCKETS, SPREAD = 256, 8
+
+
+def state_at(spark: SparkSession, path: str, schema, below: int | None = None, only: list[int] | None = None) -> DataFrame:
     try:
-        return read_snapshot(spark, path, below)
+        return read_snapshot(spark, path, below, only=only)
     except FileNotFoundError:
         return spark.createDataFrame([], schema)
 
@@ -35,6 +39,38 @@ def as_matched(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("posting_id", posting_id()).withColumn("employer_slug", F.col("employer"))
 
 
+def posting_bucket(n: int, employer: Column | None = None, sub: Column | None = None) -> Column:
+    """A posting's bucket: those of an employer at a platform are in SPREAD of n (a multiple of it), as they are compared together."""
+    sub = F.pmod(F.xxhash64("source_job_id"), F.lit(SPREAD)) if sub is None else sub
+    own = F.pmod(F.xxhash64("source_ats", F.col("employer") if employer is None else employer), F.lit(n // SPREAD))
+    return (own * SPREAD + sub).cast("int")
+
+
+def match_bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("posting_id"), F.lit(n)).cast("int")
+
+
+def _numbers(df: DataFrame) -> list[int]:
+    """Numbers of buckets, of which there are no more than buckets."""
+    return sorted(r[0] for r in df.distinct().collect())
+
+
+def _in_buckets(spark: SparkSession, path: str, below: int, n: int) -> bool:
+    """Whether the state before is in n buckets (or there is none), so that some can be replaced."""
+    found = [v for v in versions(spark, path) if v < below]
+    said = manifest(spark, path, found[-1]) if found else {"n": n}
+    return said is not None and said["n"] == n
+
+
+def touched_buckets(current: DataFrame, batch: DataFrame, read: DataFrame, n: int) -> list[int]:
+    """Buckets that a round may change: of employers read, of postings that the batch has and that are known with another employer, of flagged ones."""
+    subs = read.select("source_ats", "employer").distinct().withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    keys = batch.select("source_ats", "source_job_id").distinct()
+    known = current.join(keys, ["source_ats", "source_job_id"], "left_semi").select(posting_bucket(n))
+    flagged = current.where("needs_classification").select(posting_bucket(n))
+    return _numbers(subs.select(posting_bucket(n, sub=F.col("sub"))).union(known).union(flagged))
+
+
 def read_payloads(payloads: DataFrame, gaz: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(records, failed): landed payloads in LANDED's columns, places resolved, without the boards that have a bad record; and those boards."""
     by_ats = {ats: payloads.where(F.col("source_ats") == ats) for ats in ATS}
@@ -44,7 +80,7 @@ def read_payloads(payloads: DataFrame, gaz: dict[str, DataFrame]) -> tuple[DataF
     return feeds.placed(good, gaz), failed
 
 
-def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: DataFrame, state_dir: str, version: int, ruleset: dict = rules.RULESET_V1, *, rematch_on: str = "tags", failed: DataFrame | None = None, boards: DataFrame | None = None) -> None:
+def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: DataFrame, state_dir: str, version: int, ruleset: dict = rules.RULESET_V1, *, rematch_on: str = "tags", failed: DataFrame | None = None, boards: DataFrame | None = None, buckets: int | None = None) -> None:
     """One round: upsert the batch, classify what is flagged, match what changed; each state is a new version.
 
     Only `boards` are compared, by default those in the batch, so a board that sent nothing closes nothing, nor does
@@ -52,6 +88,7 @@ def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: Da
     What is matched anew are postings that got other tags, or with rematch_on="content" also those created, reopened
     or updated. A round that is run again after a failure starts from the states before its version, replaces what
     was left half-written and goes on where it broke off, so it ends in the same states.
+    With `buckets` the states are in so many (a multiple of SPREAD), of which a round reads and writes those it touches.
     """
     if rematch_on not in ("tags", "content"):
         raise ValueError(f"no such rule: {rematch_on!r}")
@@ -61,8 +98,14 @@ def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: Da
     read = sources.join(boards, ["source_ats", "board_token"], "left_semi")
     if failed is not None:
         read = read.join(failed, ["source_ats", "board_token"], "left_anti")
-    if version not in versions(spark, f"{state_dir}/postings"):
-        current = state_at(spark, f"{state_dir}/postings", POSTING, version).select(*[f.name for f in POSTING.fields])
+    at, matched = f"{state_dir}/postings", f"{state_dir}/matches"
+    if version not in versions(spark, at):
+        touched = None
+        current = state_at(spark, at, POSTING, version)
+        if buckets and _in_buckets(spark, at, version, buckets):
+            touched = touched_buckets(current, batch, read, buckets)
+            current = state_at(spark, at, POSTING, version, touched) if versions(spark, at) else current
+        current = current.select(*[f.name for f in POSTING.fields])
         merged = upsert.upsert(current, batch, read, F.current_timestamp()).withColumn("id", posting_id())
         tagged, _ = rules.classify_pending(merged, ruleset)
         before = current.select(posting_id().alias("id"), F.col("classification_tags").alias("before"))
@@ -70,12 +113,22 @@ def tick(spark: SparkSession, batch: DataFrame, sources: DataFrame, profiles: Da
         if rematch_on == "content":
             changed = changed | F.coalesce(F.col("outcome").isin("created", "reopened", "updated"), F.lit(False))
         now = tagged.join(before, "id", "left").withColumn("rematch", changed).drop("before", "id", "outcome")
-        write_snapshot(now, f"{state_dir}/postings", version)
-    postings = as_matched(read_snapshot(spark, f"{state_dir}/postings", version + 1))
-    matches = state_at(spark, f"{state_dir}/matches", _MATCHES, version)
+        if buckets:
+            write_buckets(now, at, version, bucket=posting_bucket(buckets), n=buckets, touched=touched)
+        else:
+            write_snapshot(now, at, version)
+    written = manifest(spark, at, version)
+    # what is flagged in other buckets was matched in an earlier round
+    postings = as_matched(read_snapshot(spark, at, version + 1, only=written["touched"] if written else None))
     ids = postings.where("rematch").select("posting_id")
-    new = matching.match_postings(matches, postings, profiles, ids, now=F.current_timestamp())
-    write_snapshot(new, f"{state_dir}/matches", version)
+    if not buckets:
+        new = matching.match_postings(state_at(spark, matched, _MATCHES, version), postings, profiles, ids, now=F.current_timestamp())
+        write_snapshot(new, matched, version)
+        return
+    touched = _numbers(ids.select(match_bucket(buckets))) if _in_buckets(spark, matched, version, buckets) else None
+    some = touched if versions(spark, matched) else None
+    new = matching.match_postings(state_at(spark, matched, _MATCHES, version, some), postings, profiles, ids, now=F.current_timestamp())
+    write_buckets(new, matched, version, bucket=match_bucket(buckets), n=buckets, touched=touched)
 
 
 def _stream(landed: DataFrame, each, state_dir: str):
@@ -83,19 +136,19 @@ def _stream(landed: DataFrame, each, state_dir: str):
     return query.trigger(availableNow=True).start()
 
 
-def run_pipeline_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, ruleset: dict = rules.RULESET_V1, **kw):
+def run_pipeline_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, ruleset: dict = rules.RULESET_V1, *, buckets: int | None = BUCKETS, **kw):
     """Read the records (LANDED) that have landed since the last run, in micro-batches, and stop; the checkpoint keeps what was done."""
-    return _stream(spark.readStream.schema(LANDED).json(in_dir), lambda batch, n: tick(spark, batch, sources, profiles, state_dir, n, ruleset, **kw), state_dir)
+    return _stream(spark.readStream.schema(LANDED).json(in_dir), lambda batch, n: tick(spark, batch, sources, profiles, state_dir, n, ruleset, buckets=buckets, **kw), state_dir)
 
 
-def run_feed_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, gaz: dict[str, DataFrame], ruleset: dict = rules.RULESET_V1, **kw):
+def run_feed_stream(spark: SparkSession, in_dir: str, state_dir: str, sources: DataFrame, profiles: DataFrame, gaz: dict[str, DataFrame], ruleset: dict = rules.RULESET_V1, *, buckets: int | None = BUCKETS, **kw):
     """The same from what boards sent (PAYLOADS): feeds, places, upsert, tags and matches in one run."""
     look = gazetteer.prepared(gaz)
 
     def each(batch: DataFrame, n: int) -> None:
         records, failed = read_payloads(batch, look)
         boards = batch.select("source_ats", "board_token").distinct()  # one that sent an empty list has no record, and closes all
-        tick(spark, records, sources, profiles, state_dir, n, ruleset, failed=failed, boards=boards, **kw)
+        tick(spark, records, sources, profiles, state_dir, n, ruleset, failed=failed, boards=boards, buckets=buckets, **kw)
 
     return _stream(spark.readStream.schema(PAYLOADS).json(in_dir), each, state_dir)
 
