@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 #: How late an event may be in a stream; the source has no rule for late data.
@@ -101,3 +105,30 @@ def debounce_batch(df: DataFrame, key: str, *, ts: str = "ts", seq: str = "event
     following = F.lead(F.col(ts)).over(Window.partitionBy(key).orderBy(ts, seq))
     wait = F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     return df.withColumn("__wait", wait).where(F.col("__wait").isNull() | (F.col("__wait") >= seconds * 1_000_000)).drop("__wait")
+
+
+def settled(df: DataFrame, key: str, *, ts: str = "ts", seq: str = "seq", wait: int = 10, payload: str = "said") -> DataFrame:
+    """Of a stream of saves: (key as text, payload, a text) of a key's last save, once `wait` seconds of the clock have passed without another.
+
+    A key's state is its last save by ts, seq and payload (nulls are lowest), whatever order they arrive in; it goes
+    when it is emitted. Rows without a key are left out.
+    """
+
+    def each(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            said = state.get[2]
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], payload: [said]})
+            return
+        best = state.getOption
+        for frame in frames:
+            rows = zip(frame["__at"].tolist(), frame["__seq"].tolist(), frame["__said"].tolist(), strict=True)
+            best = max(rows, default=best) if best is None else max([best, *rows])
+        state.update(best)
+        state.setTimeoutDuration(wait * 1000)
+
+    low = F.lit(-(2**63))
+    rows = df.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias(key), F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), low).alias("__at"), F.coalesce(F.col(seq).cast("long"), low).alias("__seq"), F.coalesce(F.col(payload), F.lit("")).alias("__said")
+    )
+    return rows.groupBy(key).applyInPandasWithState(each, f"`{key}` string, `{payload}` string", "at long, seq long, said string", "append", GroupStateTimeout.ProcessingTimeTimeout)

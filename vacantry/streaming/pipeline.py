@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_list
 from ..operators import gazetteer, location, matching, rules, telemetry, upsert
 from ..schemas import ATS, POSTING
+from ..session import checkpointed
 from ..sources import feeds
 from ..sources.state import manifest, read_snapshot, versions, write_buckets, write_snapshot
 
@@ -163,13 +164,58 @@ def edited_profiles(edits: DataFrame, gaz: dict[str, DataFrame], *, gap: str = "
     said = [c for c in edits.columns if c not in ("user_id", "ts", "seq")]
     settled = telemetry.debounce(edits.withColumn("said", F.struct(*said)), "user_id", seq="seq", gap=gap, payload="said")
     last = settled.groupBy("user_id").agg(F.max_by("said", "last_ts").alias("said")).select("user_id", "said.*")
+    return as_profiles(last, gaz)
+
+
+def as_profiles(last: DataFrame, gaz: dict[str, DataFrame]) -> DataFrame:
+    """Saved fields as profiles: lists parsed and places normalised."""
     listed = last.withColumns({c: csv_list(F.col(c)) for c in _LISTS})
     return listed.join(location.normalize_targets(listed, gaz), "user_id")
 
 
 def apply_edits(edits: DataFrame, profiles: DataFrame, postings: DataFrame, matches: DataFrame, gaz: dict[str, DataFrame], now: Column) -> tuple[DataFrame, DataFrame]:
     """(profiles, matches) after the saves of a log: edited profiles replace those of their users and are matched anew."""
-    edited = edited_profiles(edits, gaz)
+    return replace_profiles(edited_profiles(edits, gaz), profiles, postings, matches, now)
+
+
+def replace_profiles(edited: DataFrame, profiles: DataFrame, postings: DataFrame, matches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     rest = profiles.join(edited.select("user_id"), "user_id", "left_anti")
     everyone = rest.unionByName(edited.select(*profiles.columns))
     return everyone, matching.rematch_profiles(matches, postings, everyone, edited.select("user_id"), now)
+
+
+def run_edit_stream(spark: SparkSession, in_dir: str, state_dir: str, profiles: DataFrame, postings: DataFrame, matches: DataFrame, gaz: dict[str, DataFrame], *, wait: int = 10, every: str = "1 second", now: Column | None = None):
+    """Saves (EDITS, JSON lines) that land in a folder refresh their users' profiles and matches, once a user has been still for `wait` seconds.
+
+    The states are `profiles` and `matches` below state_dir, a version for each micro-batch in which a user settled;
+    the given tables are what they begin as. A micro-batch that is run again after a failure starts from the versions
+    before its own and goes on where it broke off; the saves that wait are in the checkpoint. Nothing else may write
+    these two tables meanwhile: rounds of postings (`tick`) have a folder of their own.
+    """
+    look = gazetteer.prepared(gaz)
+    at = {"profiles": f"{state_dir}/profiles", "matches": f"{state_dir}/matches"}
+    when = F.current_timestamp() if now is None else now
+    said = [n.strip().split(" ") for n in EDITS.split(",") if n.strip().split(" ")[0] not in ("user_id", "ts", "seq")]
+
+    def before(name: str, first: DataFrame, n: int) -> DataFrame:
+        return read_snapshot(spark, at[name], n) if any(v < n for v in versions(spark, at[name])) else first
+
+    def each(batch: DataFrame, n: int) -> None:
+        # read whole, also where nothing is left to do, as Spark stores the state of a batch while it is read
+        saved = F.from_json("said", ", ".join(" ".join(x) for x in said))
+        last = checkpointed(batch.select(F.col("user_id").cast("long").alias("user_id"), saved.alias("s")).select("user_id", "s.*"))
+        if n in versions(spark, at["matches"]) or last.isEmpty():
+            return
+        if n not in versions(spark, at["profiles"]):
+            edited = as_profiles(last, look).select(*profiles.columns)
+            rest = before("profiles", profiles, n).select(*profiles.columns).join(last.select("user_id"), "user_id", "left_anti")
+            marked = rest.unionByName(edited).join(last.select("user_id", F.lit(n).cast("long").alias("edited_in")), "user_id", "left")
+            write_snapshot(marked, at["profiles"], n)
+        everyone = read_snapshot(spark, at["profiles"], n + 1)
+        ids = everyone.where(F.col("edited_in") == n).select("user_id")
+        new = matching.rematch_profiles(before("matches", matches, n), postings, everyone.select(*profiles.columns), ids, when)
+        write_snapshot(new, at["matches"], n)
+
+    saves = spark.readStream.schema(EDITS).json(in_dir).withColumn("said", F.to_json(F.struct(*[x[0] for x in said])))
+    query = telemetry.settled(saves, "user_id", wait=wait).writeStream.foreachBatch(each).option("checkpointLocation", f"{state_dir}/checkpoint")
+    return query.trigger(processingTime=every).start()
