@@ -71,15 +71,16 @@ def subwords(word: bytes, config: Config) -> np.ndarray:
 
 
 def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings of a text and how often it has each, in few bytes, as a task holds those of all its texts."""
     parts = []
     for w in words:
         if w not in known:
             if len(known) > 1 << 18:
                 known.clear()
-            known[w] = subwords(w, config)
+            known[w] = subwords(w, config).astype(np.uint16 if config.bits <= 16 else np.uint32)
         parts.append(known[w])
     at, n = np.unique(np.concatenate(parts), return_counts=True)
-    return at, n / n.sum()
+    return at, n.astype(np.uint16 if n.max() < 1 << 16 else np.uint32)
 
 
 def train(rows: Iterable[tuple[str, str]], config: Config) -> dict:
@@ -106,7 +107,8 @@ def train(rows: Iterable[tuple[str, str]], config: Config) -> dict:
     steps, done = max(1, config.epochs * len(learn)), 0
     for _ in range(config.epochs):
         for k in rng.permutation(len(learn)):
-            (at, x), y = learn[k]
+            (at, n), y = learn[k]
+            at, x = at.astype(np.intp), n / n.sum()
             rate = config.rate * (1 - done / steps)
             done += 1
             h = x @ e[at]
@@ -116,7 +118,7 @@ def train(rows: Iterable[tuple[str, str]], config: Config) -> dict:
             w -= rate * np.outer(h, g)
             b -= rate * 0.1 * g
             e[at] -= rate * 10 * x[:, None] * back
-    logits = np.array([x @ e[at] @ w + b for (at, x), _ in held or learn]).reshape(-1, len(names))
+    logits = np.array([n / n.sum() @ e[at] @ w + b for (at, n), _ in held or learn]).reshape(-1, len(names))
     truth = np.array([y for _, y in held or learn], int)
     heat, threshold = _calibrate(logits, truth, config)
     return {"names": names, "m": ((e @ w) / heat).astype(np.float32), "b": b / heat, "threshold": threshold}
