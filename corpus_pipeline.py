@@ -61,7 +61,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     pieces and the checksum of nothing. An empty table gives no rows; further columns do not matter.
     """
     row = free_name(docs, "row")
-    drawn = pieces.sample_encode(docs.withColumn(row, F.monotonically_increasing_id()), model_file=model_file(), k=2, copy_col=row, decoded=True)
+    drawn = pieces.sample_encode(docs.withColumn(row, F.monotonically_increasing_id()), model_file=model_file(), k=2, copy_col=row, decoded=True, chunk=1 << 19)
     return drawn.withColumn("decoded_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
 
 
