@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import REMOTE_MARKERS, fold_unicode
 from ..session import checkpointed
+from ..sources import state
 from .gazetteer import prepared
 
 CURRENT_VERSION = "v3"
@@ -209,7 +210,11 @@ def resolve_locations(df: DataFrame, gaz: dict[str, DataFrame], *, col: str = "l
     ("Remote") is resolved with no parts.
     """
     distinct = df.select(F.col(col).alias("raw")).where("raw is not null").distinct()
-    found = resolve_distinct(distinct, gaz).withColumnRenamed("raw", "__raw")
+    return _with_places(df, resolve_distinct(distinct, gaz), col, version)
+
+
+def _with_places(df: DataFrame, places: DataFrame, col: str, version: str) -> DataFrame:
+    found = places.withColumnRenamed("raw", "__raw")
     names = ["location_city", "location_region", "location_country", "location_resolved", "location_alias_version"]
     out = df.drop(*names).join(found, F.col(col) == F.col("__raw"), "left")
     part = lambda p: F.coalesce(F.col("place")[p], F.lit(""))
@@ -225,6 +230,35 @@ def resolve_locations(df: DataFrame, gaz: dict[str, DataFrame], *, col: str = "l
     return out.drop("__raw", "place")
 
 
+#: Buckets of remembered places.
+MEMO_BUCKETS = 64
+
+
+def resolve_remembered(df: DataFrame, gaz: dict[str, DataFrame], path: str, *, col: str = "location", version: str = CURRENT_VERSION) -> DataFrame:
+    """The same rows as `resolve_locations`, with places remembered below `path`: only texts are resolved that this version of the gazetteer has not met.
+
+    The table there has (raw, place, version) in buckets of texts; a round writes the buckets of its new texts, and no
+    version of it where there are none: then nothing is looked up in `gaz`, which is not prepared either. Places of
+    other versions are not used and go when their bucket is written. Of two rounds at once the second to write fails.
+    """
+    spark = df.sparkSession
+    here = F.pmod(F.xxhash64("raw"), F.lit(MEMO_BUCKETS)).cast("int")
+    texts = checkpointed(df.select(F.col(col).alias("raw")).where("raw is not null").distinct())
+    found = state.versions(spark, path)
+    known = state.read_snapshot(spark, path).where(F.col("version") == version) if found else None
+    unseen = texts if known is None else checkpointed(texts.join(known, "raw", "left_anti"))
+    touched = sorted(r[0] for r in unseen.select(here.alias("b")).distinct().collect())
+    if touched:
+        new = resolve_distinct(unseen, gaz).withColumn("version", F.lit(version))
+        if known is not None:
+            new = new.unionByName(state.read_snapshot(spark, path, only=touched).where(F.col("version") == version))
+        state.write_buckets(new, path, found[-1] + 1 if found else 0, bucket=here, n=MEMO_BUCKETS, touched=touched if found else None)
+    elif known is None:
+        return _with_places(df, resolve_distinct(texts, gaz), col, version)
+    places = state.read_snapshot(spark, path).where(F.col("version") == version).select("raw", "place")
+    return _with_places(df, places, col, version)
+
+
 def normalize_targets(profiles: DataFrame, gaz: dict[str, DataFrame], *, key: str = "user_id", col: str = "target_locations") -> DataFrame:
     """(key, target_locations_normalized): each profile's targets in order, one for each resolved place; unresolved and place-less ones all stay."""
     each = profiles.select(key, F.posexplode(col).alias("pos", "raw"))

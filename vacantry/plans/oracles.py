@@ -214,6 +214,9 @@ def oracle_sql() -> dict[str, str]:
         "u_diff_profiles": _with("SELECT user_id, 1::BIGINT AS n_lost FROM people WHERE user_id % 6 = 0", "people"),
         "u_coverage": _with("""SELECT 'all' AS what, count(*) AS n, count(*) FILTER (location_resolved) AS resolved, count(DISTINCT CASE WHEN NOT location_resolved THEN location END) AS distinct_unresolved FROM placed
             UNION ALL SELECT * FROM (SELECT location, count(*) AS n, NULL, NULL FROM placed WHERE NOT location_resolved GROUP BY location ORDER BY n DESC, location LIMIT 5)""", "placed"),
+        "u_coverage_rounds": _with("""SELECT strftime(scraped_at, '%Y-%m-%d') AS what, count(*) AS n, count(*) FILTER (location_resolved) AS resolved, count(DISTINCT CASE WHEN NOT location_resolved THEN location END) AS distinct_unresolved FROM placed GROUP BY 1
+            UNION ALL SELECT 'all', count(*), count(*) FILTER (location_resolved), count(DISTINCT CASE WHEN NOT location_resolved THEN location END) FROM placed
+            UNION ALL SELECT * FROM (SELECT location, count(*) AS n, NULL, NULL FROM placed WHERE NOT location_resolved GROUP BY location ORDER BY n DESC, location LIMIT 5)""", "placed"),
         "u_employers": """WITH k AS (SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN 'Acme, Inc ' WHEN 1 THEN 'acme inc ' ELSE ' ACME INC ' END || (s_nationkey % 4) AS name,
             'acme-inc-' || (s_nationkey % 4) AS base FROM supplier), f AS (SELECT base, lower(trim(name)) AS key, min(seq) AS first FROM k GROUP BY ALL),
             r AS (SELECT base, key, row_number() OVER (PARTITION BY base ORDER BY first) AS i FROM f)
@@ -266,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "d_drift": _with("SELECT ats, token, s_nationkey AS discovered_job_count, s_nationkey + 1 AS refetched FROM tokens WHERE s_suppkey % 2 = 1", "tokens"),
         "t_rate": """SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE * (5 - i) AS at, event_type, count(*) AS n, count(*) / 300.0::DOUBLE AS per_second FROM events, (SELECT unnest(generate_series(0, 4)) AS i) GROUP BY ALL""",
         "t_p95": "SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS at, event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL",
+        "t_quantiles": "SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS at, event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL",
         "t_histogram": """WITH b AS (SELECT unnest([5.0, 10, 20, 40, 80, 160, 'inf'::DOUBLE]) AS le, unnest([0.0, 5, 10, 20, 40, 80, 160]) AS low),
             n AS (SELECT event_type, le, low, sum(CASE WHEN value <= le THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN value <= low AND low > 0 THEN 1 ELSE 0 END)::DOUBLE AS before, 0.95 * count(*)::DOUBLE AS rank FROM events, b GROUP BY ALL)
             SELECT event_type, round(CASE WHEN arg_min(le, le) = 'inf'::DOUBLE THEN arg_min(low, le) ELSE arg_min(low + (le - low) * (rank - before) / (n - before), le) END, 6) AS quantile FROM n WHERE n >= rank GROUP BY event_type""",
@@ -279,4 +283,5 @@ def oracle_sql() -> dict[str, str]:
             (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g""",
         "t_debounce_batch": "SELECT event_id, user_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE f IS NULL OR f - ts >= INTERVAL 1 HOUR",
     }
+    out["l_remembered"], out["q_search_index"] = out["l_places"], out["q_search"]
     return out

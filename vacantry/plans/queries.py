@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search as fts
 from ..functions import text as t
-from ..operators import discovery, location, matching, retrieval, rules, telemetry, upsert
+from ..operators import discovery, location, matching, retrieval, rules, telemetry, textindex, upsert
 from ..session import shared_folder
 from ..sources import feeds, files
 from ..sources.files import read_directory
@@ -188,6 +188,14 @@ def l_places(spark: SparkSession, d: str) -> DataFrame:
     return p.select("place_id", "location", "location_city", "location_region", "location_country", "location_resolved")
 
 
+def l_remembered(spark: SparkSession, d: str) -> DataFrame:
+    """L18 with places remembered from a round before, which had six of seven texts."""
+    places, g, path = v.view(spark, d, "places"), v.gaz(spark, d), f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+    location.resolve_remembered(places.where("place_id % 7 <> 0"), g, path)
+    p = location.resolve_remembered(places, g, path)
+    return p.select("place_id", "location", "location_city", "location_region", "location_country", "location_resolved")
+
+
 def l_targets(spark: SparkSession, d: str) -> DataFrame:
     """L19, C11."""
     p = v.profiles(spark, d, v.gaz(spark, d))
@@ -272,6 +280,19 @@ def u_coverage(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(top.select(c("location").alias("what"), "n"), allowMissingColumns=True)
 
 
+def u_coverage_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """U10 from stored states of each day: the rates of each day and of all, and the most frequent unresolved texts of all."""
+    p = v.tagged_postings(spark, d).withColumn("round", F.date_format("scraped_at", "yyyy-MM-dd"))
+    path = f"{shared_folder(spark)}/coverage-{uuid.uuid4().hex}"
+    upsert.coverage_states(p, "round").write.parquet(path)
+    states = spark.read.parquet(path)
+    counts = [c("total").alias("n"), "resolved", "distinct_unresolved"]
+    over = upsert.coverage_over(states, n=5)
+    top = over.select(F.explode("top").alias("t")).select(c("t.location").alias("what"), c("t.n").alias("n"))
+    each = upsert.coverage_over(states, "round").select(c("round").alias("what"), *counts)
+    return each.unionByName(over.select(F.lit("all").alias("what"), *counts)).unionByName(top, allowMissingColumns=True)
+
+
 def u_employers(spark: SparkSession, d: str) -> DataFrame:
     """U11."""
     s = v.table(spark, d, "supplier")
@@ -401,6 +422,26 @@ def q_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return fts.search(v.view(spark, d, "postings"), "ering eaing").select("posting_id", "title")
 
 
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Postings and their index, made in two rounds: the first without every seventh, and with other words in every fifth."""
+    p = v.view(spark, d, "postings").withColumn("content_hash", t.content_hash("title", "description"))
+    before = p.where(c("posting_id") % 7 != 0).withColumn("description", F.when(c("posting_id") % 5 == 0, F.concat_ws(" ", "description", F.lit("ing tion earing"))).otherwise(c("description")))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    textindex.add(before.withColumn("content_hash", t.content_hash("title", "description")), path)
+    textindex.add(p.where("posting_id % 7 = 0 or posting_id % 5 = 0"), path)
+    return p, path
+
+
+def q_search_index(spark: SparkSession, d: str) -> DataFrame:
+    """Q2 without stemming, by a stored index."""
+    return textindex.search(*_indexed(spark, d), "the Tion of Ing", stemmed=False).select("posting_id", "title")
+
+
+def q_search_index_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Q2 with stemming, by a stored index."""
+    return textindex.search(*_indexed(spark, d), "ering eaing").select("posting_id", "title")
+
+
 # --- discovery ---------------------------------------------------------------------------------------------------
 
 
@@ -460,6 +501,14 @@ def t_p95(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.p95(v.table(spark, d, "events"), ["event_type"], win="1 hour", slide="1 hour", exact=True).withColumn("p95", F.round("p95", 6))
 
 
+def t_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """T4 by the day, from sketches of five minutes that are stored, merged to hours and those to days."""
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    telemetry.quantile_states(v.table(spark, d, "events"), ["event_type"]).write.parquet(path)
+    hours = telemetry.merge_states(spark.read.parquet(path), ["event_type"], win="1 hour")
+    return telemetry.quantiles(telemetry.merge_states(hours, ["event_type"], win="1 day"), ["event_type"], {"p50": 0.5, "p95": 0.95})
+
+
 def t_histogram(spark: SparkSession, d: str) -> DataFrame:
     """T4 from cumulative buckets."""
     e = v.table(spark, d, "events")
