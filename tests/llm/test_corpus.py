@@ -318,11 +318,17 @@ def test_sample_encode(spark, odd, empty):
     assert pieces.sample_encode(empty, model_file=queries.model_file()).collect() == []
 
 
-def test_long_words_are_taken_in_blocks(vocabulary):
-    """No lattice holds more than BLOCK characters; a giant text is drawn slice by slice, with bounded lattices, and decodes to itself."""
+def test_long_words_are_parted_only_where_no_piece_lies_across(vocabulary):
+    """A giant text without spaces is drawn slice by slice, with bounded lattices, and decodes to itself."""
     rng = random.Random(2)
     word = "".join(rng.choice("abcdefghij日é") for _ in range(5000))
-    assert ["".join(p if isinstance(p, str) else p[0] for p in pieces.split(word)), max(len(p if isinstance(p, str) else p[0]) for p in pieces.split(word))] == [word, pieces.BLOCK]
+    said = [p if isinstance(p, str) else p[0] for p in pieces.split(word, vocabulary)]
+    assert "".join(said) == word and len(said) > 3 and all(pieces.LONG <= len(x) < pieces.LONG + 200 for x in said[:-1])
+    table = {t.decode() for t, p in zip(vocabulary.texts, vocabulary.log_p, strict=False) if t and np.isfinite(p) and b"\xff" not in t and t.isascii()} | {"日", "é"}
+    at = 0
+    for x in said[:-1]:
+        at += len(x)
+        assert not any(word[a:b] in table for a in range(max(0, at - 16), at) for b in range(at + 1, at + 17))
     giant = word * 1000
     s = pieces.Sampler(vocabulary)
     assert len(giant) > s.GIANT
@@ -332,6 +338,25 @@ def test_long_words_are_taken_in_blocks(vocabulary):
     assert len(s.lattices.reach) < s.lattices.limit + 3 * s.GIANT
 
 
+def test_long_words_have_exact_probabilities(vocabulary):
+    """A word of 4,000 characters that pieces cover without a gap: its log probabilities are those of the whole lattice, by a plain sum."""
+    table = {t.decode(): float(p) for t, p in zip(vocabulary.texts, vocabulary.log_p, strict=False) if t and np.isfinite(p) and t.isascii()}
+    word = "ation" * 800
+    whole, total = " " + word, [0.0]
+    for end in range(1, len(whole) + 1):
+        total.append(np.logaddexp.reduce([total[a] + table[whole[a:end]] for a in range(max(0, end - 20), end) if whole[a:end] in table]))
+    assert pieces.split(word, vocabulary) == [word]
+    crossed = 0
+    for rows in pieces.Sampler(vocabulary).encode([word] * 3, np.arange(3, dtype=np.uint64), 3):
+        assert len({tuple(r[0].tolist()) for r in rows}) == 3
+        for ids, log_p, _, _ in rows:
+            said = [vocabulary.bytes_of(np.array([i])).tobytes().decode() for i in ids]
+            assert "".join(said) == whole and abs(sum(table[x] for x in said) - total[-1] - log_p) < 0.01 * len(said) ** 0.5
+            ends = set(np.cumsum([len(x) for x in said]).tolist())
+            crossed += sum(k * 1024 + 1 not in ends for k in range(1, 4))
+    assert crossed > 0
+
+
 def test_draws_do_not_depend_on_what_was_built_before(vocabulary):
     """The same pieces from a fresh sampler, from one that has seen other words, and slice by slice."""
     text = "the cat sat on a mat and the dog " * 40

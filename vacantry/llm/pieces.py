@@ -142,12 +142,16 @@ class Vocabulary:
         return self.bytes_of(ids).tobytes().decode("utf-8", "replace")[1:] if len(ids) else ""
 
 
-#: Characters of a word that one lattice holds; a longer word is taken in blocks, whose edges no piece crosses.
-BLOCK = 1024
+#: A word of more characters is parted where no piece of the vocabulary can lie across, in blocks of at least so many.
+LONG = 1024
 
 
-def split(text: str) -> list:
-    """The words of a text, a word being a space run and what follows it, without its last space; later blocks of a long word are 1-tuples."""
+def split(text: str, v: Vocabulary) -> list:
+    """The words of a text, a word being a space run and what follows it, without its last space; later blocks of a long word are 1-tuples.
+
+    What stands on both sides of a place that no piece can lie across is segmented independently, so blocks have the
+    very segmentations of the whole word; a long word without such a place stays whole.
+    """
     parts = text.split(" ") if text else []
     if "" in parts:
         merged, spaces = [], 0
@@ -158,15 +162,39 @@ def split(text: str) -> list:
             else:
                 spaces += 1
         parts = [*merged, " " * spaces + parts[-1]]
-    if len(text) > BLOCK and max(map(len, parts)) > BLOCK:
+    if len(text) > LONG and max(map(len, parts)) > LONG:
         blocks = []
         for p in parts:
-            blocks.append(p[:BLOCK])
-            blocks += [(p[i : i + BLOCK],) for i in range(BLOCK, len(p), BLOCK)]
+            if len(p) <= LONG:
+                blocks.append(p)
+                continue
+            edges = uncrossed(" " + p, v) - 1
+            at = [0]
+            while (k := int(np.searchsorted(edges, at[-1] + LONG))) < len(edges):
+                at.append(int(edges[k]))
+            said = [p[a:b] for a, b in zip(at, [*at[1:], len(p)], strict=True)]
+            blocks += [said[0], *((x,) for x in said[1:])]
         return blocks
     return parts
 
 
+def uncrossed(word: str, v: Vocabulary) -> np.ndarray:
+    """The places within a word that no piece of its characters lies across."""
+    chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, at = len(chars), np.arange(len(chars))
+    far, node, size = at + 1, v.first[chars], 1
+    while True:
+        on = (node > 0) & (at + size < n)
+        at = at[on]
+        node = v.step[v.row[node[on]], v.kind[chars[at + size]]]
+        if not len(at):
+            break
+        size += 1
+        whole = at[v.ends[node] >= 0]
+        far[whole] = whole + size
+    return np.flatnonzero(np.maximum.accumulate(far)[:-1] == np.arange(1, n)) + 1
+
+
 class _Numbers(dict):
     """word -> its number; a word not seen before gets the next one and waits in `new`."""
 
@@ -358,11 +386,11 @@ class Lattices:
         return self.but_one[key]
 
     def sample_other(self, word: int, without: list[tuple], key: int) -> tuple[tuple, float] | None:
-        """A segmentation that is none of `without`, drawn from the rest in proportion, and its probability; null if there is none."""
+        """A segmentation that is none of `without`, drawn from the rest in proportion, and its log probability; null if there is none."""
         tree, left = self._left_over(word, without)
         if not left[0] > 0:
             return None
-        node, p, out, t, at = int(self.first[word]), 1.0, [], 0, 0
+        node, log_p, out, t, at = int(self.first[word]), 0.0, [], 0, 0
         while edges := tree[at][0] if at is not None else self.edges(node):
             kids = tree[at][1] if at is not None else {}
             mass = [q * (left[kids[piece]] if piece in kids else 1.0) for q, _, piece in edges]
@@ -373,8 +401,8 @@ class Lattices:
                 k += 1
             q, span, piece = edges[k]
             out.append(piece)
-            p, node, t, at = p * q, node + span, t + 1, kids.get(piece)
-        return tuple(out), p
+            log_p, node, t, at = log_p + math.log(q), node + span, t + 1, kids.get(piece)
+        return tuple(out), log_p
 
 
 class Sampler:
@@ -398,7 +426,7 @@ class Sampler:
         if len(texts) > 1 and any(len(t) > self.GIANT for t in texts):
             return [self.encode([t], seeds[i : i + 1], k)[0] for i, t in enumerate(texts)]
         self.lattices.make_room()
-        words = [split(t) for t in texts]
+        words = [split(t, self.v) for t in texts]
         if not any(len(t) > self.GIANT for t in texts):
             words = self.lattices.numbers(words)
         with np.errstate(over="ignore"):
@@ -432,7 +460,8 @@ class Sampler:
             return self.lattices.sample(np.concatenate(parts), keys)
         (words,) = parts
         ends = np.cumsum([len(w[0]) if w.__class__ is tuple else len(w) for w in words])
-        cuts = [*np.searchsorted(ends, np.arange(self.GIANT // 4, ends[-1] if len(ends) else 0, self.GIANT // 4)), len(words)]
+        cuts = np.unique([1, *np.searchsorted(ends, np.arange(self.GIANT // 4, ends[-1] if len(ends) else 0, self.GIANT // 4)), len(words)])
+        cuts = [int(c) for c in cuts if 0 < c <= len(words)] or [0]
         out, at = [], 0
         for end in cuts:
             self.lattices.make_room()
@@ -536,9 +565,9 @@ class Sampler:
             other = self.lattices.sample_other(number, without, own)
             if other is None:
                 continue
-            said, p = other
+            said, log_p = other
             head = np.concatenate([pieces[:start], np.array(said, np.int64)])
-            head_log = np.concatenate([log_ps[:w], [min(0.0, float(np.log(max(p, 1e-300))))]])
+            head_log = np.concatenate([log_ps[:w], [min(0.0, log_p)]])
             head_counts = np.concatenate([counts[:w], [len(said)]])
             more = [*without, said]
             mass = self.lattices.remaining(number, more)
@@ -569,8 +598,8 @@ def sample_encode(
     Texts are not normalised: pieces decode to the very text. A text with fewer than k segmentations has fewer
     rows, an empty text one of no pieces; a null text has one row of null pieces. Ids are passed through, nulls
     and repeats too; extra columns are ignored. `decoded` adds the column text, decoded from the pieces.
-    A word of more than BLOCK characters is segmented in blocks of that many. model_file must be readable on all
-    executors. About `chunk` characters are worked on at a time, or one longer text.
+    A word is segmented whole, however long it is: it is parted only where no piece can lie across. model_file must be readable on all executors. About `chunk`
+    characters are worked on at a time, or one longer text, and a lattice holds a word at least.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, sample int, pieces array<int>, log_prob double, perturbed double, inclusion double" + ", text string" * decoded
