@@ -75,7 +75,7 @@ def _vector(words: list[bytes], known: dict, config: Config) -> tuple[np.ndarray
     parts = []
     for w in words:
         if w not in known:
-            if len(known) > 1 << 18:
+            if len(known) > 1 << 16:
                 known.clear()
             known[w] = subwords(w, config).astype(np.uint16 if config.bits <= 16 else np.uint32)
         parts.append(known[w])
