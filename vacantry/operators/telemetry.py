@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 #: How late an event may be in a stream; the source has no rule for late data.
 LATENESS = "10 minutes"
 
@@ -62,6 +65,42 @@ def quantiles(states: DataFrame, by: list[str], qs: dict[str, float]) -> DataFra
     return states.select("at", *by, n.alias("n"), *found)
 
 
+#: How far from a share the sketches' bounds of its quantile lie; five times their rank error.
+SLACK = 0.002
+
+
+def exact_quantiles(df: DataFrame, states: DataFrame, by: list[str], qs: dict[str, float], *, value: str = "value", ts: str = "ts", win: str = "1 day") -> DataFrame:
+    """As `quantiles` of the `states` of `df` in ranges `win`, but exact.
+
+    A quantile lies between two values that the sketch names, so only values between these are ranked. Where the counts
+    show that it does not, all values of its range are. NaN is the greatest value.
+    """
+    own = ["start", "at", *by]
+    w, v = F.window(ts, win), F.col("v")
+    each = df.select(w.alias("w"), *by, F.col(value).cast("double").alias("v")).select(F.col("w.start").alias("start"), F.col("w.end").alias("at"), *by, "v")
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    near = lambda q: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, q)))))
+    asked = [F.struct(F.lit(name).alias("__of"), F.lit(Decimal(str(q))).cast("decimal(18,17)").alias("q"), near(q - SLACK).alias("low"), near(q + SLACK).alias("high")) for name, q in qs.items()]
+    bounds = stored(states.select(*own, F.inline(F.array(*asked))))
+
+    def met(bounds: DataFrame) -> DataFrame:
+        b = bounds.select(*[F.col(x).alias(f"__{x}") for x in own], *[x for x in bounds.columns if x not in own])
+        alike = [F.col(x).eqNullSafe(F.col(f"__{x}")) for x in own]
+        return each.join(b, alike).drop(*[f"__{x}" for x in own])
+
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = met(bounds).groupBy(*own, "__of", "q", "low", "high").agg(F.count("v").alias("n"), count(v < F.col("low")).alias("below"), count(v <= F.col("high")).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.col("q")).cast("long"))
+    counts = counts.withColumn("rank", rank).withColumn("between", F.coalesce((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("upto")), F.lit(False)))
+    counts = stored(counts.withColumn("before", F.when(F.col("between"), F.col("below")).otherwise(0)))
+    near_it = v.isNotNull() & (~F.col("between") | v.between(F.col("low"), F.col("high")))
+    values = met(counts).where(near_it).groupBy(*own, "__of", "rank", "before", "v").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy(*own, "__of").orderBy("v"))
+    found = values.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(*own, "__of").agg(F.min("v").alias("v"))
+    both = found.unionByName(counts.select(*own, "__of", "n"), allowMissingColumns=True)
+    return both.groupBy(*own).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(F.when(F.col("__of") == name, v)).alias(name) for name in qs]).drop("start")
+
+
 def histogram_quantile(df: DataFrame, by: list[str], *, q: float = 0.95, le: str = "le", count: str = "n") -> DataFrame:
     """A quantile from cumulative buckets (upper bound, count so far), interpolated within the bucket that it falls in.
 
