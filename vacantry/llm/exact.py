@@ -44,7 +44,8 @@ def _merged(run: pa.Table) -> pa.Table:
         new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
     starts = np.flatnonzero(new)
     out = run.take(pa.array(starts))
-    return out.set_column(out.schema.get_field_index("n"), "n", pa.array(np.add.reduceat(run["n"].to_numpy(), starts)))
+    # the field as it came, as a stream's next batch has it too
+    return out.set_column(out.schema.get_field_index("n"), out.schema.field("n"), pa.array(np.add.reduceat(run["n"].to_numpy(), starts)))
 
 
 def _merge_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
